@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from quarterhour import dims
 from quarterhour.functions.blocks import block_of
 from quarterhour.operators.calendar import with_calendar
-from quarterhour.operators.features import eda_frame
+from quarterhour.operators.features import eda_frame, series_frame, with_baseline
 from quarterhour.operators.grid import day_lag, dense_grid
+from quarterhour.sources.stage import shared
 
 DISTRICT_WEIGHTS = {f"D{i}": 7.0 - i for i in range(7)}
 _HOL = ", ".join(f"(DATE '{d}')" for d in dims.holiday_dates())
@@ -56,6 +57,9 @@ CTES = {
         FROM v_load l""",
     "v_frame": "SELECT c.*, " + ", ".join(f"w.{c}" for c in _W) + " FROM v_cal c LEFT JOIN v_wmean w USING (state, date, block)",
     "v_t": "SELECT *, CAST(date - DATE '1970-01-01' AS BIGINT) AS dn, CAST(date - DATE '1970-01-01' AS BIGINT) * 96 + block AS t FROM v_frame",
+    "v_base": """
+        SELECT *, avg(load) OVER w AS baseline, avg(temperature) OVER w AS n_temp, avg(humidity) OVER w AS n_hum, avg(precipitation) OVER w AS n_rain
+        FROM v_t WINDOW w AS (PARTITION BY state, block ORDER BY dn RANGE BETWEEN 7 PRECEDING AND 1 PRECEDING)""",
     "v_hd": """
         SELECT d.date, CAST(max(h.holiday = d.date + 1) AS INTEGER) AS hn, CAST(max(h.holiday = d.date - 1) AS INTEGER) AS hp,
                coalesce(min(h.holiday - d.date) FILTER (WHERE h.holiday >= d.date AND h.holiday - d.date <= 366), 999) AS days_to_holiday,
@@ -194,11 +198,21 @@ class Views:
     def frame(self) -> DataFrame:
         return self.cal.join(self.wmean, ["state", "date", "block"], "left")
 
+    @cached_property
+    def base(self) -> DataFrame:
+        """Frame with the mean of the seven days before as baseline of load and weather."""
+        return with_baseline(self.frame)
+
     @cached_property
     def eda(self) -> DataFrame:
         """The exploration frame with lags, rolling terms and baselines."""
         return eda_frame(self.frame, self.hol)
 
+    @cached_property
+    def ser(self) -> DataFrame:
+        """The lean series frame of the KPI tables, stored once because those tables read it several times."""
+        return shared(series_frame(self.frame))
+
     @cached_property
     def fc(self) -> DataFrame:
         """A stored external forecast: the load of seven days before."""

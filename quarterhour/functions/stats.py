@@ -108,3 +108,15 @@ def top_by(value: Column | str, weight: Column | str, tie: Column | str) -> Colu
 
 def bottom_by(value: Column | str, weight: Column | str, tie: Column | str) -> Column:
     return F.min_by(col(value), F.when(col(weight).isNotNull(), F.struct(col(weight), col(tie))))
+
+
+def median_of(values: Column) -> Column:
+    """Median of an array without nulls (NULL when empty)."""
+    a, n = F.array_sort(values), F.size(values)
+    lo, hi = F.floor((n + 1) / 2).cast("int"), F.floor(n / 2 + 1).cast("int")
+    return F.when(n > 0, (F.try_element_at(a, F.greatest(lo, F.lit(1))) + F.try_element_at(a, F.greatest(F.least(hi, n), F.lit(1)))) / 2.0)
+
+
+def windowed_median(value: Column | str, window) -> Column:
+    """Exact median over a short bounded frame (window medians accept no frame of their own)."""
+    return median_of(F.collect_list(col(value)).over(window))

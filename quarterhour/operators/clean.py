@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarterhour import BLOCKS_PER_DAY
 from quarterhour.functions.blocks import add_minutes, block_index, block_of, block_start
-from quarterhour.functions.stats import quantile
+from quarterhour.functions.stats import quantile, windowed_median
 from quarterhour.operators.grid import blocks_of_days, dense_grid, forward_fill, interpolate, run_ids
 
 DAY = ["state", "date"]
@@ -58,7 +58,7 @@ def smooth_drops(df: DataFrame, value: str = "load", window: int = 13, delta: fl
     """Short dips below the centred running median are interpolated; longer ones are real and stay."""
     half = window // 2
     w = Window.partitionBy(*DAY).orderBy("block")
-    f = df.withColumn("_med", F.median(value).over(w.rowsBetween(-half, half)))
+    f = df.withColumn("_med", windowed_median(value, w.rowsBetween(-half, half)))
     cand = F.coalesce((F.col("_med") - F.col(value) > delta) & (F.col(value) < factor * F.col("_med")), F.lit(False))
     f = run_ids(f.withColumn("_cand", cand), F.col("_cand"), DAY, "block", "_run")
     n = F.count(F.lit(1)).over(Window.partitionBy(*DAY, "_run"))

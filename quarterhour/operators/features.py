@@ -54,6 +54,13 @@ def with_lags(df: DataFrame) -> DataFrame:
     }).withColumn("roll7_trend", F.col("roll7_block") - F.max("roll7_block").over(days_ago(SERIES, 7)))
 
 
+def with_baseline(df: DataFrame, window: int = 7) -> DataFrame:
+    """Mean of the same block over the days before, for load and weather (the row's own day never enters)."""
+    w = days_ago(SERIES, window, 1)
+    return df.withColumns({"baseline": F.avg("load").over(w), "n_temp": F.avg("temperature").over(w),
+                           "n_hum": F.avg("humidity").over(w), "n_rain": F.avg("precipitation").over(w)})
+
+
 def with_rolling(df: DataFrame) -> DataFrame:
     """Previous quarter hour, 3 h / 6 h / 24-block / 7-day trailing means, on halo slices."""
     s = sliced(df, back=672)
@@ -141,3 +148,41 @@ def kpi_features(df: DataFrame) -> DataFrame:
 
 def share(num: Column | str, den: Column | str) -> Column:
     return F.coalesce(ratio(num, den), F.lit(0.0))
+
+
+def series_frame(df: DataFrame) -> DataFrame:
+    """The part of the exploration frame that KPI tables need: day lags, block level and spread, ramp, simple products.
+
+    Two shuffles in all, one on (state, block) and one on (state, slice).
+    """
+    w = Window.partitionBy(*SERIES)
+    df = df.withColumns({
+        "d1": day_lag("load", 1), "d7": day_lag("load", 7), "roll7_block": F.avg("load").over(days_ago(SERIES, 6, 0)),
+        "block_mean": F.avg("load").over(w), "block_std": F.stddev_samp("load").over(w),
+        "season": season4("month"), "is_evening_peak": F.col("hour").between(18, 22).cast("int"),
+        "cooling_degree": degrees_above("temperature", 24.0), "heat_index": heat_index("temperature", "humidity"),
+        "rain_proxy": (F.col("precipitation") > 0.1).cast("int"), "weather_x_load": F.col("temperature") * F.col("load"),
+    })
+    df = core_rows(sliced(df, back=1).withColumn("prev", blocks_back("load", 1)))
+    return df.withColumns({
+        "ramp": F.col("load") - F.col("prev"), "temp_x_peak": F.col("temperature") * F.col("is_evening_peak"),
+        "baseline_dev": F.col("load") - F.col("block_mean"), "dev_score": F.abs(F.col("load") - F.col("block_mean")) / (F.col("block_std") + 1e-6)})
+
+
+def rolling_spread(df: DataFrame, blocks: int = 672, value: str = "load", out: str = "load_roll_7d_std") -> DataFrame:
+    return core_rows(sliced(df, back=blocks - 1).withColumn(out, rolling(F.stddev_samp(value), blocks)))
+
+
+def volatility_flag(df: DataFrame) -> DataFrame:
+    """1 where the deviation score exceeds its 95th percentile in the state."""
+    j = join_stats(df, ["state"], _q=quantile("dev_score", 0.95))
+    return j.withColumn("peak_volatility", F.when(F.col("dev_score") > F.col("_q"), 1).otherwise(0)).drop("_q")
+
+
+def day_context(days: DataFrame, holidays: DataFrame) -> DataFrame:
+    """Bridge and long-weekend flags and holiday distances of each date (one row per date)."""
+    dow = F.weekday("date")
+    ctx = holiday_distance(holiday_flag(holiday_flag(holiday_flag(days, holidays), holidays, "_p", -1), holidays, "_n", 1), holidays, 366, 999)
+    adj = (F.col("_p") == 1) | (F.col("_n") == 1)
+    return ctx.withColumns({"bridge_day": ((F.col("is_holiday") == 0) & (dow < 5) & adj).cast("int"),
+                            "long_weekend": ((dow >= 5) & adj).cast("int")}).drop("_p", "_n", "is_holiday")

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from quarterhour.functions.numbers import pct_change, ratio
 from quarterhour.functions.stats import avg_where, bottom_by, count_where, kurt_sample, quantile, rank_corr_wide, share_where, skew_sample, slope, sum_where, top_by
-from quarterhour.operators.features import join_stats
+from quarterhour.operators.calendar import holiday_flag
+from quarterhour.operators.features import day_context, join_stats, rolling_spread, volatility_flag
 from quarterhour.operators.grid import run_ids
 
 ST = ["state"]
@@ -181,8 +182,8 @@ def risk(df: DataFrame, feature: str = "load", capacity: float | None = None) ->
 
 def composites(df: DataFrame, mape: Column | None = None) -> DataFrame:
     """Indices capped at 100 from relative volatility, extreme frequency, temperature slope and forecast error."""
-    b = stability(df).select("state", "relative_volatility").join(risk(df).select("state", "extreme_frequency", "ramp_stress"), "state")
-    t = df.groupBy("state").agg(slope("load", "temperature").alias("temp_slope"),
+    b = risk(df).select("state", "extreme_frequency", "ramp_stress")
+    t = df.groupBy("state").agg(ratio(F.stddev_samp("load"), F.avg("load")).alias("relative_volatility"), slope("load", "temperature").alias("temp_slope"),
                                 (F.avg(F.abs(F.col("load") - F.col("d7")) / F.nullif(F.col("load"), F.lit(0.0))) * 100).alias("mape"))
     j = b.join(t, "state")
     m = F.col("mape") if mape is None else mape
@@ -190,8 +191,8 @@ def composites(df: DataFrame, mape: Column | None = None) -> DataFrame:
     return j.select(
         "state", F.least(cap, F.col("relative_volatility") * 100 + F.col("extreme_frequency") * 100).alias("grid_stress"),
         F.least(cap, F.abs("temp_slope") * 100).alias("weather_dependency"),
-        F.when(m > 0, F.greatest(F.lit(0.0), 1 - m / 100)).otherwise(0.0).alias("forecast_confidence"),
-        F.least(cap, F.col("relative_volatility") * 50 + F.col("ramp_stress") / 10).alias("forecast_difficulty"))
+        F.least(cap, F.when(m > 0, F.greatest(F.lit(0.0), 100 - m)).otherwise(0.0)).alias("forecast_confidence"),
+        F.least(cap, F.col("relative_volatility") * 50 + F.col("ramp_stress") * 2).alias("dispatch_difficulty"))
 
 
 def distribution(df: DataFrame, feature: str = "load") -> DataFrame:
@@ -301,10 +302,10 @@ def tab_time(df: DataFrame, feature: str = "load") -> DataFrame:
     return p.join(a, "state").join(f, "state").join(m, "state")
 
 
-def tab_calendar(df: DataFrame, feature: str = "load") -> DataFrame:
+def tab_calendar(df: DataFrame, holidays: DataFrame, feature: str = "load") -> DataFrame:
     """Weekend, holiday, pre-holiday, bridge and long-weekend effects on daily means; days until recovery to 95 %."""
-    d = df.groupBy("state", "date").agg(F.avg(feature).alias("v"), *[F.max(c).alias(c) for c in ("is_weekend", "is_holiday", "bridge_day", "long_weekend")],
-                                        F.min("days_to_holiday").alias("days_to_holiday"))
+    d = day_context(df.groupBy("state", "date").agg(F.avg(feature).alias("v"), F.max("is_weekend").alias("is_weekend")), holidays)
+    d = holiday_flag(d, holidays)
     one = lambda c: F.col(c) == 1
     a = d.groupBy("state").agg(
         avg_where(one("is_weekend"), "v").alias("we"), avg_where(~one("is_weekend"), "v").alias("wd"), avg_where(one("is_holiday"), "v").alias("ho"),
@@ -386,13 +387,17 @@ def tab_baseline(df: DataFrame, feature: str = "load") -> DataFrame:
     p = peak_blocks(df, feature).join(prof, "state").groupBy("state").agg(
         F.avg(F.abs(F.col("peak_block") - F.col("_pb"))).alias("peak_timing_offset"), F.avg(F.col("day_max") - F.col("_pm")).alias("baseline_peak_deviation"))
     d = daily(df, feature).groupBy("state").agg(F.avg("avg").alias("_d")).join(prof, "state").select("state", pct_change("_d", "_am").alias("daily_energy_deviation_pct"))
+    s = df.groupBy("state", "season").agg(F.avg(feature).alias("_sp"), F.count(feature).alias("_n")).groupBy("state").agg(
+        F.sum("_n").alias("_n"), F.sum(F.col("_n") * F.col("_sp")).alias("_s1"), F.sum(F.col("_n") * F.col("_sp") * F.col("_sp")).alias("_s2"))
     a = df.groupBy("state").agg((F.avg(F.abs("baseline_dev")) / (F.avg(feature) + 1e-6) * 100).alias("baseline_error_pct"),
-                                F.stddev_samp("seasonal_profile").alias("seasonal_drift"), F.stddev_samp("baseline_dev").alias("baseline_stability"))
+                                F.stddev_samp("baseline_dev").alias("baseline_stability")).join(s, "state")
+    drift = F.sqrt(F.greatest(F.lit(0.0), (F.col("_s2") - F.col("_s1") * F.col("_s1") / F.col("_n")) / (F.col("_n") - 1)))
+    a = a.withColumn("seasonal_drift", drift).drop("_n", "_s1", "_s2")
     return a.join(p, "state").join(d, "state")
 
 
 def tab_stability(df: DataFrame, feature: str = "load") -> DataFrame:
-    j = join_stats(df, ST, _p99=quantile(feature, 0.99))
+    j = volatility_flag(join_stats(rolling_spread(df), ST, _p99=quantile(feature, 0.99)))
     a = j.groupBy("state").agg(
         F.avg("block_std").alias("peak_volatility"), F.avg("dev_score").alias("block_risk"), quantile(F.abs("ramp"), 0.95).alias("ramp_stress"),
         F.avg(F.abs("baseline_dev")).alias("curve_distortion"), share_where(F.col(feature) > F.col("_p99")).alias("extreme_frequency"),
@@ -404,7 +409,7 @@ def tab_stability(df: DataFrame, feature: str = "load") -> DataFrame:
 
 def tab_executive(df: DataFrame, feature: str = "load") -> DataFrame:
     x = F.col(feature)
-    a = df.groupBy("state").agg(
+    a = volatility_flag(df).groupBy("state").agg(
         quantile(x, 0.9).alias("peak_range_low"), quantile(x, 0.99).alias("peak_range_high"), (1.0 / (1.0 + F.stddev_samp(x))).alias("system_stability"),
         (1.0 / (1.0 + F.avg(F.abs("baseline_dev")))).alias("forecast_readiness"), F.avg("peak_volatility").alias("operational_risk"),
         pct_change(avg_where(F.col("is_holiday") == 1, x), avg_where(F.col("is_holiday") == 0, x)).alias("holiday_impact_pct"))
