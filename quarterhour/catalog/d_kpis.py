@@ -113,7 +113,7 @@ def _(v):
     SELECT state, median(ramp) FILTER (WHERE hour BETWEEN 6 AND 10) AS morning_ramp, median(ramp) FILTER (WHERE hour BETWEEN 16 AND 20) AS evening_ramp, max(ramp) AS max_ramp,
       stddev_samp(ramp) AS ramp_volatility, min(ramp) AS min_ramp, count(*) FILTER (WHERE abs(ramp) > q) AS sustained_ramps FROM v_eda JOIN q USING (state) GROUP BY state""")
 def _(v):
-    return kpis.ramps(v.ser)
+    return kpis.ramps(v.ser_lazy)
 
 
 _PEAKS = """pk AS (SELECT state, date, arg_max(block, (load, -block)) AS pb, max(load) AS mx, min(load) AS mn, max(is_weekend) AS we FROM v_cal GROUP BY state, date)"""
@@ -133,7 +133,7 @@ _STAB = f"""b AS (SELECT state, stddev_samp(load) / avg(load) AS relative_volati
 
 @query("d14_stability_kpis", "state relative_volatility:f persistence_d1:f persistence_d7:f bandwidth:f", f"WITH {_STAB} SELECT * FROM b JOIN r USING (state)")
 def _(v):
-    return kpis.stability(v.ser)
+    return kpis.stability(v.ser_lazy)
 
 
 _WPAIRS = {f"{c}_sensitivity": ("load", c) for c in kpis.WEATHER_COLS} | {"heat_stress": ("load", "heat_index")}
@@ -154,7 +154,7 @@ _RISK = """k AS (SELECT state, avg(CASE WHEN load > p90 THEN 1.0::DOUBLE ELSE 0
 
 @query("d16_risk_kpis", "state peak_probability:f extreme_frequency:f ramp_stress:f tail_p99:f capacity_breach:f", f"WITH {_RISK} SELECT * FROM k")
 def _(v):
-    return kpis.risk(v.ser, capacity=400.0)
+    return kpis.risk(v.ser_lazy, capacity=400.0)
 
 
 @query("d17_composite_indices", "state grid_stress:f weather_dependency:f forecast_confidence:f dispatch_difficulty:f", f"""
@@ -205,7 +205,7 @@ def _(v):
 @query("d21_ramp_rates", "state max_up_ramp:f max_down_ramp:f avg_abs_ramp:f", """
     SELECT state, max(ramp) * 4 AS max_up_ramp, min(ramp) * 4 AS max_down_ramp, avg(abs(ramp)) * 4 AS avg_abs_ramp FROM v_eda GROUP BY state""")
 def _(v):
-    return kpis.ramp_rates(v.ser)
+    return kpis.ramp_rates(v.ser_lazy)
 
 
 @query("d22_year_over_year", "state year:i day_of_year:i mean:f", "SELECT state, year(date) AS year, dayofyear(date) AS day_of_year, avg(load) AS mean FROM v_daily GROUP BY ALL")

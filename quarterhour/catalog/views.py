@@ -208,10 +208,15 @@ class Views:
         """The exploration frame with lags, rolling terms and baselines."""
         return eda_frame(self.frame, self.hol)
 
+    @cached_property
+    def ser_lazy(self) -> DataFrame:
+        """The series frame for tables that read it once or twice."""
+        return series_frame(self.frame)
+
     @cached_property
     def ser(self) -> DataFrame:
         """The lean series frame of the KPI tables, stored once because those tables read it several times."""
-        return shared(series_frame(self.frame))
+        return shared(self.ser_lazy)
 
     @cached_property
     def fc(self) -> DataFrame:

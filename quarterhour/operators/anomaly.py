@@ -136,65 +136,69 @@ def dips_and_rises(df: DataFrame, actual: str = "load", baseline: str = "baselin
 def day_anomalies(df: DataFrame, limit: float = 0.06, window: int = 7, feature: str = "load") -> DataFrame:
     """Days whose mean leaves the mean of the trailing days by more than the limit, and the days right after them."""
     d = df.groupBy("state", "date").agg(F.avg(feature).alias("mean"))
-    d = d.withColumn("trailing", F.avg("mean").over(days_ago(ST, window, 1)))
+    w = days_ago(ST, window, 1)
+    d = d.withColumn("trailing", F.when(F.count("mean").over(w) >= 2, F.avg("mean").over(w)))
     d = d.withColumn("anomalous", F.coalesce(F.abs(ratio(F.col("mean") - F.col("trailing"), "trailing")) > limit, F.lit(False)))
     after = F.coalesce(F.max(F.col("anomalous").cast("int")).over(days_ago(ST, 1)), F.lit(0)) == 1
     return d.withColumn("excluded", F.col("anomalous") | after)
 
 
-def outage_days(df: DataFrame, drop: float = 0.30, wind_limit: float = 65.0, wind: str = "wind_speed_10m", feature: str = "load") -> DataFrame:
+def outage_days(df: DataFrame, drop: float = 0.30, wind_limit: float = 65.0, wind: str = "wind_speed_10m", feature: str = "load", floor: float = 500.0) -> DataFrame:
     """Days with a fall of more than ``drop`` within four blocks, or with storm wind."""
     lag4 = F.max(feature).over(Window.partitionBy("state", "date").orderBy("block").rangeBetween(-4, -4))
-    d = df.withColumn("_r", ratio(F.col(feature) - lag4, lag4))
+    d = df.withColumn("_l", lag4).withColumn("_r", F.when(F.col("_l") > floor, ratio(F.col(feature) - F.col("_l"), "_l")))
     return d.groupBy("state", "date").agg(F.coalesce(F.bool_or(F.col("_r") < -drop), F.lit(False)).alias("sharp_drop"),
                                           F.coalesce(F.bool_or(F.col(wind) >= wind_limit), F.lit(False)).alias("storm_wind")).withColumn(
         "outage", F.col("sharp_drop") | F.col("storm_wind"))
 
 
-def previous_night_dip(df: DataFrame, limit: float = 0.15, window: int = 7, night: tuple[int, int] = (1, 24), feature: str = "load") -> DataFrame:
+def previous_night_dip(df: DataFrame, limit: float = 0.15, window: int = 7, night: tuple[int, int] = (1, 32), feature: str = "load") -> DataFrame:
     """Night mean of the day before against the nights of the week before it."""
     d = df.where(F.col("block").between(*night)).groupBy("state", "date").agg(F.avg(feature).alias("night_mean"))
-    d = d.withColumn("trailing", F.avg("night_mean").over(days_ago(ST, window, 1)))
+    w = days_ago(ST, window, 1)
+    d = d.withColumn("trailing", F.when(F.count("night_mean").over(w) >= 2, F.avg("night_mean").over(w)))
     d = d.withColumn("dip", F.coalesce(F.col("night_mean") < (1 - limit) * F.col("trailing"), F.lit(False)))
     return d.withColumn("prev_night_dip", F.coalesce(F.max(F.col("dip").cast("int")).over(days_ago(ST, 1)), F.lit(0)))
 
 
-def sigma_clamp(df: DataFrame, forecast: str = "forecast", feature: str = "actual", k: float = 2.0, window: int = 14) -> DataFrame:
-    """Pull a forecast beyond k sigma of the block's last days toward the limit, the more the further it lies out."""
+def sigma_clamp(df: DataFrame, forecast: str = "forecast", feature: str = "actual", start: float = 2.5, max_pull: float = 0.7, window: int = 14,
+                min_sigma: float = 50.0, min_days: int = 3) -> DataFrame:
+    """Progressive pull toward the block's recent mean: none at ``start`` sigma, ``max_pull`` from twice that on.
+
+    The mean and the (population, floored) spread come from the days before only. ``sigmas`` is the distance used.
+    """
     w = days_ago(SB, window, 1)
-    d = df.withColumn("hist_mean", F.avg(feature).over(w)).withColumn("hist_std", F.stddev_pop(feature).over(w))
-    z = ratio(F.col(forecast) - F.col("hist_mean"), "hist_std")
-    limit = F.col("hist_mean") + F.signum(z) * k * F.col("hist_std")
-    weight = F.least(F.lit(1.0), (F.abs("z") - k) / k)
-    d = d.withColumn("z", z)
-    out = F.when(F.abs("z") > k, (1 - weight) * F.col(forecast) + weight * limit).otherwise(F.col(forecast))
-    return d.withColumn("clamped", out).withColumn("drastic", F.when(F.abs("z") > k, F.least(F.lit(1.0), (F.abs("z") - k) / k)).otherwise(0.0))
-
-
-def drastic_scores(clamped: DataFrame, threshold: float = 0.25) -> DataFrame:
-    """Mean drastic score per day and whether the day before was unstable."""
-    d = clamped.groupBy("state", "date").agg(F.avg("drastic").alias("score"))
+    d = df.withColumn("hist_mean", F.avg(feature).over(w)).withColumn("_n", F.count(feature).over(w))
+    d = d.withColumn("hist_std", F.greatest(F.stddev_pop(feature).over(w), F.lit(min_sigma)))
+    d = d.withColumn("sigmas", F.when(F.col("_n") >= min_days, F.abs(F.col(forecast) - F.col("hist_mean")) / F.col("hist_std")))
+    pull = F.least(F.lit(max_pull), (F.col("sigmas") - start) / start * max_pull)
+    out = F.when(F.col("sigmas") > start, F.col(forecast) * (1 - pull) + F.col("hist_mean") * pull).otherwise(F.col(forecast))
+    return d.withColumn("clamped", F.greatest(out, F.lit(0.0))).drop("_n")
+
+
+def drastic_scores(clamped: DataFrame, threshold: float = 0.55) -> DataFrame:
+    """Mean distance in sigmas per day, and whether the day before was marked unstable."""
+    d = clamped.groupBy("state", "date").agg(F.avg("sigmas").alias("score"))
     prev = F.max(F.when(F.col("score") >= threshold, 1).otherwise(0)).over(days_ago(ST, 1))
-    return d.withColumn("unstable", F.col("score") >= threshold).withColumn("prev_unstable", F.coalesce(prev, F.lit(0)))
+    return d.withColumn("unstable", F.coalesce(F.col("score") >= threshold, F.lit(False))).withColumn("prev_unstable", F.coalesce(prev, F.lit(0)))
 
 
 def trend_corridor(df: DataFrame, z: float = 2.0, window: int = 7, forecast: str = "forecast", feature: str = "actual") -> DataFrame:
-    """Forecasts that leave the corridor of last week's block-to-block slopes take the trend path instead.
+    """Forecasts outside z sigma of the trend path take the path.
 
-    Per block the mean and spread of the slope (change to the block before) over the last days; the trend path is
-    the first block's recent mean plus the running sum of mean slopes.
+    The path starts at the last quarter hour of the day before and adds, block by block, the mean slope that the
+    block had over the last days; sigma is the spread of that slope.
     """
-    day = Window.partitionBy("state", "date").orderBy("block")
-    d = df.withColumn("slope", F.col(feature) - F.max(feature).over(day.rangeBetween(-1, -1)))
+    s = core_rows(sliced(df, back=1).withColumn("_prev", blocks_back(feature, 1)))
+    s = s.withColumn("_slope", F.col(feature) - F.col("_prev"))
     w = days_ago(SB, window, 1)
-    d = d.withColumns({"slope_mean": F.avg("slope").over(w), "slope_std": F.stddev_pop("slope").over(w), "_lvl": F.avg(feature).over(w)})
-    start = F.first("_lvl", ignorenulls=True).over(day.rowsBetween(Window.unboundedPreceding, 0))
-    d = d.withColumn("_first", start).withColumn("_rn", F.row_number().over(day))
-    d = d.withColumn("trend_path", F.col("_first") + F.sum(F.when(F.col("_rn") > 1, F.coalesce("slope_mean", F.lit(0.0))).otherwise(0.0)).over(
-        day.rowsBetween(Window.unboundedPreceding, 0)))
-    d = d.withColumn("_fs", F.col(forecast) - F.max(forecast).over(day.rangeBetween(-1, -1)))
-    out = F.coalesce(F.abs(F.col("_fs") - F.col("slope_mean")) > z * F.col("slope_std"), F.lit(False)) & F.col("trend_path").isNotNull()
-    return d.withColumn("outside", out).withColumn("patched", F.when(F.col("outside"), F.col("trend_path")).otherwise(F.col(forecast))).drop("_first", "_rn", "_fs", "_lvl")
+    s = s.withColumns({"slope_mean": F.avg("_slope").over(w), "slope_std": F.stddev_pop("_slope").over(w)})
+    day = Window.partitionBy("state", "date").orderBy("block")
+    base = F.max(F.when(F.col("block") == 1, F.col("_prev"))).over(Window.partitionBy("state", "date"))
+    path = base + F.sum(F.coalesce("slope_mean", F.lit(0.0))).over(day.rowsBetween(Window.unboundedPreceding, 0))
+    s = s.withColumn("trend_path", path)
+    out = F.coalesce((F.col("slope_std") > 0) & (F.abs(F.col(forecast) - F.col("trend_path")) > z * F.col("slope_std")), F.lit(False))
+    return s.withColumn("outside", out).withColumn("patched", F.when(F.col("outside"), F.col("trend_path")).otherwise(F.col(forecast))).drop("_prev", "_slope", "t")
 
 
 def recent_level(df: DataFrame, k: int = 4, feature: str = "load") -> DataFrame:

@@ -77,3 +77,48 @@ def daypart(block: Column | str, parts: list[tuple[str, int, int]]) -> Column:
 def date_rank(date: str = "date", keys: tuple[str, ...] = ("state",)) -> Column:
     """1 for the latest date of the key."""
     return F.dense_rank().over(Window.partitionBy(*keys).orderBy(F.col(date).desc()))
+
+
+def season_maps(month: Column) -> tuple[Column, Column, Column]:
+    """The three season maps in use: four seasons, what-if seasons, backtest seasons."""
+    four = F.when(month.isin(12, 1, 2), "winter").when(month.isin(3, 4, 5), "spring").when(month.isin(6, 7, 8), "summer").otherwise("fall")
+    what_if = F.when(month.isin(6, 7, 8, 9), "monsoon").when(month.isin(11, 12, 1, 2), "winter").otherwise("summer")
+    backtest = F.when(month.isin(3, 4, 5), "Summer").when(month.isin(6, 7, 8, 9), "Monsoon").when(month.isin(10, 11), "Post-Monsoon").otherwise("Winter")
+    return four, what_if, backtest
+
+
+def transition_flags(days: DataFrame, holidays: DataFrame, cap: int = 366) -> DataFrame:
+    """Holiday transition flags of each date, with uncapped distances (999 = none within the cap)."""
+    d = holiday_flag(days, holidays)
+    d = holiday_flag(holiday_flag(d, holidays, "_p", -1), holidays, "_n", 1)
+    dow, hol = weekday("date"), F.col("is_holiday") == 1
+    adj = (F.col("_p") == 1) | (F.col("_n") == 1)
+    d = d.withColumns({
+        "holiday_on_weekday": (hol & (dow < 5)).cast("int"), "holiday_before_weekend": (hol & (dow == 4)).cast("int"),
+        "holiday_after_weekend": (hol & (dow == 0)).cast("int"), "bridge_day": (~hol & (dow < 5) & adj).cast("int"),
+        "long_weekend": ((dow >= 5) & adj).cast("int"), "midweek_holiday": (hol & dow.between(1, 3)).cast("int")}).drop("_p", "_n")
+    return holiday_distance(d, holidays, cap, 999)
+
+
+def day_type(df: DataFrame) -> Column:
+    """Ten-way day type from the transition flags."""
+    one = lambda c: F.col(c) == 1
+    dow = weekday("date")
+    hol = F.when(one("holiday_before_weekend"), "Holiday-Fri").when(one("holiday_after_weekend"), "Holiday-Mon").when(one("midweek_holiday"), "Holiday-MidWeek").otherwise("Holiday")
+    return (F.when(one("is_holiday"), hol).when(one("bridge_day"), "BridgeDay").when(one("long_weekend"), "LongWeekend")
+            .when(dow >= 5, "Weekend").when(dow == 4, "Friday").when(dow == 0, "Monday").otherwise("Weekday"))
+
+
+def peak_window(df: DataFrame, q: float = 0.75, min_width: int = 8, fallback: tuple[int, int] = (33, 72), feature: str = "load") -> DataFrame:
+    """Longest run of blocks whose median lies at or above the q-quantile of the median profile, else the fallback."""
+    from quarterhour.functions.stats import quantile
+    from quarterhour.operators.grid import forward_fill, run_ids
+    prof = df.groupBy("state", "block").agg(F.median(feature).alias("m"))
+    grid = df.select("state").distinct().withColumn("block", F.explode(F.sequence(F.lit(1), F.lit(96))))
+    prof = forward_fill(grid.join(prof, ["state", "block"], "left"), "m", ["state"], "block")
+    cut = prof.groupBy("state").agg(quantile("m", q).alias("_q"))
+    p = run_ids(prof.join(cut, "state").withColumn("peak", F.col("m") >= F.col("_q")), F.col("peak"), ["state"], "block")
+    runs = p.where("peak").groupBy("state", "run_id").agg(F.min("block").alias("s"), F.max("block").alias("e"))
+    best = runs.withColumn("n", F.col("e") - F.col("s") + 1).groupBy("state").agg(F.max_by(F.struct("s", "e", "n"), F.struct("n", -F.col("s"))).alias("b")).select("state", "b.*")
+    ok = F.col("n") >= min_width
+    return best.select("state", F.when(ok, F.col("s")).otherwise(fallback[0]).alias("peak_start"), F.when(ok, F.col("e")).otherwise(fallback[1]).alias("peak_end"))

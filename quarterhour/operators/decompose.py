@@ -79,23 +79,23 @@ def circular_smooth(df: DataFrame, value: str, width: int, keys: Sequence[str],
 
 
 def edge_padded_smooth(value: str, width: int, keys: Sequence[str]) -> Column:
-    """Centred mean over ``width`` blocks; beyond the ends the first and last values repeat."""
-    half = width // 2
+    """Mean over ``width`` blocks (half of them before the row); beyond the ends the first and last values repeat."""
+    left, right = width // 2, width - 1 - width // 2
     w = Window.partitionBy(*keys).orderBy("block")
-    full = w.rowsBetween(-half, half)
-    n = F.count(F.lit(1)).over(full)
+    frame = w.rowsBetween(-left, right)
+    n = F.count(F.lit(1)).over(frame)
     first = F.first(value).over(w.rowsBetween(Window.unboundedPreceding, 0))
     last = F.first(value).over(Window.partitionBy(*keys).orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, 0))
-    pad = F.when(F.row_number().over(w) <= half, first).otherwise(last)
-    return (F.sum(value).over(full) + (width - n) * pad) / width
+    head = F.greatest(F.lit(left) - (F.row_number().over(w) - 1), F.lit(0))
+    return (F.sum(value).over(frame) + head * first + (width - n - head) * last) / width
 
 
 # Savitzky-Golay coefficients for a 5-point quadratic fit.
 SAVGOL_5_2 = (-3.0, 12.0, 17.0, 12.0, -3.0)
 
 
-def savgol(value: str, keys: Sequence[str], blend: float = 0.8) -> Column:
-    """5-point quadratic smoothing with clamped ends, blended with the raw value."""
+def savgol(value: str, keys: Sequence[str], raw_share: float = 0.8) -> Column:
+    """Raw value blended with its 5-point quadratic smooth (ends repeat, never negative)."""
     w = Window.partitionBy(*keys).orderBy("block")
     up, dn = lambda k: F.lag(value, k).over(w), lambda k: F.lead(value, k).over(w)
     v = F.col(value)
@@ -103,7 +103,7 @@ def savgol(value: str, keys: Sequence[str], blend: float = 0.8) -> Column:
     l2, r2 = F.coalesce(up(2), l1), F.coalesce(dn(2), r1)
     c = SAVGOL_5_2
     smooth = (c[0] * l2 + c[1] * l1 + c[2] * v + c[3] * r1 + c[4] * r2) / 35.0
-    return blend * smooth + (1 - blend) * v
+    return raw_share * v + (1 - raw_share) * F.greatest(smooth, F.lit(0.0))
 
 
 def median3(value: str, keys: Sequence[str]) -> Column:
@@ -112,3 +112,37 @@ def median3(value: str, keys: Sequence[str]) -> Column:
     v = F.col(value)
     trio = F.array_sort(F.array(F.coalesce(F.lag(value).over(w), v), v, F.coalesce(F.lead(value).over(w), v)))
     return F.element_at(trio, 2)
+
+
+def recency_weighted(value: Column | str, age_days: Column, half_life: float = 21.0) -> Column:
+    """Mean weighted by exponential recency (0.693 / half life per day)."""
+    v = F.col(value) if isinstance(value, str) else value
+    w = F.exp(-0.693 * age_days / half_life)
+    return F.try_divide(F.sum(v * w), F.sum(F.when(v.isNotNull(), w)))
+
+
+def ema_of_day(df: DataFrame, value: str, alpha: float = 0.5, keys: Sequence[str] = ("state", "date")) -> DataFrame:
+    """Exponential moving average over a day's blocks in order, started at the first value (at most 96 values a group)."""
+    seq = F.array_sort(F.collect_list(F.when(F.col(value).isNotNull(), F.struct("block", F.col(value).cast("double").alias("v")))))
+    folded = F.aggregate(F.slice("s", 2, 96), F.element_at("s", 1)["v"], lambda acc, x: alpha * x["v"] + (1 - alpha) * acc)
+    return df.groupBy(*keys).agg(seq.alias("s")).where(F.size("s") > 0).select(*keys, folded.alias("ema"))
+
+
+def ramp_limited(df: DataFrame, value: str, max_ramp: float = 300.0, settled: int = 0, keys: Sequence[str] = ("state", "date"), out: str = "limited") -> DataFrame:
+    """Each block after the settled ones stays within +-max_ramp of the *adjusted* block before it.
+
+    A true recurrence: the day's blocks are folded in order inside one array (at most 96 values) and exploded again.
+    """
+    seq = F.array_sort(F.collect_list(F.struct("block", F.col(value).cast("double").alias("v"))))
+    r = F.lit(float(max_ramp))
+
+    def step(acc, x):
+        prev = F.element_at(acc, -1)["v"]
+        lim = F.least(F.greatest(x["v"], prev - r), prev + r)
+        nxt = F.when((F.size(acc) == 0) | (x["block"] <= settled), x["v"]).otherwise(lim)
+        return F.concat(acc, F.array(F.struct(x["block"].alias("block"), nxt.alias("v"))))
+
+    start = F.array().cast("array<struct<block:int,v:double>>")
+    days = df.groupBy(*keys).agg(seq.alias("s"))
+    folded = days.select(*keys, F.explode(F.aggregate("s", start, step)).alias("x")).select(*keys, "x.block", F.col("x.v").alias(out))
+    return df.join(folded, [*keys, "block"])
