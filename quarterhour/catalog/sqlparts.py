@@ -45,3 +45,34 @@ def grid(src: str, keys: str = "state") -> str:
 def melt(src: str, keys: str, names: list[str]) -> str:
     """(keys, metric, value) rows from columns."""
     return " UNION ALL ".join(f"SELECT {keys}, '{n}' AS metric, CAST({n} AS DOUBLE) AS value FROM {src}" for n in names)
+
+
+def _det(m: list[list[str]]) -> str:
+    if len(m) == 1:
+        return m[0][0]
+    if len(m) == 2:
+        return f"({m[0][0]} * {m[1][1]} - {m[0][1]} * {m[1][0]})"
+    out = []
+    for j in range(3):
+        minor = [[m[i][k] for k in range(3) if k != j] for i in (1, 2)]
+        out.append(("-" if j % 2 else "+") + f" {m[0][j]} * {_det(minor)}")
+    return "(" + " ".join(out) + ")"
+
+
+def ols(src: str, y: str, xs: list[str], keys: str, min_rows: int = 10) -> str:
+    """Least squares on up to three features by Cramer's rule, as in the DataFrame operator."""
+    k = len(xs)
+    where = " AND ".join(f"{c} IS NOT NULL" for c in [y, *xs])
+    aggs = [f"avg({x}) AS m{i}, covar_pop({x}, {y}) AS c{i}y" for i, x in enumerate(xs)]
+    aggs += [f"covar_pop({xs[i]}, {xs[j]}) AS c{i}{j}" for i in range(k) for j in range(i, k)]
+    cov = [[f"c{min(i, j)}{max(i, j)}" for j in range(k)] for i in range(k)]
+    scale = " * ".join(cov[i][i] for i in range(k))
+    betas = []
+    for j in range(k):
+        m = [[f"c{i}y" if c == j else cov[i][c] for c in range(k)] for i in range(k)]
+        betas.append(f"{_det(m)} / d AS beta_{xs[j]}")
+    fit = " - ".join(["my", *[f"beta_{x} * m{i}" for i, x in enumerate(xs)]])
+    expl = " + ".join(f"beta_{x} * c{i}y" for i, x in enumerate(xs))
+    return f"""SELECT {keys}, {fit} AS intercept, {', '.join(f'beta_{x}' for x in xs)}, ({expl}) / nullif(vy, 0) AS r2, n FROM (
+      SELECT *, {', '.join(betas)} FROM (SELECT *, CASE WHEN abs({_det(cov)}) > 1e-12 * abs({scale}) THEN {_det(cov)} END AS d FROM (
+        SELECT {keys}, count(*) AS n, avg({y}) AS my, var_pop({y}) AS vy, {', '.join(aggs)} FROM {src} WHERE {where} GROUP BY {keys} HAVING count(*) >= {min_rows})))"""

@@ -137,8 +137,8 @@ def day_anomalies(df: DataFrame, limit: float = 0.06, window: int = 7, feature:
     """Days whose mean leaves the mean of the trailing days by more than the limit, and the days right after them."""
     d = df.groupBy("state", "date").agg(F.avg(feature).alias("mean"))
     w = days_ago(ST, window, 1)
-    d = d.withColumn("trailing", F.when(F.count("mean").over(w) >= 2, F.avg("mean").over(w)))
-    d = d.withColumn("anomalous", F.coalesce(F.abs(ratio(F.col("mean") - F.col("trailing"), "trailing")) > limit, F.lit(False)))
+    d = d.withColumn("trailing_mean", F.when(F.count("mean").over(w) >= 2, F.avg("mean").over(w)))
+    d = d.withColumn("anomalous", F.coalesce(F.abs(ratio(F.col("mean") - F.col("trailing_mean"), "trailing_mean")) > limit, F.lit(False)))
     after = F.coalesce(F.max(F.col("anomalous").cast("int")).over(days_ago(ST, 1)), F.lit(0)) == 1
     return d.withColumn("excluded", F.col("anomalous") | after)
 
@@ -156,8 +156,8 @@ def previous_night_dip(df: DataFrame, limit: float = 0.15, window: int = 7, nigh
     """Night mean of the day before against the nights of the week before it."""
     d = df.where(F.col("block").between(*night)).groupBy("state", "date").agg(F.avg(feature).alias("night_mean"))
     w = days_ago(ST, window, 1)
-    d = d.withColumn("trailing", F.when(F.count("night_mean").over(w) >= 2, F.avg("night_mean").over(w)))
-    d = d.withColumn("dip", F.coalesce(F.col("night_mean") < (1 - limit) * F.col("trailing"), F.lit(False)))
+    d = d.withColumn("trailing_mean", F.when(F.count("night_mean").over(w) >= 2, F.avg("night_mean").over(w)))
+    d = d.withColumn("dip", F.coalesce(F.col("night_mean") < (1 - limit) * F.col("trailing_mean"), F.lit(False)))
     return d.withColumn("prev_night_dip", F.coalesce(F.max(F.col("dip").cast("int")).over(days_ago(ST, 1)), F.lit(0)))
 
 
