@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from quarterhour.catalog.core import query
 from quarterhour.operators import features as ft
 from quarterhour.operators.calendar import holiday_flag, transition_flags
-from quarterhour.plans.design import FEATURE_GROUPS, design_matrix, feature_columns, state_series
+from quarterhour.plans.design import design_matrix, feature_columns, state_series
 from quarterhour.plans.final_frame import final_features
 
 _TF = """hour, dow AS day_of_week, CAST(day(date) AS INTEGER) AS day_of_month, month, is_weekend, cos(2 * pi() * hour / 24) AS hour_cos, sin(2 * pi() * dow / 7) AS dow_sin, cos(2 * pi() * dow / 7) AS dow_cos,
@@ -153,15 +153,17 @@ def _(v):
     return design_matrix(v.grid, wx, v.hol, horizon=2)
 
 
-@query("f11_feature_groups", "grp position:i feature", "SELECT * FROM (VALUES " + ", ".join(
-    f"('{g}', {i}, '{c}')" for g in FEATURE_GROUPS for i, c in enumerate(FEATURE_GROUPS[g])) + ") t(grp, position, feature) WHERE (SELECT count(*) FROM events) > 0")
+@query("f11_feature_groups", "state feature filled:i", """
+    WITH g AS (SELECT g.*, CAST(g.date - DATE '1970-01-01' AS BIGINT) AS dn FROM v_grid g),
+    w AS (SELECT state, max(load) OVER (b RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING) AS lag_h_load, max(load) OVER (b RANGE BETWEEN 7 PRECEDING AND 7 PRECEDING) AS lag_7d_load, max(load) OVER (b RANGE BETWEEN 14 PRECEDING AND 14 PRECEDING) AS lag_14d_load,
+      avg(load) OVER (b RANGE BETWEEN 7 PRECEDING AND 1 PRECEDING) AS roll7_mean_load FROM g WINDOW b AS (PARTITION BY state, block ORDER BY dn))
+    SELECT state, 'lag_h_load' AS feature, count(lag_h_load) AS filled FROM w GROUP BY state UNION ALL SELECT state, 'lag_7d_load', count(lag_7d_load) FROM w GROUP BY state
+    UNION ALL SELECT state, 'lag_14d_load', count(lag_14d_load) FROM w GROUP BY state UNION ALL SELECT state, 'roll7_mean_load', count(roll7_mean_load) FROM w GROUP BY state""")
 def _(v):
-    rows = ", ".join(f"('{g}', {i}, '{c}')" for g in FEATURE_GROUPS for i, c in enumerate(feature_columns([g])) if c in FEATURE_GROUPS[g])
-    base = len(FEATURE_GROUPS["base"])
-    from quarterhour import dims
-    d = dims.values_frame(v.spark, "grp, position, feature", rows)
-    d = d.withColumn("position", F.when(F.col("grp") == "base", F.col("position")).otherwise(F.col("position") - base))
-    return d.crossJoin(v.table("events").agg(F.count(F.lit(1)).alias("n"))).where("n > 0")
+    names = feature_columns(["base"])[:4]
+    d = design_matrix(v.grid, None, v.hol, horizon=1).select("state", *names)
+    long = d.select("state", F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("x")) for c in names])).alias("p")).select("state", "p.*")
+    return long.groupBy("state", "feature").agg(F.count("x").alias("filled"))
 
 
 @query("f12_training_windows", "state rot_date history_blocks:i future_blocks:i history_load:f future_load:f", """

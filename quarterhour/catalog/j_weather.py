@@ -193,7 +193,7 @@ def _(v):
 
 
 def _fac(name, c, lim, rise, unit):
-    return f"CASE WHEN {c} >= {lim} OR coalesce({c}_delta >= {rise}, false) THEN '{name} abnormality: ' || printf('%.1f', round({c} + 1e-9, 1)) || '{unit}' || CASE WHEN {c}_delta IS NOT NULL THEN ', ' || printf('%+.1f', round({c}_delta + 1e-9, 1)) || ' vs trailing 7d' ELSE '' END || '.' END"
+    return f"CASE WHEN {c} >= {lim} OR coalesce({c}_delta >= {rise}, false) THEN '{name} abnormality: ' || printf('%.1f', round({c} + 1e-9, 1)) || '{unit}' || CASE WHEN {c}_delta IS NOT NULL THEN ', ' || printf('%+.1f', round({c}_delta + 1e-9, 1) + CAST(0 AS DOUBLE)) || ' vs trailing 7d' ELSE '' END || '.' END"
 
 
 @query("j17_abnormal_factor_text", "state date factors", f"""
@@ -242,7 +242,7 @@ def _(v):
     WITH d AS (SELECT state, date, avg(wind_speed_10m) FILTER (WHERE block BETWEEN 69 AND 76) AS pw, sum(precipitation) FILTER (WHERE block BETWEEN 69 AND 88) AS pr FROM v_base GROUP BY state, date),
     c AS (SELECT state, date, CASE WHEN pw > 12 AND pr > 2 THEN least(6 * (pw - 12), 2000) ELSE 0 END AS cut_mw FROM d)
     SELECT b.state, b.date, b.block, cut_mw, -cut_mw * CASE WHEN block BETWEEN 73 AND 88 THEN 1 - 0.5::DOUBLE * (block - 73) / 15 ELSE 0 END AS adjustment,
-      CASE WHEN block BETWEEN 73 AND 88 THEN greatest(baseline - cut_mw * (1 - 0.5::DOUBLE * (block - 73) / 15), 0) ELSE baseline END AS adjusted FROM v_base b JOIN c USING (state, date)""")
+      CASE WHEN block BETWEEN 73 AND 88 THEN CASE WHEN baseline IS NOT NULL THEN greatest(baseline - cut_mw * (1 - 0.5::DOUBLE * (block - 73) / 15), 0) END ELSE baseline END AS adjusted FROM v_base b JOIN c USING (state, date)""")
 def _(v):
     return wx.evening_storm(v.base, "baseline", wind=12.0, rain=2.0, mw_per_kmh=6.0)
 

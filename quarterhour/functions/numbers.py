@@ -39,3 +39,9 @@ def over_zero(c: Column | str, floor: float = 1.0) -> Column:
     """Placeholder hygiene: readings at or below ``floor`` are missing, not zero."""
     x = col(c)
     return F.when(x > floor, x)
+
+
+def nonneg(c: Column | str) -> Column:
+    """Floor at zero that keeps a missing value missing (greatest on its own would turn it into 0)."""
+    x = col(c)
+    return F.when(x.isNotNull(), F.greatest(x, F.lit(0.0)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarterhour.functions.numbers import pct_change, ratio
+from quarterhour.functions.numbers import nonneg, pct_change, ratio
 from quarterhour.functions.stats import avg_where, count_where, intercept, quantile, share_where, slope
 from quarterhour.operators.features import join_stats
 from quarterhour.operators.grid import blocks_back, core_rows, day_lag, days_ago, run_length_so_far, sliced
@@ -173,7 +173,7 @@ def sigma_clamp(df: DataFrame, forecast: str = "forecast", feature: str = "actua
     d = d.withColumn("sigmas", F.when(F.col("_n") >= min_days, F.abs(F.col(forecast) - F.col("hist_mean")) / F.col("hist_std")))
     pull = F.least(F.lit(max_pull), (F.col("sigmas") - start) / start * max_pull)
     out = F.when(F.col("sigmas") > start, F.col(forecast) * (1 - pull) + F.col("hist_mean") * pull).otherwise(F.col(forecast))
-    return d.withColumn("clamped", F.greatest(out, F.lit(0.0))).drop("_n")
+    return d.withColumn("clamped", nonneg(out)).drop("_n")
 
 
 def drastic_scores(clamped: DataFrame, threshold: float = 0.55) -> DataFrame:

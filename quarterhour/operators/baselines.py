@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarterhour.functions.blocks import rotated
-from quarterhour.functions.numbers import ratio
+from quarterhour.functions.numbers import nonneg, ratio
 from quarterhour.functions.stats import count_where, quantile
 from quarterhour.operators.calendar import holiday_flag
 from quarterhour.operators.features import join_stats
@@ -60,8 +60,7 @@ def reference_baseline(design: DataFrame) -> Column:
 def ordered_quantiles(p10: Column, p50: Column, p90: Column) -> tuple[Column, Column, Column]:
     """p10 <= p50 <= p90 and never negative."""
     a = F.array_sort(F.array(p10, p50, p90))
-    z = F.lit(0.0)
-    return tuple(F.greatest(F.element_at(a, i), z) for i in (1, 2, 3))
+    return tuple(nonneg(F.element_at(a, i)) for i in (1, 2, 3))
 
 
 def relative_band(df: DataFrame, point: str, window: int = 56, min_rows: int = 7 * 96, default: float = 0.05) -> DataFrame:
@@ -168,8 +167,8 @@ def persistence_48h(df: DataFrame, window: int = 7, feature: str = "load") -> Da
     """Block mean of the last days repeated over the next two days, with +-1.96 sigma."""
     j = join_stats(df.select("state", "date", "block", feature), ["state"], _last=F.max("date"))
     prof = j.where(F.col("date") > F.date_sub("_last", window)).groupBy("state", "block").agg(F.avg(feature).alias("forecast"), F.stddev_samp(feature).alias("_s"), F.max("_last").alias("_last"))
-    out = prof.select("state", F.date_add("_last", F.explode(F.array(F.lit(1), F.lit(2)))).alias("date"), "block", "forecast", "_s")
-    return out.withColumn("upper", F.col("forecast") + 1.96 * F.col("_s")).withColumn("lower", F.greatest(F.lit(0.0), F.col("forecast") - 1.96 * F.col("_s"))).drop("_s")
+    out = prof.withColumn("_k", F.explode(F.array(F.lit(1), F.lit(2)))).select("state", F.date_add("_last", F.col("_k")).alias("date"), "block", "forecast", "_s")
+    return out.withColumn("upper", F.col("forecast") + 1.96 * F.col("_s")).withColumn("lower", nonneg(F.col("forecast") - 1.96 * F.col("_s"))).drop("_s")
 
 
 def synthetic_day(df: DataFrame, template: str, date: str) -> DataFrame:
@@ -209,14 +208,14 @@ def assemble(df: DataFrame, half_life: float = 24.0, settled: int = 0) -> DataFr
     """
     dist = F.greatest(F.col("block") - settled, F.lit(0))
     level = F.coalesce("level_correction", F.lit(0.0)) * F.exp(-0.693 * dist / half_life)
-    fc = F.greatest(F.col("baseline") + F.coalesce("calendar_offset", F.lit(0.0)) + level, F.lit(0.0))
+    fc = nonneg(F.col("baseline") + F.coalesce("calendar_offset", F.lit(0.0)) + level)
     return df.withColumn("corr_level", level).withColumn("forecast", F.when((F.col("block") <= settled) & F.col("load").isNotNull(), F.col("load")).otherwise(fc))
 
 
 def normal_band(df: DataFrame, point: str = "forecast", sigma: str = "sigma") -> DataFrame:
     """p10 / p90 from a normal residual spread, and confidence = 100 - relative band."""
     f, s = F.col(point), F.col(sigma)
-    p10, p90 = F.greatest(f - 1.2816 * s, F.lit(0.0)), f + 1.2816 * s
+    p10, p90 = nonneg(f - 1.2816 * s), f + 1.2816 * s
     conf = F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100.0 - ratio(p90 - p10, f) * 100.0))
     return df.withColumn("p10", p10).withColumn("p90", p90).withColumn("confidence", conf)
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quarterhour import BLOCKS_PER_DAY
 from quarterhour.dims import WEATHER
 from quarterhour.functions.blocks import day_number
-from quarterhour.functions.numbers import ratio
+from quarterhour.functions.numbers import nonneg, ratio
 from quarterhour.functions.physics import degrees_above, dew_point, wet_bulb
 from quarterhour.functions.stats import avg_where, count_where, pearson, quantile, weighted_avg
 from quarterhour.operators.features import join_stats
@@ -293,7 +293,7 @@ def evening_storm(df: DataFrame, forecast: str, wind: float = 25.0, rain: float
     cut = F.when((F.col("pre_wind") > wind) & (F.col("pre_rain") > rain), F.least(mw_per_kmh * (F.col("pre_wind") - wind), F.lit(cap))).otherwise(0.0)
     j = df.join(d.withColumn("cut_mw", cut), DAY)
     taper = F.when(b.between(73, 88) & (b > settled), 1.0 - 0.5 * (b - 73) / 15.0).otherwise(0.0)
-    return j.withColumn("adjustment", -F.col("cut_mw") * taper).withColumn("adjusted", F.when(taper > 0, F.greatest(F.col(forecast) + F.col("adjustment"), F.lit(0.0))).otherwise(F.col(forecast)))
+    return j.withColumn("adjustment", -F.col("cut_mw") * taper).withColumn("adjusted", F.when(taper > 0, nonneg(F.col(forecast) + F.col("adjustment"))).otherwise(F.col(forecast)))
 
 
 def weighted_or_mean(long: DataFrame, weights: DataFrame, mean: DataFrame, columns: Sequence[str], min_blocks: int = 10) -> DataFrame:
