@@ -33,7 +33,7 @@ CTES = {
     "v_sldc": "SELECT state, date, block, round(sum(value), 4) AS load FROM v_ev WHERE event_type IN ('click','view','purchase') GROUP BY ALL",
     "v_wloc": """
         SELECT state, 'D' || CAST(user_id % 7 AS VARCHAR) AS location, date, block,
-               round(10 + 0.35::DOUBLE * avg(k) + 1e-9, 6) AS temperature, round(20 + 0.7::DOUBLE * avg(100 - k) + 1e-9, 6) AS humidity,
+               round(10 + 0.35::DOUBLE * avg(k) + 1e-9, 6) AS temperature, round(20 + 0.5::DOUBLE * avg(100 - k) + 0.1::DOUBLE * least(avg(value), 200) + 1e-9, 6) AS humidity,
                round(greatest(0.0::DOUBLE, max(value) - 150) / 10 + 1e-9, 6) AS precipitation, round(avg(k) + 1e-9, 6) AS cloud_cover,
                round(avg(value) / 4 + 1e-9, 6) AS wind_speed_10m,
                round(greatest(0.0::DOUBLE, 600 * sin(pi() * ((block - 1) / 4.0::DOUBLE - 6) / 12)) + 1e-9, 6) AS direct_radiation
@@ -158,7 +158,7 @@ class Views:
             F.avg("k").alias("k"), F.avg(100.0 - F.col("k")).alias("nk"), F.max("value").alias("mx"), F.avg("value").alias("av"))
         return a.select(
             "state", "location", "date", "block", _six(10.0 + 0.35 * F.col("k")).alias("temperature"),
-            _six(20.0 + 0.7 * F.col("nk")).alias("humidity"), _six(F.greatest(F.lit(0.0), F.col("mx") - 150.0) / 10.0).alias("precipitation"),
+            _six(20.0 + 0.5 * F.col("nk") + 0.1 * F.least(F.col("av"), F.lit(200.0))).alias("humidity"), _six(F.greatest(F.lit(0.0), F.col("mx") - 150.0) / 10.0).alias("precipitation"),
             _six(F.col("k")).alias("cloud_cover"), _six(F.col("av") / 4.0).alias("wind_speed_10m"),
             _six(F.greatest(F.lit(0.0), sun)).alias("direct_radiation"))
 

@@ -130,23 +130,22 @@ def ridge_beta(n, sy, sx, sxy, tri, alpha: float) -> tuple[np.ndarray, float]:
     return beta, float(sy / n - beta @ sx / n)
 
 
-def elastic_beta(n, sy, sx, sxy, tri, alpha: float, l1_ratio: float, rounds: int = 200) -> tuple[np.ndarray, float]:
-    """Elastic net by coordinate descent on the standardised moments."""
-    c, b = _centred(n, sy, sx, sxy, tri)
-    sd = np.sqrt(np.clip(np.diag(c), 0, None))
+def elastic_net(c: np.ndarray, b: np.ndarray, alpha: np.ndarray, l1_ratio: float, rounds: int = 200) -> np.ndarray:
+    """Elastic net by coordinate descent for a stack of problems given as centred moments (m x k x k and m x k)."""
+    sd = np.sqrt(np.clip(np.einsum("mii->mi", c), 0, None))
     live = sd > 1e-9
     sd = np.where(live, sd, 1.0)
-    s, r = c / np.outer(sd, sd), b / sd
-    w = np.zeros(len(sx))
+    s, r = c / (sd[:, :, None] * sd[:, None, :]), b / sd
+    w = np.zeros_like(b)
     for _ in range(rounds):
         old = w.copy()
-        for i in np.flatnonzero(live):
-            g = r[i] - s[i] @ w + s[i, i] * w[i]
-            w[i] = np.sign(g) * max(abs(g) - alpha * l1_ratio, 0.0) / (s[i, i] + alpha * (1 - l1_ratio))
-        if np.max(np.abs(w - old)) < 1e-10:
+        for i in range(b.shape[1]):
+            g = r[:, i] - np.einsum("mj,mj->m", s[:, i, :], w) + s[:, i, i] * w[:, i]
+            step = np.sign(g) * np.maximum(np.abs(g) - alpha * l1_ratio, 0.0) / (s[:, i, i] + alpha * (1 - l1_ratio) + 1e-12)
+            w[:, i] = np.where(live[:, i], step, 0.0)
+        if np.max(np.abs(w - old), initial=0.0) < 1e-10:
             break
-    beta = w / sd
-    return beta, float(sy / n - beta @ sx / n)
+    return w / sd
 
 
 def solve_ridge(products: DataFrame, xs: Sequence[str], keys: Sequence[str], alpha: float = 0.0, min_rows: int = 10) -> DataFrame:
@@ -243,49 +242,61 @@ def elastic_net_weights(df: DataFrame, xs: Sequence[str], alphas: Sequence[float
                         smooth: int = 5) -> DataFrame:
     """Per-block elastic net of load on drivers, alpha by cross-validation, relative to the block mean.
 
-    Folds are day number modulo k, so a fold's sums are subtracted from the total: every candidate is trained and
-    scored on sums alone. Weights are shrunk by n / (n + 20) and the cross-validated fit, then smoothed over blocks.
+    Folds are day number modulo k. Spark sums the cross products per (state, block, fold); one row per (state, block)
+    then carries its few fold sums, so training without a fold and scoring on it need sums alone, and a batch of such
+    rows is solved together. Weights come with a confidence (cross-validated fit times n / (n + 20)) and a version
+    smoothed over neighbouring blocks.
     """
     from quarterhour.functions.blocks import day_number
     from quarterhour.operators.decompose import circular_smooth
     d = df.withColumn("fold", F.pmod(day_number("date"), F.lit(folds)))
-    p = cross_products(d, "load", xs, ["state", "block", "fold"])
-    k = len(xs)
-
-    def full(tri):
-        a = np.zeros((k, k))
-        a[np.triu_indices(k)] = tri
-        return a + np.triu(a, 1).T
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        n, sy, syy = pdf["n"].to_numpy(), pdf["sy"].to_numpy(), pdf["syy"].to_numpy()
-        sx, sxy, sxx = (np.vstack(pdf[c].to_list()) for c in ("sx", "sxy", "sxx"))
-        tot_n = n.sum()
-        if tot_n < min_rows:
-            return pd.DataFrame(columns=names)
-        best = (np.inf, alphas[0])
-        for a in alphas:
-            sse = 0.0
-            for f in range(len(pdf)):
-                m = np.arange(len(pdf)) != f
-                if not m.any():
-                    continue
-                beta, b0 = elastic_beta(n[m].sum(), sy[m].sum(), sx[m].sum(0), sxy[m].sum(0), sxx[m].sum(0), a, l1_ratio)
-                q = full(sxx[f])
-                sse += syy[f] - 2 * b0 * sy[f] - 2 * beta @ sxy[f] + n[f] * b0**2 + 2 * b0 * beta @ sx[f] + beta @ q @ beta
-            if sse < best[0] - 1e-9:
-                best = (sse, a)
-        beta, b0 = elastic_beta(tot_n, sy.sum(), sx.sum(0), sxy.sum(0), sxx.sum(0), best[1], l1_ratio)
-        var = syy.sum() - sy.sum() ** 2 / tot_n
-        r2 = max(0.0, 1.0 - best[0] / var) if var > 0 else 0.0
-        conf = r2 * tot_n / (tot_n + 20.0)
-        mean = sy.sum() / tot_n
-        row = [pdf["state"].iloc[0], int(pdf["block"].iloc[0]), *[float(b / mean) if mean else 0.0 for b in beta], float(conf), float(best[1]), float(tot_n)]
-        return pd.DataFrame([row], columns=names)
-
+    cols = ["n", "sy", "syy", "sx", "sxy", "sxx"]
+    p = cross_products(d, "load", xs, ["state", "block", "fold"]).groupBy("state", "block").agg(F.array_sort(F.collect_list(F.struct("fold", *cols))).alias("f"))
+    k, na = len(xs), len(alphas)
     names = ["state", "block", *[f"{x}_weight" for x in xs], "confidence", "alpha", "n"]
     schema = "state string, block int, " + ", ".join(f"{x}_weight double" for x in xs) + ", confidence double, alpha double, n double"
-    out = p.groupBy("state", "block").applyInPandas(fit, schema)
+    iu = np.triu_indices(k)
+
+    def square(tri: np.ndarray) -> np.ndarray:
+        a = np.zeros((*tri.shape[:-1], k, k))
+        a[..., iu[0], iu[1]] = tri
+        a[..., iu[1], iu[0]] = tri
+        return a
+
+    def fit_all(sums: dict[str, np.ndarray], alpha: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = sums["n"][:, None]
+        c = square(sums["sxx"]) / n[:, :, None] - np.einsum("mi,mj->mij", sums["sx"], sums["sx"]) / n[:, :, None] ** 2
+        b = sums["sxy"] / n - sums["sx"] * sums["sy"][:, None] / n**2
+        beta = elastic_net(c, b, alpha, l1_ratio)
+        return beta, (sums["sy"] - np.einsum("mi,mi->m", beta, sums["sx"])) / sums["n"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            g = len(pdf)
+            fold = {c: np.zeros((g, folds, *((k,) if c in ("sx", "sxy") else (len(iu[0]),) if c == "sxx" else ()))) for c in cols}
+            for i, rows in enumerate(pdf["f"]):
+                for r in rows:
+                    for c in cols:
+                        fold[c][i, int(r["fold"])] = r[c]
+            total = {c: x.sum(axis=1) for c, x in fold.items()}
+            rep = {c: (total[c][:, None] - fold[c]) for c in cols}
+            flat = {c: np.repeat(x.reshape(g * folds, *x.shape[2:]), na, axis=0) for c, x in rep.items()}
+            flat["n"] = np.maximum(flat["n"], 1e-9)
+            beta, b0 = fit_all(flat, np.tile(np.asarray(alphas), g * folds))
+            t = {c: np.repeat(x.reshape(g * folds, *x.shape[2:]), na, axis=0) for c, x in fold.items()}
+            sse = (t["syy"] - 2 * b0 * t["sy"] - 2 * np.einsum("mi,mi->m", beta, t["sxy"]) + t["n"] * b0**2 + 2 * b0 * np.einsum("mi,mi->m", beta, t["sx"])
+                   + np.einsum("mi,mij,mj->m", beta, square(t["sxx"]), beta)).reshape(g, folds, na).sum(axis=1)
+            pick = np.argmin(np.round(sse, 6), axis=1)
+            total["n"] = np.maximum(total["n"], 1e-9)
+            best, _ = fit_all(total, np.asarray(alphas)[pick])
+            var = total["syy"] - total["sy"] ** 2 / total["n"]
+            r2 = np.clip(1.0 - sse[np.arange(g), pick] / np.where(var > 0, var, 1.0), 0.0, None) * (var > 0)
+            mean = total["sy"] / total["n"]
+            out = pd.DataFrame({"state": pdf["state"], "block": pdf["block"], **{f"{x}_weight": best[:, i] / np.where(mean == 0, 1.0, mean) for i, x in enumerate(xs)},
+                                "confidence": r2 * total["n"] / (total["n"] + 20.0), "alpha": np.asarray(alphas)[pick], "n": total["n"]})[names]
+            yield out[out["n"] >= min_rows]
+
+    out = p.mapInPandas(run, schema)
     for x in xs:
         out = circular_smooth(out, f"{x}_weight", smooth, ["state"])
     return out
