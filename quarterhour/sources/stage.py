@@ -1,24 +1,34 @@
-"""Materialised intermediates for plans that read one frame several times."""
+"""Materialised intermediates and the shared working folder."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str | None:
+    """The folder named by ``spark.checkpoint.dir``; a local session without that setting gets a temporary one.
+
+    On a cluster without the setting there is none, since a folder of one machine would not survive its loss.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and spark.sparkContext.master.startswith("local"):
+        folder = tempfile.mkdtemp(prefix="quarterhour-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
 
 
 def shared(df: DataFrame) -> DataFrame:
-    """Compute a frame once and store it in the shared checkpoint folder, so several branches can read it.
+    """Compute a frame once and store it in the shared folder, so several branches of a plan can read it.
 
-    The folder is the one named by ``spark.checkpoint.dir``. A local session without that setting gets a temporary
-    folder; on a cluster without it the frame is returned as it is and simply recomputed, since a folder of one
-    machine would not survive the loss of that machine.
+    Without a shared folder the frame is returned as it is and simply recomputed by each branch.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not sc.master.startswith("local"):
+        folder = shared_folder(spark)
+        if folder is None:
             return df
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quarterhour-"))
+        sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
