@@ -10,6 +10,7 @@ from quarterhour.operators import similarity as sim
 from quarterhour.operators.grid import day_lag
 from quarterhour.plans import forecast as fc
 from quarterhour.plans.design import chronological_split
+from quarterhour.sources.stage import shared
 
 
 @query("k1_seasonal_naive", "state date block:i load:f forecast:f", """
@@ -170,7 +171,7 @@ _POOL = """tg AS (SELECT DATE '2024-01-25' AS d), dy AS (SELECT state, date, avg
 
 
 def _pool(v):
-    return sim.similar_day_pool(v.frame, "2024-01-25", top=4, min_level=10.0)
+    return sim.similar_day_pool(shared(sim.day_features(v.frame)), "2024-01-25", top=4, min_level=10.0)
 
 
 @query("k14_similar_day_pool", "state date pool tier:i score:f rank:i scale:f weight:f", f"WITH {_POOL} SELECT * FROM pl")

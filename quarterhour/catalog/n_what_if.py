@@ -157,7 +157,7 @@ _ADJ = "('hot', 40, 12.5), ('hot', 41, -3.0), ('storm', 70, 8.0)"
     SELECT *, simulated_mw - baseline_mw AS deviation_mw FROM x""")
 def _(v):
     adj = dims.values_frame(v.spark, "scenario_id, block, delta_mw", _ADJ)
-    return sc.deviation_what_if(v.frame, scen(v), adj)
+    return sc.deviation_what_if(v.frame_once, scen(v), adj)
 
 
 @query("n11_deviation_summary", "state scenario_id deviation_mw:f deviation_pct:f stress_class temperature_pct:f humidity_pct:f rain_pct:f calendar_pct:f ramp_amplification_pct:f", f"""
@@ -165,7 +165,7 @@ def _(v):
     SELECT state, scenario_id, dev AS deviation_mw, pct AS deviation_pct, CASE WHEN abs(pct) > 10 THEN 'Critical' WHEN abs(pct) > 6 THEN 'Elevated' WHEN abs(pct) > 3 THEN 'Moderate' ELSE 'Low' END AS stress_class, abs(tpart) / tot * 100 AS temperature_pct,
       abs(hpart) / tot * 100 AS humidity_pct, abs(rpart) / tot * 100 AS rain_pct, abs(cpart) / tot * 100 AS calendar_pct, CASE WHEN td > 0 THEN abs(td * 2 + hd * 0.5::DOUBLE) ELSE 0 END AS ramp_amplification_pct FROM e""")
 def _(v):
-    return sc.deviation_summary(v.frame, scen(v))
+    return sc.deviation_summary(v.frame_once, scen(v))
 
 
 @query("n12_stress_index", "state scenario_id weather_score:f calendar_score:f hybrid_score:f stress_index:f banner", f"""
@@ -176,7 +176,7 @@ def _(v):
     SELECT state, scenario_id, ws AS weather_score, cs AS calendar_score, hs AS hybrid_score, idx AS stress_index, CASE WHEN idx > 70 THEN 'critical' WHEN idx > 40 THEN 'evaluated peak risk' ELSE 'normal' END AS banner FROM l""")
 def _(v):
     bridge = day_context(v.load.select("date").distinct(), v.hol).where("bridge_day = 1")
-    return sc.stress_index(v.frame, bridge, scen(v))
+    return sc.stress_index(v.frame_once, bridge, scen(v))
 
 
 @query("n13_stress_heatmap", "state dow:i scenario avg_temp:f avg_hum:f n:i stress_index:f risk_level has_peak is_top", f"""
@@ -186,7 +186,7 @@ def _(v):
     x AS (SELECT c.*, p95, least(100, coalesce(abs(((avg_temp - tmn) * tb + (avg_hum - hmn) * hb) / base_load * 100), 0) * 0.7::DOUBLE + (CASE WHEN dow >= 5 THEN 15 ELSE 5 END + CASE WHEN dow IN (0, 4) THEN 10 ELSE 0 END) * 0.3::DOUBLE) AS stress_index FROM c JOIN ss USING (state) JOIN m USING (state))
     SELECT *, CASE WHEN stress_index > 8 THEN 'Red' WHEN stress_index > 5 THEN 'Orange' WHEN stress_index > 2 THEN 'Amber' ELSE 'Green' END AS risk_level, ml > p95 AS has_peak, row_number() OVER (PARTITION BY state ORDER BY round(stress_index, 9) DESC, dow, scenario) = 1 AS is_top FROM x""")
 def _(v):
-    return sc.stress_heatmap(v.frame)
+    return sc.stress_heatmap(v.frame_once)
 
 
 @query("n14_scenario_summary", "scenario_id state peak_mw:f energy_mwh:f net_pct:f", f"""

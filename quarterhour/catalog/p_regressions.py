@@ -46,7 +46,7 @@ def _(v):
       coalesce(a.beta_hum, b.beta_hum, c.beta_hum, o3, 0) AS humidity_sensitivity, ts AS temperature_sensitivity, CASE WHEN least(nh, nd) >= 4 AND sd > 1e-6 AND sh > 0 THEN sh / sd END AS humidity_amplification, h.n AS n_days
     FROM h LEFT JOIN a USING (state) LEFT JOIN b USING (state) LEFT JOIN c USING (state) JOIN q USING (state)""")
 def _(v):
-    return rg.day_sensitivity(v.frame)
+    return rg.day_sensitivity(v.frame_once)
 
 
 @query("p4_driver_ratios", "state block:i block_mean:f weekend_weight:f holiday_weight:f", """

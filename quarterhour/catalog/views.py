@@ -218,6 +218,11 @@ class Views:
         """The lean series frame of the KPI tables, stored once because those tables read it several times."""
         return shared(self.ser_lazy)
 
+    @cached_property
+    def frame_once(self) -> DataFrame:
+        """The frame stored once, for tables that read it several times."""
+        return shared(self.frame)
+
     @cached_property
     def fc(self) -> DataFrame:
         """A stored external forecast: the load of seven days before."""

@@ -78,18 +78,22 @@ def kpi_summary(df: DataFrame) -> DataFrame:
         "peak_status", F.when(F.col("peak_accuracy") > 3, "warning").otherwise("ok"))
 
 
+def peak_class(gap: Column) -> Column:
+    return F.when(gap == 0, "Exact match").when(gap <= 2, "Close").when(gap <= 4, "Moderate error").otherwise("Poor")
+
+
 def peak_time(df: DataFrame) -> DataFrame:
     """Blocks of the actual and the forecast peak and the class of their distance."""
     d = pairs(df).groupBy(*DAY).agg(top_by("block", "actual", "block").alias("actual_peak_block"), top_by("block", "forecast", "block").alias("forecast_peak_block"))
     g = F.abs(F.col("actual_peak_block") - F.col("forecast_peak_block"))
-    return d.withColumn("block_error", g).withColumn("category", F.when(g == 0, "Exact match").when(g <= 2, "Close").when(g <= 4, "Moderate error").otherwise("Poor"))
+    return d.withColumn("block_error", g).withColumn("category", peak_class(g))
 
 
 def full_kpis(df: DataFrame) -> DataFrame:
     """The wide day table: accuracy, ramp accuracy, weather attribution, dips, time windows, peak attribution.
 
     Needs actual, forecast, baseline and the weather with its normals (temperature, n_temp, ...). One aggregation
-    over the day's blocks joined with the peak block table.
+    over the day's blocks.
     """
     from quarterhour.operators.attribution import contributions
     from quarterhour.operators.day_stats import DELTA_WINDOWS, in_window
@@ -108,8 +112,9 @@ def full_kpis(df: DataFrame) -> DataFrame:
         *[F.coalesce(F.sum(p), F.lit(0.0)).alias(p) for p in parts], F.abs(F.sum(dev) - F.coalesce(F.sum(sum((F.coalesce(p, F.lit(0.0)) for p in parts), F.lit(0.0))), F.lit(0.0))).alias("unexplained_mw"),
         count_where(pct <= -5).alias("dips"), count_where(pct >= 5).alias("rises"), F.max("_r").alias("max_ramp"),
         *[F.coalesce(sum_where(in_window("block", lo, hi), dev), F.lit(0.0)).alias(f"{n}_delta_mw") for n, lo, hi in DELTA_WINDOWS],
-        (F.max("actual") / (F.max("forecast") * 1.05 + 1e-6) * 100).alias("commitment_alignment_pct"), *[top(p).alias(f"peak_{p}") for p in parts])
-    return a.join(peak_time(df).select(*DAY, "category", "block_error"), DAY)
+        (F.max("actual") / (F.max("forecast") * 1.05 + 1e-6) * 100).alias("commitment_alignment_pct"), *[top(p).alias(f"peak_{p}") for p in parts],
+        F.abs(top_by("block", "actual", "block") - top_by("block", "forecast", "block")).alias("block_error"))
+    return a.withColumn("category", peak_class(F.col("block_error")))
 
 
 def temp_regime(t: Column) -> Column:

@@ -28,28 +28,33 @@ def off_days(days: DataFrame, holidays: DataFrame) -> DataFrame:
     return d.withColumn("off", (F.weekday("date") >= 5) | (F.col("_h") == 1)).drop("_h")
 
 
-def recent_day(grid: DataFrame, holidays: DataFrame, horizon: int = 1, k: int = 3, lookback: int = 14) -> DataFrame:
-    """Mean of the k latest same-type days among the ``lookback`` days up to the origin; else of the plain last k days.
+def recent_days(grid: DataFrame, holidays: DataFrame, horizons: Sequence[int] = (1,), k: int = 3, lookback: int = 14) -> DataFrame:
+    """For several horizons: mean of the k latest same-type days among the ``lookback`` days up to the origin, else of the
+    plain last k days. Columns state, date, block and ``h<horizon>``.
 
-    The day choice is made on the daily list (one row per day); each chosen day is then expanded into the target days
-    that use it, so block rows are shuffled once by (state, date) and once for the final mean.
+    The day choice is made on the daily list (one row per day) for all horizons at once; a chosen day is then expanded
+    into the (target, horizon) pairs that use it, so block rows are shuffled once by day and once for the final mean.
     """
-    day = grid.groupBy(*DAY).agg(F.count("load").alias("_n"))
-    day = off_days(day, holidays)
-    pairs = day.where(F.col("_n") > 0).select(
-        "state", F.col("date").alias("cand"), F.col("off").alias("c_off"),
-        F.explode(F.sequence(F.lit(horizon), F.lit(horizon + lookback - 1))).alias("_lag")).withColumn("date", F.date_add("cand", F.col("_lag")))
+    day = off_days(grid.groupBy(*DAY).agg(F.count("load").alias("_n")), holidays)
+    offers = F.array(*[F.struct(F.lit(h).alias("h"), F.lit(lag).alias("lag")) for h in horizons for lag in range(h, h + lookback)])
+    pairs = day.where(F.col("_n") > 0).select("state", F.col("date").alias("cand"), F.col("off").alias("c_off"), F.explode(offers).alias("o")).select(
+        "state", "cand", "c_off", F.col("o.h").alias("_h"), F.col("o.lag").alias("_lag"), F.date_add("cand", F.col("o.lag")).alias("date"))
     pairs = pairs.join(day.select("state", "date", "off"), DAY)
-    w = Window.partitionBy(*DAY)
+    w = Window.partitionBy(*DAY, "_h")
     same = F.col("c_off") == F.col("off")
     rk = F.sum(F.when(same, 1).otherwise(0)).over(w.orderBy("_lag").rowsBetween(Window.unboundedPreceding, 0))
     pairs = pairs.withColumn("_same", same).withColumn("_rk", rk)
     hit = F.col("_same") & (F.col("_rk") <= k)
     enough = F.sum(F.when(hit, 1).otherwise(0)).over(w) >= k
-    plain = F.col("_lag") <= horizon + k - 1
-    chosen = pairs.withColumn("_use", F.when(enough, hit).otherwise(plain)).where("_use").select("state", F.col("cand"), "date")
+    plain = F.col("_lag") <= F.col("_h") + k - 1
+    chosen = pairs.withColumn("_use", F.when(enough, hit).otherwise(plain)).where("_use").select("state", "cand", "date", "_h")
     vals = grid.where(F.col("load").isNotNull()).select("state", F.col("date").alias("cand"), "block", "load")
-    return chosen.join(vals, ["state", "cand"]).groupBy("state", "date", "block").agg(F.avg("load").alias("forecast"))
+    return chosen.join(vals, ["state", "cand"]).groupBy("state", "date", "block").agg(*[F.avg(F.when(F.col("_h") == h, F.col("load"))).alias(f"h{h}") for h in horizons])
+
+
+def recent_day(grid: DataFrame, holidays: DataFrame, horizon: int = 1, k: int = 3, lookback: int = 14) -> DataFrame:
+    """``recent_days`` for one horizon, as column ``forecast``."""
+    return recent_days(grid, holidays, (horizon,), k, lookback).withColumnRenamed(f"h{horizon}", "forecast")
 
 
 def reference_baseline(design: DataFrame) -> Column:

@@ -103,7 +103,15 @@ def eda_frame(df: DataFrame, holidays: DataFrame) -> DataFrame:
         more[f"{c}_sq"], more[f"{c}_cb"] = F.col(c) * F.col(c), F.col(c) * F.col(c) * F.col(c)
         for e in ("block_sin", "block_cos", "hour_sin", "hour_cos"):
             more[f"{c}_x_{e}"] = F.col(c) * F.col(e)
-    df = with_rolling(with_lags(df.withColumns(more)))
+    # group statistics come from the plain rows, not from the frame with all its windows, so the chain runs once
+    base = df.select("state", "season", "dow", "block", "load")
+    season_mean = base.groupBy("state", "season").agg(F.avg("load").alias("seasonal_profile"))
+    dow_mean = base.groupBy("state", "dow").agg(F.avg("load").alias("weekly_profile"))
+    blk = base.groupBy("state", "block").agg(F.avg("load").alias("_m"), F.stddev_samp("load").alias("_sd"))
+    score = F.abs(F.col("load") - F.col("_m")) / (F.col("_sd") + 1e-6)
+    level = base.join(blk, ["state", "block"]).groupBy("state").agg(F.avg("_sd").alias("_bm"), F.stddev_samp("_sd").alias("_bs"), quantile(score, 0.95).alias("_q"))
+    df = df.withColumns(more).join(season_mean, ["state", "season"], "left").join(dow_mean, ["state", "dow"], "left").join(level, "state", "left")
+    df = with_rolling(with_lags(df))
     df = df.withColumns({
         "dod_change": F.col("load") - F.col("d1"), "wow_change": F.col("load") - F.col("d7"),
         "temp_x_peak": F.col("temperature") * F.col("is_evening_peak"), "weather_x_load": F.col("temperature") * F.col("load"),
@@ -111,9 +119,6 @@ def eda_frame(df: DataFrame, holidays: DataFrame) -> DataFrame:
         "holiday_load": F.col("load") * F.col("is_holiday"), "baseline_dev": F.col("load") - F.col("block_mean"),
         "dev_score": F.abs(F.col("load") - F.col("block_mean")) / (F.col("block_std") + 1e-6),
     })
-    df = join_stats(df, ["state", "season"], seasonal_profile=F.avg("load"))
-    df = join_stats(df, ["state", "dow"], weekly_profile=F.avg("load"))
-    df = join_stats(df, ["state"], _bm=F.avg("block_std"), _bs=F.stddev_samp("block_std"), _q=quantile("dev_score", 0.95))
     return df.withColumns({
         "variance_score": (F.col("block_std") - F.col("_bm")) / (F.col("_bs") + 1e-6),
         "peak_volatility": F.when(F.col("dev_score") > F.col("_q"), 1).otherwise(0),
@@ -205,6 +210,7 @@ def training_frame(df: DataFrame, cdd_base: float = 24.0, hdd_base: float = 15.0
     """
     t, h = F.col("temperature"), F.col("humidity")
     rh = F.least(F.greatest(h, F.lit(0.0)), F.lit(100.0))
+    day = df.groupBy("state", "date").agg(F.avg("load").alias("_dm"), F.avg(F.when(F.col("block").between(1, 32), F.col("load"))).alias("_night"))
     df = time_features(df).withColumns({
         "cdd": degrees_above(t, cdd_base), "hdd": degrees_below(t, hdd_base), "wbgt": 0.7 * wet_bulb_raw(t, rh) + 0.3 * t,
         "solar_proxy_mw": F.greatest(F.coalesce("direct_radiation", F.lit(0.0)), F.lit(0.0)) * (1 - clip(F.coalesce("cloud_cover", F.lit(50.0)), 0.0, 100.0) / 100.0) * 0.001,
@@ -220,7 +226,6 @@ def training_frame(df: DataFrame, cdd_base: float = 24.0, hdd_base: float = 15.0
         "temp_roll_3h": rolling(F.avg("temperature"), 12), "temp_roll_6h": rolling(F.avg("temperature"), 24), "lag_block_1": blocks_back("load", 1),
         "lag_block_4": blocks_back("load", 4), "rolling_4": before(4), "rolling_12": before(12),
         **{f"cdh_{n // 4}h": rolling(F.sum("cdd"), n) for n in (96, 192, 288)}}))
-    day = df.groupBy("state", "date").agg(F.avg("load").alias("_dm"), F.avg(F.when(F.col("block").between(1, 32), F.col("load"))).alias("_night"))
     nw = days_ago(("state",), 8, 2)
     day = day.withColumns({"load_trend_3d": F.col("_dm") - day_lag("_dm", 3, ("state",)), "_pn": day_lag("_night", 1, ("state",)),
                            "_pr": F.when(F.count("_night").over(nw) >= 2, F.avg("_night").over(nw))})

@@ -97,7 +97,14 @@ TIER_WEIGHTS = (1.00, 0.60, 0.30, 0.10)
 RECENCY_BOOST = 1.30
 
 
-def similar_day_pool(df: DataFrame, target: str, top: int = 8, window_days: int = 21, gust: float = 30.0, min_level: float = 100.0, cdd: float = 24.0, hdd: float = 15.0,
+def day_features(df: DataFrame, cdd: float = 24.0, hdd: float = 15.0) -> DataFrame:
+    """Level and weather of each day, the input of the similar-day choice (one row per day; worth storing, it is read several times)."""
+    return df.groupBy(*DAY).agg(
+        F.avg("load").alias("level"), F.avg("temperature").alias("t"), F.avg("humidity").alias("h"), F.avg(F.greatest(F.col("temperature") - cdd, F.lit(0.0))).alias("cdd"),
+        F.avg(F.greatest(hdd - F.col("temperature"), F.lit(0.0))).alias("hdd"), F.max(F.when(F.col("precipitation") > 0, 1).otherwise(0)).alias("rain"), F.max("wind_speed_10m").alias("wind"))
+
+
+def similar_day_pool(day: DataFrame, target: str, top: int = 8, window_days: int = 21, gust: float = 30.0, min_level: float = 100.0,
                      weights: tuple[float, float] = (0.55, 0.25), anomaly_limit: float = 0.06, min_clean: int = 5) -> DataFrame:
     """Chosen similar days of a target date per state, with tier, score, pool, scale and weight.
 
@@ -105,20 +112,17 @@ def similar_day_pool(df: DataFrame, target: str, top: int = 8, window_days: int
     the same month-day in earlier years. Anomalous days (and the days after them) leave the pool if five remain. When
     the target is calm (no rain, no gusts) so must the candidates be, if any are. Score: weighted temperature, degree-day
     and humidity distance, each in units of its spread over the pool. Days are taken by tier (same weekday, same day
-    type, others), then score, then recency. Everything here works on one row per day.
+    type, others), then score, then recency. ``day`` is the table of ``day_features``.
     """
     from quarterhour.operators.anomaly import day_anomalies
     d = F.lit(target).cast("date")
-    day = df.groupBy(*DAY).agg(
-        F.avg("load").alias("level"), F.avg("temperature").alias("t"), F.avg("humidity").alias("h"), F.avg(F.greatest(F.col("temperature") - cdd, F.lit(0.0))).alias("cdd"),
-        F.avg(F.greatest(hdd - F.col("temperature"), F.lit(0.0))).alias("hdd"), F.max(F.when(F.col("precipitation") > 0, 1).otherwise(0)).alias("rain"), F.max("wind_speed_10m").alias("wind"))
     tgt = day.where(F.col("date") == d).select("state", *[F.col(c).alias(f"_{c}") for c in ("t", "h", "cdd", "hdd", "rain", "wind")])
     c = day.where((F.col("date") < d) & (F.col("level") > min_level))
     c = c.withColumn("_r", F.row_number().over(Window.partitionBy("state").orderBy(F.desc("date"))))
     same_md = F.make_date(F.year("date"), F.month(d), F.least(F.dayofmonth(d), F.lit(28)))
     old = (F.year("date") < F.year(d)) & (F.month("date") == F.month(d)) & (F.abs(F.datediff("date", same_md)) <= window_days)
     c = c.withColumn("pool", F.when(F.col("_r") <= 7, "recent_7").when(old, "current_month")).where("pool is not null")
-    bad = day_anomalies(df, anomaly_limit).where("excluded").select(*DAY, F.lit(1).alias("_x"))
+    bad = day_anomalies(day.select(*DAY, F.col("level").alias("load")), anomaly_limit).where("excluded").select(*DAY, F.lit(1).alias("_x"))
     c = join_stats(c.join(bad, DAY, "left"), ["state"], _ok=count_where(F.col("_x").isNull()))
     c = c.where((F.col("_ok") < min_clean) | F.col("_x").isNull()).join(tgt, "state")
     calm_target = (F.col("_rain") == 0) & (F.coalesce("_wind", F.lit(0.0)) <= gust)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarterhour.operators.accuracy import metrics
-from quarterhour.operators.baselines import recent_day
+from quarterhour.operators.baselines import recent_days
 from quarterhour.operators.grid import day_lag
 
 DAY = ["state", "date"]
@@ -17,11 +17,12 @@ DAY = ["state", "date"]
 def baseline_forecasts(grid: DataFrame, holidays: DataFrame, horizons: Sequence[int] = (1, 2)) -> DataFrame:
     """Seasonal-naive and recent-day forecasts for every date and horizon, each with its fallbacks.
 
-    The lags of all horizons share one (state, block) ordering; a horizon adds one recent-day choice on the daily list.
+    The lags of all horizons share one (state, block) ordering; the recent-day choice is made once
+    for all horizons on the daily list.
     """
     d = grid.withColumn("_l7", day_lag("load", 7)).withColumns({f"_h{h}": day_lag("load", h) for h in horizons})
-    for h in horizons:
-        d = d.join(recent_day(grid, holidays, h).withColumnRenamed("forecast", f"_r{h}"), [*DAY, "block"], "left")
+    r = recent_days(grid, holidays, tuple(horizons))
+    d = d.join(r.select(*DAY, "block", *[F.col(f"h{h}").alias(f"_r{h}") for h in horizons]), [*DAY, "block"], "left")
     items = []
     for h in horizons:
         naive, recent = F.coalesce("_l7", f"_r{h}", f"_h{h}"), F.coalesce(f"_r{h}", "_l7", f"_h{h}")
