@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from quarterhour.catalog.core import query
 from quarterhour.operators import quality as q
-from quarterhour.operators.baselines import relative_band
 from quarterhour.operators.grid import day_lag
 
 _LOADQ = """cell AS (SELECT state, date, block, count(*) AS n, avg(value) AS v FROM v_ev WHERE date BETWEEN DATE '2024-01-05' AND DATE '2024-02-02' GROUP BY ALL),
@@ -101,7 +100,3 @@ def _(v):
     cov = w.groupBy("state", "date").agg(F.avg("w").alias("load_share_coverage_pct"))
     hist = v.load.groupBy("state").agg(F.count_distinct("date").alias("history_days"))
     return q.forecast_quality(contract(v), weather_contract(v), q.forecast_gate(banded(v)), cov, hist)
-
-
-def banded_relative(v):
-    return relative_band(v.grid.withColumn("p", day_lag("load", 7)), "p", min_rows=100)

@@ -1,7 +1,5 @@
 """2.I anomaly and level-shift detection."""
 
-from pyspark.sql import functions as F
-
 from quarterhour.catalog.core import query
 from quarterhour.catalog.sqlparts import slope
 from quarterhour.operators import anomaly as an

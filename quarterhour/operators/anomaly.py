@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quarterhour.functions.numbers import nonneg, pct_change, ratio
 from quarterhour.functions.stats import avg_where, count_where, intercept, quantile, share_where, slope
 from quarterhour.operators.features import join_stats
-from quarterhour.operators.grid import blocks_back, core_rows, day_lag, days_ago, run_length_so_far, sliced
+from quarterhour.operators.grid import blocks_back, core_rows, day_lag, days_ago, sliced
 
 ST = ["state"]
 SB = ("state", "block")
@@ -199,14 +199,3 @@ def trend_corridor(df: DataFrame, z: float = 2.0, window: int = 7, forecast: str
     s = s.withColumn("trend_path", path)
     out = F.coalesce((F.col("slope_std") > 0) & (F.abs(F.col(forecast) - F.col("trend_path")) > z * F.col("slope_std")), F.lit(False))
     return s.withColumn("outside", out).withColumn("patched", F.when(F.col("outside"), F.col("trend_path")).otherwise(F.col(forecast))).drop("_prev", "_slope", "t")
-
-
-def recent_level(df: DataFrame, k: int = 4, feature: str = "load") -> DataFrame:
-    s = sliced(df, back=k)
-    return core_rows(s.withColumn("back_k", blocks_back(feature, k)))
-
-
-def long_runs(df: DataFrame, flag: Column, keys: list[str], order: str, at_least: int) -> DataFrame:
-    """Rows at which a run of true values has reached the given length."""
-    d = run_length_so_far(df, flag, keys, order, "run_length")
-    return d.where(F.col("run_length") >= at_least)

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarterhour import BLOCKS_PER_DAY
-from quarterhour.functions.blocks import add_minutes, block_index, block_of, block_start
+from quarterhour.functions.blocks import add_minutes, block_index, block_of
 from quarterhour.functions.stats import quantile, windowed_median
 from quarterhour.operators.grid import blocks_of_days, dense_grid, forward_fill, interpolate, run_ids
 
@@ -116,11 +115,3 @@ def patch(df: DataFrame, patches: DataFrame, value: str = "load") -> DataFrame:
     new = cells.join(src, ["state", "from_date", "block"]).select("state", F.col("to_date").alias("date"), "block", "_p")
     out = df.join(new, [*DAY, "block"], "left")
     return out.withColumn("patched", F.col("_p").isNotNull()).withColumn(value, F.coalesce("_p", value)).drop("_p")
-
-
-def expected_minutes() -> int:
-    return 24 * 60 // BLOCKS_PER_DAY
-
-
-def timestamps(df: DataFrame) -> DataFrame:
-    return df.withColumn("Datetime", block_start("date", "block"))

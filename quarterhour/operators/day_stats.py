@@ -11,7 +11,7 @@ from quarterhour.functions.numbers import pct_change, ratio
 from quarterhour.functions.stats import avg_where, count_where, quantile, rank_corr, share_where, sum_where, top_by, kurt_sample
 from quarterhour.operators.calendar import daypart
 from quarterhour.operators.features import join_stats
-from quarterhour.operators.grid import day_lag, days_ago, run_ids
+from quarterhour.operators.grid import day_lag, run_ids
 
 DAY = ["state", "date"]
 ST = ["state"]
@@ -217,8 +217,3 @@ def last_dates(df: DataFrame, n: int) -> DataFrame:
     """Rows of each state's last n dates on record. The dates are ranked on the daily list, not on the rows."""
     d = df.select(*DAY).distinct().withColumn("_r", F.row_number().over(Window.partitionBy("state").orderBy(F.desc("date"))))
     return df.join(d.where(F.col("_r") <= n).drop("_r"), DAY, "left_semi")
-
-
-def trailing(fn: Column, n: int, keys: Sequence[str] = ST) -> Column:
-    """Daily aggregate over the n days before (own day excluded)."""
-    return fn.over(days_ago(keys, n, 1))

@@ -152,10 +152,6 @@ def kpi_features(df: DataFrame) -> DataFrame:
     return core_rows(s.withColumns({"rolling_baseline": rolling(F.avg("load"), 672), "rolling_volatility": rolling(F.stddev_samp("load"), 672)}))
 
 
-def share(num: Column | str, den: Column | str) -> Column:
-    return F.coalesce(ratio(num, den), F.lit(0.0))
-
-
 def series_frame(df: DataFrame) -> DataFrame:
     """The part of the exploration frame that KPI tables need: day lags, block level and spread, ramp, simple products.
 

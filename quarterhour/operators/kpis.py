@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarterhour.functions.numbers import pct_change, ratio
-from quarterhour.functions.stats import avg_where, bottom_by, count_where, kurt_sample, quantile, rank_corr_wide, share_where, skew_sample, slope, sum_where, top_by
+from quarterhour.functions.stats import avg_where, bottom_by, count_where, kurt_sample, quantile, rank_corr_wide, share_where, skew_sample, slope, top_by
 from quarterhour.operators.calendar import holiday_flag
 from quarterhour.operators.features import day_context, join_stats, rolling_spread, volatility_flag
 from quarterhour.operators.grid import run_ids
@@ -422,11 +422,3 @@ def monthly_growth(df: DataFrame, feature: str = "load") -> DataFrame:
     m = df.groupBy("state", F.trunc("date", "month").alias("m")).agg(F.avg(feature).alias("v"))
     m = m.withColumn("i", F.row_number().over(Window.partitionBy("state").orderBy("m")))
     return m.groupBy("state").agg(F.coalesce(slope("v", "i"), F.lit(0.0)).alias("growth_rate"))
-
-
-def energy(df: DataFrame, feature: str = "load") -> Column:
-    return F.sum(feature) * 0.25
-
-
-def total_where(cond: Column, value: str) -> Column:
-    return F.coalesce(sum_where(cond, value), F.lit(0.0))

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from quarterhour.functions.numbers import ratio
 from quarterhour.functions.stats import avg_where, count_where, rank_corr_wide
-from quarterhour.operators.calendar import season_maps
 from quarterhour.operators.features import join_stats
 
 DAY = ["state", "date"]
@@ -155,8 +154,3 @@ def similar_day_baseline(df: DataFrame, pool: DataFrame) -> DataFrame:
     j = df.select(*DAY, "block", "load").join(pool, DAY)
     v = F.col("load") * F.col("scale")
     return j.groupBy("state", "block").agg(F.try_divide(F.sum(v * F.col("weight")), F.sum(F.when(v.isNotNull(), F.col("weight")))).alias("baseline"), F.count(F.lit(1)).alias("days"))
-
-
-def same_season(df: DataFrame, date: str) -> DataFrame:
-    s = season_maps(F.month("date"))[0]
-    return df.where(s == season_maps(F.month(F.lit(date).cast("date")))[0])

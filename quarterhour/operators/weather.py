@@ -57,8 +57,9 @@ def state_weather(long: DataFrame, weights: DataFrame, limits: HeatLimits = Heat
     report. ``weights`` (location, weight) is a small dimension; districts outside it weigh 0. Rows exist where at
     least one district reports.
     """
-    w = F.broadcast(weights.select("location", F.col("weight").cast("double").alias("_w")))
-    total = weights.agg(F.sum("weight").alias("_wt"))
+    # the total weight rides along with the small weight table
+    all_rows = Window.partitionBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    w = F.broadcast(weights.select("location", F.col("weight").cast("double").alias("_w"), F.sum(F.col("weight").cast("double")).over(all_rows).alias("_wt")))
     d = long.groupBy("state", "location", "date", "block").agg(*[F.avg(c).alias(c) for c in WEATHER])
     start = d.groupBy("state").agg((F.min(day_number("date")).cast("bigint") * BLOCKS_PER_DAY + 1).alias("_t0"))
     d = d.join(start, "state").withColumn("_cd", degrees_above("temperature", limits.degree_base))
@@ -81,11 +82,11 @@ def state_weather(long: DataFrame, weights: DataFrame, limits: HeatLimits = Heat
         wm("direct_radiation").alias("rad_wmean"), quantile(t, 0.9).alias("temp_p90"), F.max(t).alias("temp_max"), F.stddev_pop(t).alias("temp_std"),
         share_at_or_above(t, F.col("_w"), limits.hot_temp).alias("hot_share"), quantile(wb, 0.9).alias("wb_p90"), F.max(wb).alias("wb_max"),
         share_at_or_above(wb, F.col("_w"), limits.hot_wet_bulb).alias("wb_hot_share"), wm("cdh6").alias("cdh6_wmean"), wm("cdh24").alias("cdh24_wmean"),
-        quantile("cdh24", 0.9).alias("cdh24_p90"), F.sum(F.when(t.isNotNull(), F.col("_w"))).alias("_present"), F.count(t).alias("wx_district_count"))
+        quantile("cdh24", 0.9).alias("cdh24_p90"), F.sum(F.when(t.isNotNull(), F.col("_w"))).alias("_present"), F.count(t).alias("wx_district_count"), F.max("_wt").alias("_wt"))
     day = g.groupBy(*DAY).agg(F.min(F.when(F.col("block").between(*limits.night), F.col("temp_wmean"))).alias("night_min_temp"), F.max("temp_wmean").alias("_dmax"))
     day = run_length_so_far(day, F.col("_dmax") >= limits.hot_day, ["state"], "date", "hot_day_streak")
     day = day.withColumn("prev_day_temp_wmax", day_lag("_dmax", 1, ST)).drop("_dmax")
-    return (g.join(day, DAY).crossJoin(F.broadcast(total)).withColumn("wx_weight_coverage", F.col("_present") / F.col("_wt")).drop("_present", "_wt"))
+    return g.join(day, DAY).withColumn("wx_weight_coverage", F.col("_present") / F.col("_wt")).drop("_present", "_wt")
 
 
 def weighted_by_location(long: DataFrame, weights: DataFrame, columns: Sequence[str] = WEATHER) -> DataFrame:
