@@ -103,6 +103,12 @@ def day_features(df: DataFrame, cdd: float = 24.0, hdd: float = 15.0) -> DataFra
         F.avg(F.greatest(hdd - F.col("temperature"), F.lit(0.0))).alias("hdd"), F.max(F.when(F.col("precipitation") > 0, 1).otherwise(0)).alias("rain"), F.max("wind_speed_10m").alias("wind"))
 
 
+def over_state(df: DataFrame, **aggs: Column) -> DataFrame:
+    """Aggregates over each state's short list of days (a few dozen rows), beside the rows."""
+    w = Window.partitionBy("state")
+    return df.withColumns({n: c.over(w) for n, c in aggs.items()})
+
+
 def similar_day_pool(day: DataFrame, target: str, top: int = 8, window_days: int = 21, gust: float = 30.0, min_level: float = 100.0,
                      weights: tuple[float, float] = (0.55, 0.25), anomaly_limit: float = 0.06, min_clean: int = 5) -> DataFrame:
     """Chosen similar days of a target date per state, with tier, score, pool, scale and weight.
@@ -122,14 +128,14 @@ def similar_day_pool(day: DataFrame, target: str, top: int = 8, window_days: int
     old = (F.year("date") < F.year(d)) & (F.month("date") == F.month(d)) & (F.abs(F.datediff("date", same_md)) <= window_days)
     c = c.withColumn("pool", F.when(F.col("_r") <= 7, "recent_7").when(old, "current_month")).where("pool is not null")
     bad = day_anomalies(day.select(*DAY, F.col("level").alias("load")), anomaly_limit).where("excluded").select(*DAY, F.lit(1).alias("_x"))
-    c = join_stats(c.join(bad, DAY, "left"), ["state"], _ok=count_where(F.col("_x").isNull()))
+    c = over_state(c.join(bad, DAY, "left"), _ok=count_where(F.col("_x").isNull()))
     c = c.where((F.col("_ok") < min_clean) | F.col("_x").isNull()).join(tgt, "state")
     calm_target = (F.col("_rain") == 0) & (F.coalesce("_wind", F.lit(0.0)) <= gust)
     calm = (F.col("rain") == 0) & (F.coalesce("wind", F.lit(0.0)) <= gust)
-    c = join_stats(c.withColumn("_calm", calm), ["state"], _nc=count_where(F.col("_calm")))
+    c = over_state(c.withColumn("_calm", calm), _nc=count_where(F.col("_calm")))
     c = c.where(~calm_target | (F.col("_nc") == 0) | F.col("_calm"))
     c = c.withColumns({"dt": F.abs(F.col("t") - F.col("_t")), "dh": F.abs(F.col("h") - F.col("_h")), "dd": F.abs(F.col("cdd") - F.col("_cdd")) + F.abs(F.col("hdd") - F.col("_hdd"))})
-    c = join_stats(c, ["state"], **{f"_s{x}": F.stddev_pop(x) for x in ("dt", "dh", "dd")})
+    c = over_state(c, **{f"_s{x}": F.stddev_pop(x) for x in ("dt", "dh", "dd")})
     unit = lambda x: F.coalesce(F.col(x), F.lit(0.0)) / F.when(F.col(f"_s{x}") > 1e-9, F.col(f"_s{x}")).otherwise(1.0)
     score = weights[0] * 0.7 * unit("dt") + weights[0] * 0.3 * unit("dd") + weights[1] * unit("dh")
     dow, we = F.weekday("date"), F.weekday("date") >= 5
@@ -138,9 +144,9 @@ def similar_day_pool(day: DataFrame, target: str, top: int = 8, window_days: int
     rk = F.row_number().over(Window.partitionBy("state").orderBy("tier", F.round("score", 9), F.desc("date")))
     c = c.withColumn("rank", rk).where(F.col("rank") <= top)
     recent = day.where((F.col("date") < d) & (F.col("level") > min_level)).withColumn("_r", F.row_number().over(Window.partitionBy("state").orderBy(F.desc("date")))).where(F.col("_r") <= 7)
-    recent = join_stats(recent, ["state"], _m=F.avg("level"), _s=F.stddev_samp("level"), _n=F.count(F.lit(1)))
+    recent = over_state(recent, _m=F.avg("level"), _s=F.stddev_samp("level"), _n=F.count(F.lit(1)))
     recent = recent.withColumn("_cl", F.when((F.col("_n") >= 3) & (F.col("_s") > 0), F.abs(F.col("level") - F.col("_m")) <= 1.8 * F.col("_s")).otherwise(True))
-    recent = join_stats(recent, ["state"], _k=count_where(F.col("_cl"))).withColumn("_cl", F.col("_cl") | (F.col("_k") < 2))
+    recent = over_state(recent, _k=count_where(F.col("_cl"))).withColumn("_cl", F.col("_cl") | (F.col("_k") < 2))
     lvl = recent.groupBy("state").agg(avg_where(F.col("_cl"), "level").alias("_lvl"))
     c = c.join(lvl, "state", "left").join(recent.where("_cl").select(*DAY, F.lit(1).alias("_clean")), DAY, "left")
     scale = F.coalesce(F.least(F.greatest(F.col("_lvl") / F.col("level"), F.lit(0.70)), F.lit(1.50)), F.lit(1.0))
