@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarterhour.llm import mixing, packing, quality_rules, secret_scan, token_counts
+from quarterhour.llm import mixing, near_dedup, packing, quality_rules, secret_scan, token_counts
 from quarterhour.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "s.n_assign", "s.n_access", "s.n_hex", "s.base_sha256", "s.spans", "s.n_entropy")
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.components(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", "full_epochs")
 
@@ -32,7 +36,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), kept.alias("kept"), "n_lines", "bits")
 
 
-QUERIES = {q.__name__: q for q in (op1_packing, op4_secret_scan, op7_mixing, op9_token_counts, op10_quality_rules)}
+QUERIES = {q.__name__: q for q in (op1_packing, op4_secret_scan, op6_near_dedup, op7_mixing, op9_token_counts, op10_quality_rules)}
 
 SQL = {
     "op7_mixing": r"""
