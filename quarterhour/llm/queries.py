@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarterhour.llm import mixing, near_dedup, packing, quality_rules, secret_scan, token_counts
+from quarterhour.llm import hamming_search, language_id, mixing, near_dedup, packing, quality_rules, secret_scan, token_counts
 from quarterhour.llm.common import table
 
 
@@ -13,11 +13,23 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    profiles = language_id.learn(docs.where(~held_out & F.col("doc_id").isNotNull()))
+    return docs.select("doc_id", held_out.alias("held_out"), language_id.predicted("text", profiles).alias("p")).select("doc_id", "held_out", "p.*")
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = table(spark, sf_dir, "documents").select("doc_id", secret_scan.secrets("text").alias("s"))
     return found.select("doc_id", "s.n_assign", "s.n_access", "s.n_hex", "s.base_sha256", "s.spans", "s.n_entropy")
 
 
+def op5_hamming_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = table(spark, sf_dir, "embeddings").select("vec_id", hamming_search.sign_code("embedding").alias("code"))
+    return hamming_search.nearest(coded, coded.where("vec_id % 50 = 0"))
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.components(table(spark, sf_dir, "documents"))
 
@@ -36,9 +48,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), kept.alias("kept"), "n_lines", "bits")
 
 
-QUERIES = {q.__name__: q for q in (op1_packing, op4_secret_scan, op6_near_dedup, op7_mixing, op9_token_counts, op10_quality_rules)}
+QUERIES = {q.__name__: q for q in (op1_packing, op3_language_id, op4_secret_scan, op5_hamming_search, op6_near_dedup, op7_mixing, op9_token_counts, op10_quality_rules)}
 
 SQL = {
+    "op5_hamming_search": r"""
+WITH signs AS (SELECT DISTINCT vec_id, list_transform(range(1, 65), lambda i: coalesce(embedding[i] > 0, false)) AS s FROM embeddings WHERE len(embedding) >= 64 AND vec_id IS NOT NULL),
+pairs AS (SELECT q.vec_id AS query_id, d.vec_id, list_sum(list_transform(range(1, 65), lambda i: CASE WHEN q.s[i] <> d.s[i] THEN 1 ELSE 0 END))::INTEGER AS distance
+          FROM signs q, signs d WHERE q.vec_id % 50 = 0)
+SELECT query_id, rank::INTEGER AS rank, vec_id, distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM pairs) WHERE rank <= 10""",
     "op7_mixing": r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
