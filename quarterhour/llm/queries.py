@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarterhour.llm import chat_tree, hamming_search, language_id, mixing, near_dedup, packing, quality_rules, secret_scan, token_counts
+from quarterhour.llm import chat_tree, hamming_search, language_id, mixing, near_dedup, packing, quality_rules, secret_scan, site_tree, token_counts
 from quarterhour.llm.common import table
 
 
@@ -46,6 +46,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", "full_epochs")
 
 
+def op8_site_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_tree.main_texts(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", token_counts.token_counts("text").alias("t")).select("doc_id", "t.*")
 
@@ -56,7 +60,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), kept.alias("kept"), "n_lines", "bits")
 
 
-QUERIES = {q.__name__: q for q in (op1_packing, op2_chat_tree, op3_language_id, op4_secret_scan, op5_hamming_search, op6_near_dedup, op7_mixing, op9_token_counts, op10_quality_rules)}
+QUERIES = {q.__name__: q for q in (op1_packing, op2_chat_tree, op3_language_id, op4_secret_scan, op5_hamming_search, op6_near_dedup, op7_mixing, op8_site_tree, op9_token_counts, op10_quality_rules)}
 
 SQL = {
     "op5_hamming_search": r"""
