@@ -34,8 +34,8 @@ CANDIDATE, WINDOW = re.compile(r"[A-Za-z0-9+/_=-]{20,}"), 20
 THRESHOLDS = {"hex": 3.0, "single_case": 3.55, "mixed": 3.75}
 #: Suppressed although random looking: UUIDs, numbers, dates and paths, base64 of one repeated unit.
 ALLOWED = [re.compile(p) for p in (r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}", r"[0-9+/_=-]+", r"[A-Za-z_/=+-]+", r"(.{1,8})\1+.{0,7}", r"(?:[A-Za-z]+|[0-9]{1,4})(?:[/_=+-]+(?:[A-Za-z]+|[0-9]{1,4}))+")]
-#: Shannon terms c*log2(c) of the possible counts in a window.
-TERM = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 1)]
+#: Shannon terms c*log2(c) of the possible counts, with one character more while one enters and none has left.
+TERM = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 2)]
 
 
 def window_entropy(text: str, window: int = WINDOW) -> float:
