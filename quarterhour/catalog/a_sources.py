@@ -172,13 +172,13 @@ def _(v):
 
 
 @query("a19_top_up", "state date block:i load:f", """
-    WITH st AS (SELECT * FROM v_load WHERE date < DATE '2024-01-25' OR (date = DATE '2024-01-25' AND block <= 40)),
+    WITH st AS (SELECT * FROM v_load WHERE state <> 'R2' AND (date < DATE '2024-01-25' OR (date = DATE '2024-01-25' AND block <= 40))),
          last AS (SELECT state, max(date) AS d FROM st GROUP BY state)
-    SELECT l.* FROM v_load l JOIN last USING (state) WHERE l.date >= d
+    SELECT l.* FROM v_load l LEFT JOIN last USING (state) WHERE (d IS NULL OR l.date >= d)
       AND NOT EXISTS (SELECT 1 FROM st s WHERE s.state = l.state AND s.date = l.date AND s.block = l.block)""")
 def _(v):
     cut = F.lit("2024-01-25").cast("date")
-    stored_part = v.load.where((F.col("date") < cut) | ((F.col("date") == cut) & (F.col("block") <= 40)))
+    stored_part = v.load.where("state <> 'R2'").where((F.col("date") < cut) | ((F.col("date") == cut) & (F.col("block") <= 40)))
     return sinks.top_up(v.load, stored_part, ["state", "date", "block"])
 
 

@@ -7,7 +7,7 @@ from quarterhour.catalog.core import query
 from quarterhour.catalog.sqlparts import interp, slope
 from quarterhour.operators import corrections as co
 from quarterhour.operators.anomaly import outage_days
-from quarterhour.operators.calendar import day_type, transition_flags
+from quarterhour.operators.calendar import day_type, transition_flags, with_calendar
 from quarterhour.operators.features import season4
 from quarterhour.operators.grid import day_lag
 
@@ -251,12 +251,17 @@ def _(v):
     WITH p AS (SELECT * FROM (VALUES {co.BEHAVIOUR_ROWS}) t(region, season, day_type, label, b_start, b_end, mw)),
     g AS (SELECT region, season, day_type, block, b_start, b_end, mw, abs(block - (b_start + b_end) / 2.0::DOUBLE) AS gap, greatest((b_end - b_start) / 2.0::DOUBLE / 2.5::DOUBLE, 2) AS sg FROM p CROSS JOIN {_BLK} b),
     a AS (SELECT region, season, day_type, block, sum(mw * exp(-0.5::DOUBLE * pow(least(gap, 96 - gap) / sg, 2))) AS raw FROM g GROUP BY ALL),
-    s AS (SELECT a.season, a.day_type, a.block, avg(b.raw) AS adjustment FROM a CROSS JOIN (SELECT unnest([-2, -1, 0, 1, 2]) AS k) o JOIN a b ON b.season = a.season AND b.day_type = a.day_type AND b.block = ((a.block + o.k - 1 + 96) % 96) + 1 GROUP BY ALL)
-    SELECT l.state, l.date, l.block, adjustment FROM v_load l JOIN s ON s.block = l.block AND s.season = 'winter' AND s.day_type = CASE WHEN isodow(date) >= 6 THEN 'Weekend' ELSE 'Weekday' END""")
+    s AS (SELECT a.region, a.season, a.day_type, a.block, avg(b.raw) AS adjustment FROM a CROSS JOIN (SELECT unnest([-2, -1, 0, 1, 2]) AS k) o JOIN a b ON b.region = a.region AND b.season = a.season AND b.day_type = a.day_type AND b.block = ((a.block + o.k - 1 + 96) % 96) + 1 GROUP BY ALL),
+    x AS (SELECT state, date, block, CASE WHEN state = 'R2' THEN 'south' ELSE 'north' END AS region, CASE WHEN month(date) IN (12,1,2) THEN 'winter' WHEN month(date) IN (3,4,5) THEN 'spring' WHEN month(date) IN (6,7,8) THEN 'summer' ELSE 'fall' END AS season,
+      CASE WHEN date IN (SELECT holiday FROM v_hol) THEN 'Holiday' WHEN isodow(date) >= 6 THEN 'Weekend' ELSE 'Weekday' END AS day_type, CASE WHEN isodow(date) >= 6 THEN 'Weekend' ELSE 'Weekday' END AS broad FROM v_load)
+    SELECT x.state, x.date, x.block, coalesce(o.adjustment, f.adjustment, 0) AS adjustment FROM x LEFT JOIN s o ON o.region = x.region AND o.season = x.season AND o.day_type = x.day_type AND o.block = x.block
+    LEFT JOIN s f ON f.region = x.region AND f.season = x.season AND f.day_type = x.broad AND f.block = x.block""")
 def _(v):
     prof = co.behaviour_adjustment(dims.values_frame(v.spark, "region, season, day_type, label, b_start, b_end, mw", co.BEHAVIOUR_ROWS))
-    d = v.load.withColumn("season", F.lower(season4(F.month("date")))).withColumn("day_type", F.when(F.weekday("date") >= 5, "Weekend").otherwise("Weekday"))
-    return d.join(F.broadcast(prof), ["season", "day_type", "block"])
+    region = F.when(F.col("state") == "R2", "south").otherwise("north")  # the second has no profiles
+    d = with_calendar(v.load, v.hol).withColumn("season", F.lower(season4(F.col("month")))).withColumn("region", region)
+    d = d.withColumn("day_type", F.when(F.col("is_holiday") == 1, "Holiday").when(F.col("dow") >= 5, "Weekend").otherwise("Weekday"))
+    return co.with_behaviour(d, prof)
 
 
 def typed(v):

@@ -26,7 +26,7 @@ def _(v):
 
 
 _FLAGS = f"""{_D}, x AS (SELECT date, isodow(date) - 1 AS dow, date IN (SELECT holiday FROM v_hol) AS h, CAST(date + 1 AS DATE) IN (SELECT holiday FROM v_hol) AS n, CAST(date - 1 AS DATE) IN (SELECT holiday FROM v_hol) AS p FROM d),
-    g AS (SELECT d.date, coalesce(min(h.holiday - d.date) FILTER (WHERE h.holiday >= d.date AND h.holiday - d.date <= 366), 999) AS days_to_holiday, coalesce(min(d.date - h.holiday) FILTER (WHERE h.holiday <= d.date AND d.date - h.holiday <= 366), 999) AS days_since_holiday FROM d CROSS JOIN v_hol h GROUP BY d.date),
+    g AS (SELECT d.date, coalesce(min(h.holiday - d.date) FILTER (WHERE h.holiday >= d.date), 999) AS days_to_holiday, coalesce(min(d.date - h.holiday) FILTER (WHERE h.holiday <= d.date), 999) AS days_since_holiday FROM d CROSS JOIN v_hol h GROUP BY d.date),
     f AS (SELECT *, CAST(h AS INTEGER) AS is_holiday, CAST(h AND dow = 4 AS INTEGER) AS holiday_before_weekend, CAST(h AND dow = 0 AS INTEGER) AS holiday_after_weekend, CAST(NOT h AND dow < 5 AND (n OR p) AS INTEGER) AS bridge_day,
       CAST(dow >= 5 AND (n OR p) AS INTEGER) AS long_weekend, CAST(h AND dow BETWEEN 1 AND 3 AS INTEGER) AS midweek_holiday FROM x JOIN g USING (date))"""
 
@@ -36,6 +36,13 @@ def _(v):
     return cal.transition_flags(v.daily.select("date").distinct(), v.hol)
 
 
+@query("q3_sparse_holidays", "date days_to_holiday:i days_since_holiday:i", """
+    WITH d AS (SELECT DISTINCT date FROM v_daily), h AS (SELECT holiday FROM v_hol WHERE year(holiday) = 1997 AND month(holiday) = 1)
+    SELECT date, coalesce(min(holiday - date) FILTER (WHERE holiday >= date), 999) AS days_to_holiday, coalesce(min(date - holiday) FILTER (WHERE holiday <= date), 999) AS days_since_holiday FROM d CROSS JOIN h GROUP BY date""")
+def _(v):
+    return cal.holiday_distance(v.daily.select("date").distinct(), v.hol.where((F.year("holiday") == 1997) & (F.month("holiday") == 1)))
+
+
 @query("q4_day_types", "date day_type", f"""
     WITH {_FLAGS} SELECT date, CASE WHEN h THEN CASE WHEN dow = 4 THEN 'Holiday-Fri' WHEN dow = 0 THEN 'Holiday-Mon' WHEN dow BETWEEN 1 AND 3 THEN 'Holiday-MidWeek' ELSE 'Holiday' END WHEN bridge_day = 1 THEN 'BridgeDay' WHEN long_weekend = 1 THEN 'LongWeekend'
       WHEN dow >= 5 THEN 'Weekend' WHEN dow = 4 THEN 'Friday' WHEN dow = 0 THEN 'Monday' ELSE 'Weekday' END AS day_type FROM f""")

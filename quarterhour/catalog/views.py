@@ -20,7 +20,10 @@ from quarterhour.operators.grid import day_lag, dense_grid
 from quarterhour.sources.stage import shared
 
 DISTRICT_WEIGHTS = {f"D{i}": 7.0 - i for i in range(7)}
-_HOL = ", ".join(f"(DATE '{d}')" for d in dims.holiday_dates())
+#: Holidays of the fixture besides the national days: an input of the queries, not of the library.
+FIXTURE_HOLIDAYS = ("2024-01-01", "2024-01-15")
+_DAYS = ", ".join(f"({m}, {d})" for m, d in dims.NATIONAL_DAYS)
+_EXTRA = ", ".join(f"(DATE '{d}')" for d in FIXTURE_HOLIDAYS)
 _W = "temperature humidity precipitation cloud_cover wind_speed_10m direct_radiation".split()
 
 CTES = {
@@ -40,7 +43,9 @@ CTES = {
         FROM v_ev GROUP BY ALL""",
     "v_wmean": "SELECT state, date, block, " + ", ".join(f"round(avg({c}) + 1e-9, 6) AS {c}" for c in _W) + " FROM v_wloc GROUP BY ALL",
     "v_dw": "SELECT * FROM (VALUES " + ", ".join(f"('{d}', {w}::DOUBLE)" for d, w in DISTRICT_WEIGHTS.items()) + ") t(location, weight)",
-    "v_hol": f"SELECT * FROM (VALUES {_HOL}) t(holiday)",
+    "v_hol": f"""
+        SELECT make_date(CAST(y AS INTEGER), m, d) AS holiday FROM (SELECT unnest(range({dims.YEARS[0]}, {dims.YEARS[1]})) AS y), (VALUES {_DAYS}) n(m, d)
+        UNION SELECT * FROM (VALUES {_EXTRA}) t(holiday)""",
     "v_daily": """
         SELECT r.r_name AS state, CAST(o.o_orderdate AS DATE) AS date, round(sum(o.o_totalprice) / 1000 + 1e-9, 6) AS load
         FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey
@@ -62,8 +67,8 @@ CTES = {
         FROM v_t WINDOW w AS (PARTITION BY state, block ORDER BY dn RANGE BETWEEN 7 PRECEDING AND 1 PRECEDING)""",
     "v_hd": """
         SELECT d.date, CAST(max(h.holiday = d.date + 1) AS INTEGER) AS hn, CAST(max(h.holiday = d.date - 1) AS INTEGER) AS hp,
-               coalesce(min(h.holiday - d.date) FILTER (WHERE h.holiday >= d.date AND h.holiday - d.date <= 366), 999) AS days_to_holiday,
-               coalesce(min(d.date - h.holiday) FILTER (WHERE h.holiday <= d.date AND d.date - h.holiday <= 366), 999) AS days_since_holiday
+               coalesce(min(h.holiday - d.date) FILTER (WHERE h.holiday >= d.date), 999) AS days_to_holiday,
+               coalesce(min(d.date - h.holiday) FILTER (WHERE h.holiday <= d.date), 999) AS days_since_holiday
         FROM (SELECT DISTINCT date FROM v_load) d CROSS JOIN v_hol h GROUP BY d.date""",
     "v_eda1": """
         SELECT v_t.*, days_to_holiday, days_since_holiday,
@@ -107,12 +112,11 @@ CTES = {
         SELECT e.*, (block_std - bm) / (bs + 1e-6) AS variance_score, CASE WHEN dev_score > q THEN 1 ELSE 0 END AS peak_volatility
         FROM v_eda2 e JOIN (SELECT state, avg(block_std) AS bm, stddev_samp(block_std) AS bs, quantile_cont(dev_score, 0.95) AS q FROM v_eda2 GROUP BY state) USING (state)""",
     "v_fc": """
-        SELECT state, CAST(date + 7 AS DATE) AS date, block, load AS forecast FROM v_load
-        WHERE CAST(date + 7 AS DATE) <= DATE '2024-01-30'""",
+        SELECT state, CAST(date + 7 AS DATE) AS date, block, load AS forecast FROM v_load""",
     "v_fcm": """
         SELECT 'lag7' AS model, state, date, block, forecast FROM v_fc
         UNION ALL
-        SELECT 'lag1', state, CAST(date + 1 AS DATE), block, load FROM v_load WHERE CAST(date + 1 AS DATE) <= DATE '2024-01-30'""",
+        SELECT 'lag1', state, CAST(date + 1 AS DATE), block, load FROM v_load""",
     "v_pair": """
         SELECT l.state, l.date, l.block, l.load AS actual, f.forecast FROM v_load l JOIN v_fc f USING (state, date, block)""",
 }
@@ -173,7 +177,7 @@ class Views:
 
     @cached_property
     def hol(self) -> DataFrame:
-        return dims.holidays(self.spark)
+        return dims.holidays(self.spark, FIXTURE_HOLIDAYS)
 
     @cached_property
     def daily(self) -> DataFrame:
@@ -229,8 +233,7 @@ class Views:
         return self._shifted(7)
 
     def _shifted(self, k: int) -> DataFrame:
-        moved = self.load.select("state", F.date_add("date", k).alias("date"), "block", F.col("load").alias("forecast"))
-        return moved.where(F.col("date") <= F.lit("2024-01-30").cast("date"))
+        return self.load.select("state", F.date_add("date", k).alias("date"), "block", F.col("load").alias("forecast"))
 
     @cached_property
     def fcm(self) -> DataFrame:

@@ -27,22 +27,18 @@ DISTRICT_ALIASES = {
 
 # Month and day of the fixed national holidays.
 NATIONAL_DAYS = ((1, 26), (8, 15), (10, 2))
-# Extra holidays of the fixture month.
-EXTRA_HOLIDAYS = ("2024-01-01", "2024-01-15")
-HOLIDAY_YEARS = (1995, 2025)
+# Years for which national days are laid out: a rule, so a wide range costs a few hundred rows.
+YEARS = (1900, 2200)
 
 # --- dimension frames ---------------------------------------------------------------------------------------------
 
 
-def holiday_dates() -> list[str]:
-    years = range(HOLIDAY_YEARS[0], HOLIDAY_YEARS[1] + 1)
-    return sorted({f"{y}-{m:02d}-{d:02d}" for y in years for m, d in NATIONAL_DAYS} | set(EXTRA_HOLIDAYS))
-
-
-def holidays(spark: SparkSession) -> DataFrame:
-    """Holiday dates, one row each (about a hundred rows)."""
-    rows = ", ".join(f"(DATE'{d}')" for d in holiday_dates())
-    return spark.sql(f"SELECT * FROM VALUES {rows} AS h(holiday)")
+def holidays(spark: SparkSession, extra: tuple[str, ...] = (), years: tuple[int, int] = YEARS) -> DataFrame:
+    """Holiday dates, one row each: the national days of all years, and those the caller adds (of a state or a year)."""
+    days = ", ".join(f"make_date(y, {m}, {d})" for m, d in NATIONAL_DAYS)
+    national = f"SELECT explode(array({days})) AS holiday FROM (SELECT explode(sequence({years[0]}, {years[1] - 1})) AS y)"
+    more = "".join(f" UNION SELECT DATE'{d}'" for d in extra)
+    return spark.sql(national + more)
 
 
 def canonical_weights(spark: SparkSession) -> DataFrame:

@@ -33,20 +33,20 @@ def calendar_fields(df: DataFrame) -> DataFrame:
         season(m).alias("season"), ds.alias("dow_sin"), dc.alias("dow_cos"), ms.alias("month_sin"), mc.alias("month_cos"))
 
 
-def holiday_distance(days: DataFrame, holidays: DataFrame, cap: int = 7, no_holiday: int | None = None) -> DataFrame:
-    """Days to the next and since the last holiday, capped; a day with no such neighbour takes the cap.
+def holiday_distance(days: DataFrame, holidays: DataFrame, cap: int | None = None, no_holiday: int = 999) -> DataFrame:
+    """Days to the next and since the last holiday, from one ordered pass over the calendar.
 
-    The holiday list is a fixed, small dimension, so each day is matched by an equi-join on every day within the
-    cap instead of an ordered scan of the whole calendar.
+    Without ``cap`` the distance is the true one, and ``no_holiday`` stands where that side has no holiday at all. With
+    it, distances end at the cap, which also stands where there is none. The pass sees a row per date, not per reading.
     """
-    near = F.broadcast(holidays.distinct().select(
-        F.explode(F.transform(F.sequence(F.lit(-cap), F.lit(cap)), lambda k: F.struct(F.date_add("holiday", k).alias("date"), k.alias("k")))).alias("n"))
-        .select("n.*").groupBy("date").agg(
-            F.max(F.when(F.col("k") <= 0, F.col("k"))).alias("_b"), F.min(F.when(F.col("k") >= 0, F.col("k"))).alias("_a")))
-    far = cap if no_holiday is None else no_holiday
-    j = days.join(near, "date", "left")
-    return (j.withColumn("days_to_holiday", F.coalesce(-F.col("_b"), F.lit(far)))
-            .withColumn("days_since_holiday", F.coalesce(F.col("_a"), F.lit(far))).drop("_a", "_b"))
+    h = holidays.select(F.col("holiday").alias("date")).distinct().withColumn("_h", F.col("date"))
+    dates = days.select("date").where("date is not null").distinct().join(h, "date", "full_outer")
+    order = Window.orderBy("date")
+    before = F.last("_h", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first("_h", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    limit = (lambda c: F.coalesce(c, F.lit(no_holiday))) if cap is None else (lambda c: F.least(F.coalesce(c, F.lit(cap)), F.lit(cap)))
+    near = dates.select("date", limit(F.datediff(after, "date")).alias("days_to_holiday"), limit(F.datediff("date", before)).alias("days_since_holiday"))
+    return days.join(near, "date", "left")
 
 
 def holiday_context(days: DataFrame, holidays: DataFrame) -> DataFrame:
@@ -87,8 +87,8 @@ def season_maps(month: Column) -> tuple[Column, Column, Column]:
     return four, what_if, backtest
 
 
-def transition_flags(days: DataFrame, holidays: DataFrame, cap: int = 366) -> DataFrame:
-    """Holiday transition flags of each date, with uncapped distances (999 = none within the cap)."""
+def transition_flags(days: DataFrame, holidays: DataFrame) -> DataFrame:
+    """Holiday transition flags of each date, with true distances (999 where that side has no holiday)."""
     d = holiday_flag(days, holidays)
     d = holiday_flag(holiday_flag(d, holidays, "_p", -1), holidays, "_n", 1)
     dow, hol = weekday("date"), F.col("is_holiday") == 1
@@ -97,7 +97,7 @@ def transition_flags(days: DataFrame, holidays: DataFrame, cap: int = 366) -> Da
         "holiday_on_weekday": (hol & (dow < 5)).cast("int"), "holiday_before_weekend": (hol & (dow == 4)).cast("int"),
         "holiday_after_weekend": (hol & (dow == 0)).cast("int"), "bridge_day": (~hol & (dow < 5) & adj).cast("int"),
         "long_weekend": ((dow >= 5) & adj).cast("int"), "midweek_holiday": (hol & dow.between(1, 3)).cast("int")}).drop("_p", "_n")
-    return holiday_distance(d, holidays, cap, 999)
+    return holiday_distance(d, holidays)
 
 
 def day_type(df: DataFrame) -> Column:

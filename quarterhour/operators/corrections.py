@@ -373,6 +373,19 @@ def behaviour_adjustment(profiles: DataFrame, weight: float = 1.0) -> DataFrame:
     return circular_smooth(a, "raw", 5, k, "adjustment")
 
 
+def with_behaviour(df: DataFrame, profiles: DataFrame) -> DataFrame:
+    """``adjustment`` of each row of (region, season, day_type, block): its own profile, else that of Weekday or Weekend, else 0.
+
+    Rows need a date besides; every row stays, and a region's profile is never given to another region.
+    """
+    k = ["region", "season", "day_type", "block"]
+    broad = F.when(F.weekday("date") >= 5, "Weekend").otherwise("Weekday")
+    own = profiles.select(*k, F.col("adjustment").alias("_own"))
+    fallback = profiles.select("region", "season", F.col("day_type").alias("_broad"), "block", F.col("adjustment").alias("_fallback"))
+    j = df.withColumn("_broad", broad).join(own, k, "left").join(fallback, ["region", "season", "_broad", "block"], "left")
+    return j.withColumn("adjustment", F.coalesce("_own", "_fallback", F.lit(0.0))).drop("_own", "_fallback", "_broad")
+
+
 def behaviour_residuals(df: DataFrame, feature: str = "load") -> DataFrame:
     """Recency-weighted mean residual against the trailing week per (state, season, day type, block)."""
     w = days_ago(SB, 7, 1)

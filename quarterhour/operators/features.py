@@ -80,7 +80,7 @@ def eda_frame(df: DataFrame, holidays: DataFrame) -> DataFrame:
     computed once per day and joined back.
     """
     days = df.select("date").distinct()
-    ctx = holiday_distance(holiday_flag(holiday_flag(days, holidays, "_p", -1), holidays, "_n", 1), holidays, 366, 999)
+    ctx = holiday_distance(holiday_flag(holiday_flag(days, holidays, "_p", -1), holidays, "_n", 1), holidays)
     df = df.join(ctx, "date", "left")
     adj = (F.col("_p") == 1) | (F.col("_n") == 1)
     bs, bc = cyclic(F.col("block") - 1, 96.0)
@@ -184,7 +184,7 @@ def volatility_flag(df: DataFrame) -> DataFrame:
 def day_context(days: DataFrame, holidays: DataFrame) -> DataFrame:
     """Bridge and long-weekend flags and holiday distances of each date (one row per date)."""
     dow = F.weekday("date")
-    ctx = holiday_distance(holiday_flag(holiday_flag(holiday_flag(days, holidays), holidays, "_p", -1), holidays, "_n", 1), holidays, 366, 999)
+    ctx = holiday_distance(holiday_flag(holiday_flag(holiday_flag(days, holidays), holidays, "_p", -1), holidays, "_n", 1), holidays)
     adj = (F.col("_p") == 1) | (F.col("_n") == 1)
     return ctx.withColumns({"bridge_day": ((F.col("is_holiday") == 0) & (dow < 5) & adj).cast("int"),
                             "long_weekend": ((dow >= 5) & adj).cast("int")}).drop("_p", "_n", "is_holiday")

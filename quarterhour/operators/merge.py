@@ -47,12 +47,15 @@ def keep_preferred(df: DataFrame, keys: list[str], kind: str = "type") -> DataFr
 
 
 def fill_from(primary: DataFrame, second: DataFrame, value: str = "load") -> DataFrame:
-    """Zeros and gaps of the first feed take the second; dates newer than the first feed's last are appended."""
+    """Zeros and gaps of the first feed take the second; dates newer than the first feed's last are appended.
+
+    A state that only the second feed has is appended whole.
+    """
     b = second.select(*KEY, F.col(value).alias("_b"))
     last = primary.groupBy("state").agg(F.max("date").alias("_last"))
     a = primary.select(*KEY, F.col(value).alias("_a"), F.lit(1).alias("_in"))
     m = a.join(b, KEY, "full_outer").join(last, "state", "left")
-    keep = F.col("_in").isNotNull() | (F.col("date") > F.col("_last"))
+    keep = F.col("_in").isNotNull() | F.col("_last").isNull() | (F.col("date") > F.col("_last"))
     return m.where(keep).select(*KEY, F.when(F.coalesce("_a", F.lit(0.0)) == 0, F.coalesce("_b", "_a")).otherwise(F.col("_a")).alias(value))
 
 

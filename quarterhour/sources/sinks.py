@@ -34,10 +34,10 @@ def not_stored(new: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
 def top_up(new: DataFrame, stored: DataFrame, keys: list[str], group: tuple[str, ...] = ("state",), date: str = "date") -> DataFrame:
     """Incremental append: rows from each group's latest stored date onwards, without stored keys.
 
-    Only the tail of the stored table from that date takes part in the anti-join.
+    A group that is not stored yet comes whole. Only the tail of the stored table from that date takes part in the anti-join.
     """
     last = stored.groupBy(*group).agg(F.max(date).alias("_last"))
-    fresh = new.join(last, list(group)).where(F.col(date) >= F.col("_last"))
+    fresh = new.join(last, list(group), "left").where(F.col("_last").isNull() | (F.col(date) >= F.col("_last")))
     tail = stored.join(last, list(group)).where(F.col(date) >= F.col("_last")).select(*keys)
     return fresh.drop("_last").dropDuplicates(keys).join(tail, keys, "left_anti")
 

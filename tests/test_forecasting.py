@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from quarterhour import dims
 from quarterhour.operators import accuracy, baselines, corrections, quality
 from quarterhour.operators.anomaly import sigma_clamp
+from quarterhour.operators.calendar import holiday_distance
 from quarterhour.operators.decompose import ramp_limited
 from quarterhour.operators.grid import dense_grid
 from quarterhour.operators.weather import HeatLimits, degree_hours, state_weather
@@ -32,6 +33,16 @@ def test_design_never_sees_load_after_the_origin(spark):
         assert x == y and len(x) == 96
 
 
+def test_holiday_distance_has_no_cutoff(spark):
+    days = spark.createDataFrame([(day(i),) for i in (-800, -1, 0, 1, 366, 367, 2000)], "date date")
+    one = spark.createDataFrame([(day(0),)], "holiday date")
+    got = {r.date: (r.days_to_holiday, r.days_since_holiday) for r in holiday_distance(days, one).collect()}
+    assert got == {day(-800): (800, 999), day(-1): (1, 999), day(0): (0, 0), day(1): (999, 1), day(366): (999, 366), day(367): (999, 367), day(2000): (999, 2000)}
+    capped = {r.date: (r.days_to_holiday, r.days_since_holiday) for r in holiday_distance(days, one, cap=7).collect()}
+    assert capped[day(367)] == (7, 7) and capped[day(1)] == (7, 1)
+    assert dims.holidays(spark).where("year(holiday) in (1950, 2031, 2199)").count() == 9
+
+
 def test_metrics_and_pinball(spark):
     p = series(spark, 2, lambda d, b: 100).withColumnRenamed("load", "actual").withColumns({"forecast": F.lit(110.0), "p10": F.lit(90.0), "p90": F.lit(130.0)})
     m = accuracy.metrics(p).first()

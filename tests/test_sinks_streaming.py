@@ -3,6 +3,7 @@ import datetime
 from helpers import as_dict, day, series
 from pyspark.sql import functions as F
 
+from quarterhour.operators import merge
 from quarterhour.sources import readers, sinks
 from quarterhour.sources.stage import shared
 from quarterhour.streaming import live
@@ -43,6 +44,14 @@ def test_top_up_ignores_conflicts(spark):
     assert add.count() == 2 * 96 and add.agg(F.min("date")).first()[0] == day(3)
 
 
+def test_new_states_are_kept(spark):
+    old, new = series(spark, 3), series(spark, 5).union(series(spark, 2, state="B"))
+    add = sinks.top_up(new, old, ["state", "date", "block"])
+    assert add.where("state = 'B'").count() == 192 and add.count() == 384
+    assert sinks.top_up(new, old.limit(0), ["state", "date", "block"]).count() == 7 * 96
+    assert merge.fill_from(old, new).where("state = 'B'").count() == 192
+
+
 def test_shared_stage_keeps_rows(spark):
     assert shared(series(spark, 2)).count() == 192
 
