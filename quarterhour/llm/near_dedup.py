@@ -10,12 +10,14 @@ Two documents are linked if 100 * intersection >= 85 * union, and a group is wha
    none of the 36 bands once in 10^6.
 3. Not all pairs of a bucket are formed. In each bucket one node, the one with the most neighbours over all bands (the
    original of a family of copies agrees with most of them), is paired with the others: as many pairs as rows. Confirmed
-   links give first groups. Only pairs of the same bucket in different groups are left; size and sketch must allow them,
-   and a pair comes from its smallest common band alone, so it comes once.
+   links give first groups. Only pairs of the same bucket in different groups are left. Their nodes get a finer odd sketch
+   (2048 samples on 4096 bits), which tells 0.85 from what lies within a family of copies; size and both sketches must
+   allow a pair, and it comes from its smallest common band alone, so once.
 4. Links are confirmed on full sets, and groups follow by alternating large-star and small-star steps on the links.
 
 Every pair that shares a band is either confirmed, refused by size (exact) or sketch, or already connected: there is no
-cap on buckets, candidates or partners. The sketch refuses pairs estimated under 0.74, four standard errors below 0.85.
+cap on buckets, candidates or partners. The sketches refuse pairs estimated under 0.72 and, the finer one, under 0.80:
+more than four standard errors below 0.85.
 
 Defined results: without words (null or empty text) a document has set size 0, is linked with nothing and kept. Rows with
 the same doc_id count as one document, so each of them has its component. A null doc_id is linked with nothing: its
@@ -36,17 +38,24 @@ from pyspark.sql import functions as F
 from quarterhour.llm.common import saved
 
 SHINGLE, PERCENT = 5, 85
-BANDS, ROWS, SKETCH_BITS, SKETCH_FLOOR = 36, 7, 512, 0.74
-SAMPLES = BANDS * ROWS
-#: Most odd bits of two sketches that are still looked at: the number expected at SKETCH_FLOOR.
-MOST_ODD = int(SKETCH_BITS / 2 * (1 - math.exp(-4 * SAMPLES * (1 - SKETCH_FLOOR) / SKETCH_BITS)))
-BLOCK, CHUNK = 1 << 20, 1024
+BANDS, ROWS = 36, 7
+SAMPLES, SKETCH_BITS, SKETCH_FLOOR = BANDS * ROWS, 512, 0.72
+FINE_SAMPLES, FINE_BITS, FINE_FLOOR = 2048, 4096, 0.80
+BLOCK, CHUNK = 1 << 20, 512
+
+
+def most_odd(samples: int, bits: int, floor: float) -> int:
+    """Odd bits expected at the similarity ``floor``: with more, two sketches are not looked at further."""
+    return int(bits / 2 * (1 - math.exp(-4 * samples * (1 - floor) / bits)))
+
+
+MOST_ODD, FINE_ODD = most_odd(SAMPLES, SKETCH_BITS, SKETCH_FLOOR), most_odd(FINE_SAMPLES, FINE_BITS, FINE_FLOOR)
 
 _random = np.random.default_rng(20240229)
 BYTE = _random.integers(0, 2**64, 256, np.uint64)
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 2**64))
-FLIP, TIMES = _random.integers(0, 2**32, SAMPLES, np.uint32), _random.integers(0, 2**32, SAMPLES, np.uint32) | np.uint32(1)
+FLIP, TIMES = _random.integers(0, 2**32, FINE_SAMPLES, np.uint32), _random.integers(0, 2**32, FINE_SAMPLES, np.uint32) | np.uint32(1)
 SPACE = np.zeros(256, bool)
 SPACE[list(b" \t\n\x0b\x0c\r")] = True
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -102,11 +111,12 @@ def shingles(text: str, size: int = SHINGLE) -> np.ndarray:
     return np.unique(h)
 
 
-def samples(hashes: np.ndarray) -> np.ndarray:
+def samples(hashes: np.ndarray, count: int = SAMPLES) -> np.ndarray:
+    """MinHash samples of a set; the first ones are the same for every count."""
     short = (mixed(hashes + BASE) >> np.uint64(32)).astype(np.uint32)
-    least = np.full(SAMPLES, 2**32 - 1, np.uint32)
+    least = np.full(count, 2**32 - 1, np.uint32)
     for at in range(0, len(short), CHUNK):
-        least = np.minimum(least, ((short[at:at + CHUNK][None, :] ^ FLIP[:, None]) * TIMES[:, None]).min(axis=1))
+        least = np.minimum(least, ((short[at:at + CHUNK][None, :] ^ FLIP[:count, None]) * TIMES[:count, None]).min(axis=1))
     return least
 
 
@@ -118,14 +128,18 @@ def bands(least: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def odd_sketch(least: np.ndarray) -> np.ndarray:
-    """Parity of how many samples fall on each bit, as eight 64-bit numbers."""
-    place = mixed(least.astype(np.uint64) * BASE + np.arange(SAMPLES, dtype=np.uint64)) >> np.uint64(64 - SKETCH_BITS.bit_length() + 1)
-    return np.packbits(np.bincount(place.astype(np.int64), minlength=SKETCH_BITS).astype(np.uint8) & 1).view(np.int64)
+def odd_sketch(least: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
+    """Parity of how many samples fall on each bit, as 64-bit numbers."""
+    place = mixed(least.astype(np.uint64) * BASE + np.arange(len(least), dtype=np.uint64)) >> np.uint64(65 - bits.bit_length())
+    return np.packbits(np.bincount(place.astype(np.int64), minlength=bits).astype(np.uint8) & 1).view(np.int64)
+
+
+def odd_bits(a: Column, b: Column, bits: int = SKETCH_BITS) -> Column:
+    return sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(1, bits // 64)), F.bit_count(a[0].bitwiseXOR(b[0])))
 
 
-def odd_bits(a: Column, b: Column) -> Column:
-    return sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(1, SKETCH_BITS // 64)), F.bit_count(a[0].bitwiseXOR(b[0])))
+def set_digest(own: np.ndarray) -> bytes:
+    return hashlib.blake2b(own.tobytes(), digest_size=16).digest()
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
@@ -141,7 +155,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = shingles(text.as_py() or "")
             least = samples(own) if len(own) else none
             sizes.append(len(own))
-            digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
+            digests.append(set_digest(own))
             keys.append(bands(least) if len(own) else none)
             sketches.append(odd_sketch(least) if len(own) else none)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), _lists(keys), _lists(sketches)], names=["doc_id", "n_shingles", "digest", "bands", "sketch"])
@@ -149,7 +163,20 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, digest, bands, sketch of each row of (doc_id, text)."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_signed, "doc_id long, n_shingles long, digest binary, bands array<long>, sketch array<long>")
+    return docs.select("doc_id", "text").mapInArrow(_signed, "doc_id long, n_shingles long, digest binary, bands array<long>, sketch array<long>")
+
+
+def _finely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [shingles(text.as_py() or "") for text in batch.column(1)]
+        digests = [set_digest(own) for own in sets]
+        sketches = _lists([odd_sketch(samples(own, FINE_SAMPLES), FINE_BITS) for own in sets])
+        yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), sketches], names=["digest", "fine"])
+
+
+def fine_sketches(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """digest, fine: the finer sketch of the sets of the documents in ``ids`` (doc_id)."""
+    return docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_finely, "digest binary, fine array<long>").dropDuplicates(["digest"])
 
 
 def similar(n_a: Column, n_b: Column) -> Column:
@@ -162,11 +189,11 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a, b = [], []
         for doc_a, digest_a, text_a, doc_b, digest_b, text_b in zip(*[c for c in batch.columns], strict=True):
-            if (key := (doc_a.as_py(), digest_a.as_py())) != at:  # the rows come sorted by the first document
-                at, own = key, shingles(text_a.as_py() or "")
-                right = hashlib.blake2b(own.tobytes(), digest_size=16).digest() == key[1]
+            if (key := (doc_a.as_py(), text_a.as_py())) != at:  # the rows come sorted by the first document
+                at, own = key, shingles(key[1] or "")
+                own_digest = set_digest(own)
             other = shingles(text_b.as_py() or "")
-            if not right or hashlib.blake2b(other.tobytes(), digest_size=16).digest() != digest_b.as_py():
+            if own_digest != digest_a.as_py() or set_digest(other) != digest_b.as_py():
                 continue  # another row with the same doc_id
             both = len(np.intersect1d(own, other, assume_unique=True))
             if 100 * both >= PERCENT * (len(own) + len(other) - both):
@@ -178,7 +205,7 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Those of the pairs (a, digest_a, b, digest_b) that are links by their full sets, as (a, b)."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    needed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
+    needed = docs.join(ids, "doc_id", "left_semi")
     of = lambda side: needed.select(F.col("doc_id").alias(side), F.col("text").alias(f"text_{side}"))
     both = pairs.join(of("b"), "b").join(of("a"), "a").select("a", "digest_a", "text_a", "b", "digest_b", "text_b")
     return both.mapInArrow(_confirm, "a long, b long").distinct()
@@ -210,7 +237,7 @@ def connected(edges: DataFrame) -> DataFrame:
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of ``docs``."""
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = saved(signatures(docs))
     classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     nodes = signed.join(classes, ["digest"]).where("doc_id = rep").dropDuplicates(["digest"]).select("rep", "digest", "n_shingles", "bands", "sketch")
@@ -234,12 +261,14 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # Pairs of a bucket in different groups, each from its smallest common key.
     labelled = rows.join(groups, F.col("rep") == F.col("node"), "left").select(*fields, "keys", "key", F.coalesce("label", "rep").alias("label"))
     mixed_buckets = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-    open_rows = saved(labelled.join(mixed_buckets, "key", "left_semi"))
+    left = saved(labelled.join(mixed_buckets, "key", "left_semi"))
+    fine = fine_sketches(left.select(F.col("rep").alias("doc_id")).distinct(), docs)
+    open_rows = saved(left.join(fine, "digest"))
     x, y = open_rows.alias("x"), open_rows.alias("y")
-    side = lambda name: {c: F.col(f"{name}.{c}") for c in [*fields, "keys", "key", "label"]}
+    side = lambda name: {c: F.col(f"{name}.{c}") for c in [*fields, "keys", "key", "label", "fine"]}
     a, b = side("x"), side("y")
     once = F.array_min(F.array_intersect(a["keys"], b["keys"])) == a["key"]
-    rest = x.join(y, (a["key"] == b["key"]) & (a["rep"] < b["rep"]) & (a["label"] != b["label"]) & allowed(a, b) & once).select(*ordered(a, b))
+    rest = x.join(y, (a["key"] == b["key"]) & (a["rep"] < b["rep"]) & (a["label"] != b["label"]) & allowed(a, b) & (odd_bits(a["fine"], b["fine"], FINE_BITS) <= FINE_ODD) & once).select(*ordered(a, b))
     more_links = confirmed(saved(rest.join(first_pairs, ["a", "digest_a", "b", "digest_b"], "left_anti")), docs)
     labels = connected(first_links.union(more_links))
 
