@@ -24,7 +24,7 @@ RULES = {
     "repeated_words": lambda m: 100 * m["n_repeat_words"] > 50 * m["n_words"],
     "word_length": lambda m: (m["word_chars"] < 2 * m["n_words"]) | (m["word_chars"] > 15 * m["n_words"]),
     "symbols": lambda m: 10 * m["n_symbols"] > m["n_words"],
-    "repeated_lines": lambda m: 10 * m["n_dup_lines"] > 3 * m["n_lines"],
+    "repeated_lines": lambda m: 2 * m["n_dup_lines"] > m["n_lines"],
 }
 BIT = {name: 1 << i for i, name in enumerate(RULES)}
 BASE = BIT["few_words"] | BIT["repeated_words"]
