@@ -57,11 +57,11 @@ def _(v):
 
 
 _BANDED = """fd AS (SELECT g.state, g.date, g.block, g.load, max(g.load) OVER (PARTITION BY state, block ORDER BY g.date - DATE '1970-01-01' RANGE BETWEEN 7 PRECEDING AND 7 PRECEDING) AS p FROM v_grid g),
-    fb AS (SELECT state, date, block, load, p * 0.95::DOUBLE AS p10, p AS p50, CASE WHEN block % 40 = 0 THEN p * 0.9::DOUBLE ELSE p * 1.05::DOUBLE END AS p90 FROM fd WHERE date >= DATE '2024-01-08')"""
+    fb AS (SELECT state, date, block, load, p * 0.95::DOUBLE AS p10, p AS p50, CASE WHEN block % 40 = 0 THEN p * 0.9::DOUBLE ELSE p * 1.05::DOUBLE END AS p90 FROM fd)"""
 
 
 def banded(v):
-    g = v.grid.withColumn("p", day_lag("load", 7)).where(F.col("date") >= F.lit("2024-01-08").cast("date"))
+    g = v.grid.withColumn("p", day_lag("load", 7))
     return g.select("state", "date", "block", "load", (F.col("p") * 0.95).alias("p10"), F.col("p").alias("p50"), F.when(F.col("block") % 40 == 0, F.col("p") * 0.9).otherwise(F.col("p") * 1.05).alias("p90"))
 
 

@@ -33,9 +33,9 @@ def _(v):
     return fc.reference(v.grid, v.hol, 1)
 
 
-_BAND = f"""{_REF}, ls AS (SELECT state, max(date) AS last FROM rf WHERE load IS NOT NULL AND point IS NOT NULL AND point <> 0 GROUP BY state),
-    bd AS (SELECT state, count(*) AS n, quantile_cont(load / point - 1, 0.1) AS lo, quantile_cont(load / point - 1, 0.9) AS hi FROM rf JOIN ls USING (state) WHERE load IS NOT NULL AND point IS NOT NULL AND point <> 0 AND date > last - 56 GROUP BY state),
-    bq AS (SELECT rf.*, CASE WHEN point IS NULL THEN NULL ELSE list_sort([point * (1 + CASE WHEN n >= 500 THEN lo ELSE -0.05 END), point, point * (1 + CASE WHEN n >= 500 THEN hi ELSE 0.05 END)]) END AS q FROM rf LEFT JOIN bd USING (state)),
+_BAND = f"""{_REF}, err AS (SELECT state, date, load / point - 1 AS r FROM rf WHERE load IS NOT NULL AND point IS NOT NULL AND point <> 0),
+    bd AS (SELECT t.state, t.date, count(*) AS n, quantile_cont(r, 0.1) AS lo, quantile_cont(r, 0.9) AS hi FROM (SELECT DISTINCT state, date FROM rf) t JOIN err e ON e.state = t.state AND e.date BETWEEN t.date - 56 AND t.date - 1 GROUP BY ALL),
+    bq AS (SELECT rf.*, CASE WHEN point IS NULL THEN NULL ELSE list_sort([point * (1 + CASE WHEN n >= 500 THEN lo ELSE -0.05 END), point, point * (1 + CASE WHEN n >= 500 THEN hi ELSE 0.05 END)]) END AS q FROM rf LEFT JOIN bd USING (state, date)),
     bnd AS (SELECT state, date, block, load, point, CASE WHEN q IS NOT NULL THEN greatest(q[1], 0) END AS p10, CASE WHEN q IS NOT NULL THEN greatest(q[2], 0) END AS p50, CASE WHEN q IS NOT NULL THEN greatest(q[3], 0) END AS p90 FROM bq)"""
 
 
@@ -74,23 +74,21 @@ def _(v):
 
 
 @query("k7_day_ahead_blocks", "state date block:i p10:f p50:f p90:f baseline:f actual:f time record_id", f"""
-    WITH {_BAND}, i AS (SELECT state, date, substr(sha256(state || '|' || CAST(date AS VARCHAR) || '|1|recent_day|' || CAST(CAST(round(coalesce(sum(p50), 0)) AS BIGINT) AS VARCHAR)), 1, 12) AS record_id FROM bnd GROUP BY state, date)
-    SELECT b.state, b.date, b.block, p10, p50, p90, point AS baseline, load AS actual, printf('%02d:%02d', (b.block - 1) // 4, ((b.block - 1) % 4) * 15) AS time, i.record_id FROM bnd b JOIN i USING (state, date) WHERE date >= DATE '2024-01-16' """)
+    WITH {_BAND}, i AS (SELECT state, date, substr(sha256(state || '|' || CAST(date AS VARCHAR) || '|1|recent_day|' || CAST(CAST(round(coalesce(sum(p50), 0) + 1e-6) AS BIGINT) AS VARCHAR)), 1, 12) AS record_id FROM bnd GROUP BY state, date)
+    SELECT b.state, b.date, b.block, p10, p50, p90, point AS baseline, load AS actual, printf('%02d:%02d', (b.block - 1) // 4, ((b.block - 1) % 4) * 15) AS time, i.record_id FROM bnd b JOIN i USING (state, date)""")
 def _(v):
-    return fc.day_ahead(v.grid, v.hol, horizon=1, model="recent_day", min_rows=500).where(F.col("date") >= F.lit("2024-01-16").cast("date"))
+    return fc.day_ahead(v.grid, v.hol, horizon=1, model="recent_day", min_rows=500)
 
 
 @query("a24_forecast_export", "horizon date region block:i time baseline_mw:f forecast_mw:f actual_mw:f p10_mw:f p90_mw:f dod_load_delta_mw:f temp_delta_mw:f", f"""
     WITH {_BAND}, t AS (SELECT 'T+1' AS horizon, * FROM bnd UNION ALL SELECT 'T+2', g.state, g.date, g.block, g.load, l.load, l.load * 0.95::DOUBLE, l.load, l.load * 1.05::DOUBLE FROM v_grid g LEFT JOIN v_load l ON l.state = g.state AND l.block = g.block AND l.date = g.date - 2)
     SELECT horizon, t.date, t.state AS region, t.block, printf('%02d:%02d', (t.block - 1) // 4, ((t.block - 1) % 4) * 15) AS time, point AS baseline_mw, p50 AS forecast_mw, t.load AS actual_mw, p10 AS p10_mw, p90 AS p90_mw,
       a.load - b.load AS dod_load_delta_mw, (w.temperature - w.n_temp) * 8 AS temp_delta_mw
-    FROM t LEFT JOIN v_load a ON a.state = t.state AND a.block = t.block AND a.date = t.date - 1 LEFT JOIN v_load b ON b.state = t.state AND b.block = t.block AND b.date = t.date - 2 LEFT JOIN v_base w ON w.state = t.state AND w.date = t.date AND w.block = t.block
-    WHERE t.date >= DATE '2024-01-20' """)
+    FROM t LEFT JOIN v_load a ON a.state = t.state AND a.block = t.block AND a.date = t.date - 1 LEFT JOIN v_load b ON b.state = t.state AND b.block = t.block AND b.date = t.date - 2 LEFT JOIN v_base w ON w.state = t.state AND w.date = t.date AND w.block = t.block""")
 def _(v):
     t1 = bl.relative_band(fc.reference(v.grid, v.hol, 1), "point", min_rows=500)
     t2 = v.grid.withColumn("point", day_lag("load", 2)).withColumns({"p10": F.col("point") * 0.95, "p50": F.col("point"), "p90": F.col("point") * 1.05})
-    out = fc.export_table(t1, t2, v.grid, v.base)
-    return out.where(F.col("date") >= F.lit("2024-01-20").cast("date"))
+    return fc.export_table(t1, t2, v.grid, v.base)
 
 
 @query("k8_complete_prior_days", "state date block:i load:f", """
@@ -208,13 +206,13 @@ def _(v):
 
 
 @query("k17_two_step_t2", "state date block:i t1_date forecast:f anchor:f bridged:f", """
-    WITH g AS (SELECT g.state, g.date, g.block, l.load AS f FROM v_grid g LEFT JOIN v_load l ON l.state = g.state AND l.block = g.block AND l.date = g.date - 2 WHERE g.date >= DATE '2024-01-16'),
+    WITH g AS (SELECT g.state, g.date, g.block, l.load AS f FROM v_grid g LEFT JOIN v_load l ON l.state = g.state AND l.block = g.block AND l.date = g.date - 2),
     t1 AS (SELECT g.state, g.date, g.block, a.load AS f1, b.load AS l7 FROM v_grid g JOIN v_load a ON a.state = g.state AND a.block = g.block AND a.date = g.date - 1 LEFT JOIN v_load b ON b.state = g.state AND b.block = g.block AND b.date = g.date - 7 WHERE g.block > 92),
     an AS (SELECT state, CAST(date + 1 AS DATE) AS date, sum(CASE WHEN l7 IS NOT NULL THEN 0.6::DOUBLE * l7 + 0.4::DOUBLE * f1 ELSE f1 END * exp((block - 93) / 3.0::DOUBLE)) / sum(exp((block - 93) / 3.0::DOUBLE)) AS anchor FROM t1 GROUP BY ALL),
     x AS (SELECT g.*, anchor, max(f) FILTER (WHERE g.block = 1) OVER (PARTITION BY g.state, g.date) AS f1 FROM g LEFT JOIN an USING (state, date))
     SELECT state, date, block, CAST(date - 1 AS DATE) AS t1_date, f AS forecast, anchor, f + coalesce((anchor - f1) * CASE WHEN block <= 8 THEN 0.5::DOUBLE * (1 + cos(pi() * (block - 1) / 7)) ELSE 0 END, 0) AS bridged FROM x""")
 def _(v):
-    t2 = v.grid.withColumn("forecast", day_lag("load", 2)).where(F.col("date") >= F.lit("2024-01-16").cast("date"))
+    t2 = v.grid.withColumn("forecast", day_lag("load", 2))
     t1 = v.grid.withColumn("forecast", day_lag("load", 1)).where("forecast is not null")
     return fc.two_step(t1, t2, v.load)
 
@@ -256,10 +254,9 @@ def _(v):
 
 
 @query("k22_two_targets_per_day", "state issued_on horizon:i date block:i forecast:f", """
-    SELECT state, issued_on, horizon, CAST(issued_on + horizon AS DATE) AS date, block, forecast FROM (SELECT l.state, CAST(l.date AS DATE) AS issued_on, h.horizon, l.block, l.load AS forecast FROM v_load l CROSS JOIN (VALUES (1), (2)) h(horizon))
-    WHERE issued_on >= DATE '2024-01-26' """)
+    SELECT state, issued_on, horizon, CAST(issued_on + horizon AS DATE) AS date, block, forecast FROM (SELECT l.state, CAST(l.date AS DATE) AS issued_on, h.horizon, l.block, l.load AS forecast FROM v_load l CROSS JOIN (VALUES (1), (2)) h(horizon))""")
 def _(v):
-    return fc.issue(v.load.where(F.col("date") >= F.lit("2024-01-26").cast("date")), horizons=(1, 2))
+    return fc.issue(v.load, horizons=(1, 2))
 
 
 @query("k23_forecast_every_date", "state date block:i load:f forecast:f", f"""

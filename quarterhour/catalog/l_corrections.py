@@ -33,8 +33,9 @@ def errors(v):
     return v.pair.select("state", "date", "block", (F.col("forecast") - F.col("actual")).alias("error"))
 
 
-def on_day(v):
-    return v.pair.where(F.col("date") == F.lit(DAY).cast("date"))
+def from_day(v):
+    """The forecasts that a table made on DAY may be applied to."""
+    return v.pair.where(F.col("date") >= F.lit(DAY).cast("date"))
 
 
 @query("l1_bias_table", "state block:i raw:f bias:f", f"WITH {_TAB} SELECT fl.state, fl.block, raw, bias FROM fl JOIN bt USING (state, block)")
@@ -61,19 +62,19 @@ def _(v):
 
 @query("l2_apply_bias", "state date block:i forecast:f applied:f corrected:f", f"""
     WITH {_TAB} SELECT p.state, p.date, p.block, p.forecast, CASE WHEN p.block > {N} THEN -coalesce(bias, 0) ELSE 0 END AS applied, CASE WHEN p.block > {N} THEN greatest(p.forecast - coalesce(bias, 0), 0) ELSE p.forecast END AS corrected
-    FROM v_pair p LEFT JOIN bt USING (state, block) WHERE date = {D}""")
+    FROM v_pair p LEFT JOIN bt USING (state, block) WHERE date >= {D}""")
 def _(v):
-    return co.apply_bias(on_day(v), co.bias_table(errors(v), DAY, 14), N)
+    return co.apply_bias(from_day(v), co.bias_table(errors(v), DAY, 14), N)
 
 
 _BT = "CASE WHEN (block - 1) // 4 < 6 THEN 'n' WHEN (block - 1) // 4 < 12 THEN 'm' WHEN (block - 1) // 4 < 18 THEN 'a' ELSE 'e' END || CAST(isodow(date) >= 6 AS VARCHAR)"
 
 
 @query("l3_block_type_calibration", "state date block:i applied:f calibrated:f", f"""
-    WITH {_ERR}, ee AS (SELECT er.state, {_BT} AS t, median(error) AS e FROM er JOIN rd USING (state, date) WHERE r <= 21 GROUP BY ALL), p AS (SELECT *, {_BT} AS t FROM v_pair WHERE date = {D})
+    WITH {_ERR}, ee AS (SELECT er.state, {_BT} AS t, median(error) AS e FROM er JOIN rd USING (state, date) WHERE r <= 21 GROUP BY ALL), p AS (SELECT *, {_BT} AS t FROM v_pair WHERE date >= {D})
     SELECT p.state, p.date, p.block, CASE WHEN block > {N} THEN -coalesce(e, 0) ELSE 0 END AS applied, CASE WHEN block > {N} THEN greatest(forecast - coalesce(e, 0), 0) ELSE forecast END AS calibrated FROM p LEFT JOIN ee USING (state, t)""")
 def _(v):
-    return co.block_type_calibration(on_day(v), v.pair, DAY, 21, N)
+    return co.block_type_calibration(from_day(v), v.pair, DAY, 21, N)
 
 
 _T2E = "t2 AS (SELECT a.state, a.date, a.block, a.load AS actual, b.load AS forecast, b.load - a.load AS error FROM v_load a JOIN v_load b ON b.state = a.state AND b.block = a.block AND b.date = a.date - 2)"

@@ -18,6 +18,10 @@ SB = ("state", "block")
 DAY = ["state", "date"]
 
 
+#: Days up to the origin among which a baseline looks for days like the target.
+LOOKBACK = 14
+
+
 def seasonal_naive(grid: DataFrame, season_days: int = 7, out: str = "forecast") -> DataFrame:
     """The same block ``season_days`` earlier."""
     return grid.withColumn(out, day_lag("load", season_days))
@@ -28,7 +32,7 @@ def off_days(days: DataFrame, holidays: DataFrame) -> DataFrame:
     return d.withColumn("off", (F.weekday("date") >= 5) | (F.col("_h") == 1)).drop("_h")
 
 
-def recent_days(grid: DataFrame, holidays: DataFrame, horizons: Sequence[int] = (1,), k: int = 3, lookback: int = 14) -> DataFrame:
+def recent_days(grid: DataFrame, holidays: DataFrame, horizons: Sequence[int] = (1,), k: int = 3, lookback: int = LOOKBACK) -> DataFrame:
     """For several horizons: mean of the k latest same-type days among the ``lookback`` days up to the origin, else of the
     plain last k days. Columns state, date, block and ``h<horizon>``.
 
@@ -52,7 +56,7 @@ def recent_days(grid: DataFrame, holidays: DataFrame, horizons: Sequence[int] =
     return chosen.join(vals, ["state", "cand"]).groupBy("state", "date", "block").agg(*[F.avg(F.when(F.col("_h") == h, F.col("load"))).alias(f"h{h}") for h in horizons])
 
 
-def recent_day(grid: DataFrame, holidays: DataFrame, horizon: int = 1, k: int = 3, lookback: int = 14) -> DataFrame:
+def recent_day(grid: DataFrame, holidays: DataFrame, horizon: int = 1, k: int = 3, lookback: int = LOOKBACK) -> DataFrame:
     """``recent_days`` for one horizon, as column ``forecast``."""
     return recent_days(grid, holidays, (horizon,), k, lookback).withColumnRenamed(f"h{horizon}", "forecast")
 
@@ -68,16 +72,25 @@ def ordered_quantiles(p10: Column, p50: Column, p90: Column) -> tuple[Column, Co
     return tuple(nonneg(F.element_at(a, i)) for i in (1, 2, 3))
 
 
-def relative_band(df: DataFrame, point: str, window: int = 56, min_rows: int = 7 * 96, default: float = 0.05) -> DataFrame:
-    """Empirical 10 % / 90 % relative errors of the last days per state, as a band around the point forecast.
+def sorted_quantile(values: Column, q: float) -> Column:
+    """Interpolated quantile of an ascending array; NULL for an empty one."""
+    place = (F.size(values) - 1) * F.lit(q)
+    low = F.get(values, F.floor(place).cast("int"))
+    return low + (F.get(values, F.ceil(place).cast("int")) - low) * (place - F.floor(place))
+
+
+def relative_band(df: DataFrame, point: str, horizon: int = 1, window: int = 56, min_rows: int = 7 * 96, default: float = 0.05) -> DataFrame:
+    """Empirical 10 % / 90 % relative errors of the days before each target's origin, as a band around the point forecast.
 
-    The origin is the state's last date with an actual; rows without one keep the same band.
+    A target ``horizon`` days after its origin sees the errors of the ``window`` days that end at the origin, never later
+    ones. Errors are first gathered per day (at most 96), so the window runs over the daily list.
     """
-    hist = df.where(F.col("load").isNotNull() & F.col(point).isNotNull() & (F.col(point) != 0))
-    hist = join_stats(hist, ["state"], _last=F.max("date")).where(F.col("date") > F.date_sub("_last", window))
-    r = F.col("load") / F.col(point) - 1.0
-    band = hist.groupBy("state").agg(F.count(F.lit(1)).alias("_n"), quantile(r, 0.1).alias("_lo"), quantile(r, 0.9).alias("_hi"))
-    j = df.join(band, "state", "left")
+    r = F.when(F.col(point) != 0, F.col("load") / F.col(point) - 1.0)
+    daily = df.groupBy(*DAY).agg(F.collect_list(r).alias("_r"))  # missing errors are left out
+    before = Window.partitionBy("state").orderBy(F.unix_date("date")).rangeBetween(-(horizon + window - 1), -horizon)
+    known = daily.withColumn("_e", F.array_sort(F.flatten(F.collect_list("_r").over(before))))
+    band = known.select(*DAY, F.size("_e").alias("_n"), sorted_quantile(F.col("_e"), 0.1).alias("_lo"), sorted_quantile(F.col("_e"), 0.9).alias("_hi"))
+    j = df.join(band, list(DAY), "left")
     use = F.coalesce(F.col("_n") >= min_rows, F.lit(False))
     lo, hi = F.when(use, F.col("_lo")).otherwise(-default), F.when(use, F.col("_hi")).otherwise(default)
     p10, p50, p90 = ordered_quantiles(F.col(point) * (1 + lo), F.col(point), F.col(point) * (1 + hi))

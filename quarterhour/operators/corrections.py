@@ -80,11 +80,12 @@ def block_type(block: Column, weekend: Column) -> Column:
 
 
 def block_type_calibration(df: DataFrame, history: DataFrame, date: str, window: int = 21, settled: int = 0, min_confidence: float = 0.8, confidence: str | None = None) -> DataFrame:
-    """Median error of the block's day part and day type over the last dates, taken off confident future blocks."""
+    """Median error of the block's day part and day type over the last dates before ``date``, taken off confident future blocks
+    of that date and all later ones."""
     h = history.join(recent_dates(history, date, window), DAY, "left_semi")
     h = h.withColumn("_t", block_type(F.col("block"), F.weekday("date") >= 5))
     med = h.groupBy("state", "_t").agg(F.median(F.col("forecast") - F.col("actual")).alias("_e"))
-    d = df.where(F.col("date") == F.lit(date).cast("date")).withColumn("_t", block_type(F.col("block"), F.weekday("date") >= 5)).join(med, ["state", "_t"], "left")
+    d = df.where(F.col("date") >= F.lit(date).cast("date")).withColumn("_t", block_type(F.col("block"), F.weekday("date") >= 5)).join(med, ["state", "_t"], "left")
     ok = F.col("block") > settled
     if confidence:
         ok = ok & (F.col(confidence) >= min_confidence)

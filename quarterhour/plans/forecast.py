@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quarterhour.functions.blocks import block_label
 from quarterhour.functions.stats import bottom_by, quantile, rank_corr, top_by
-from quarterhour.operators.baselines import ordered_quantiles, recent_day, relative_band
+from quarterhour.operators.baselines import LOOKBACK, ordered_quantiles, recent_day, relative_band
 from quarterhour.operators.corrections import seam, seam_anchor
 from quarterhour.operators.features import MODEL_FEATURES, training_frame
 from quarterhour.operators.grid import blocks_of_days, day_calendar, day_lag
@@ -47,8 +47,8 @@ def drivers(weather: DataFrame) -> DataFrame:
 
 def day_ahead(grid: DataFrame, holidays: DataFrame, horizon: int = 1, model: str = "recent_day", min_rows: int = 7 * 96) -> DataFrame:
     """Forecast rows of every target date with band, baseline, actual and an immutable record id per (state, date)."""
-    b = relative_band(reference(grid, holidays, horizon), "point", min_rows=min_rows)
-    total = F.round(F.coalesce(F.sum("p50"), F.lit(0.0))).cast("bigint")
+    b = relative_band(reference(grid, holidays, horizon), "point", horizon, min_rows=min_rows)
+    total = F.round(F.coalesce(F.sum("p50"), F.lit(0.0)) + 1e-6).cast("bigint")  # halves do not hang on the order of a sum
     ids = b.groupBy(*DAY).agg(total.alias("_t")).select(*DAY, record_id("state", "date", F.lit(str(horizon)), F.lit(model), "_t").alias("record_id"))
     return b.join(ids, DAY).select(*DAY, "block", block_label("block").alias("time"), "p10", "p50", "p90", F.col("point").alias("baseline"), F.col("load").alias("actual"), "record_id")
 
@@ -77,8 +77,9 @@ def issue(forecasts: DataFrame, horizons: Sequence[int] = (1, 2), point: str = "
 def range_forecast(load: DataFrame, holidays: DataFrame, start: str, end: str, horizon: int = 1) -> DataFrame:
     """Forecast of every date of a range at once; history before the range is cut to what the baselines can reach."""
     s, e = F.lit(start).cast("date"), F.lit(end).cast("date")
-    near = load.where(F.col("date").between(F.date_sub(s, 28), e))
-    g = blocks_of_days(day_calendar(load)).where(F.col("date").between(F.date_sub(s, 28), e)).join(near, [*DAY, "block"], "left")
+    past = max(7, horizon + LOOKBACK - 1)
+    near = load.where(F.col("date").between(F.date_sub(s, past), e))
+    g = blocks_of_days(day_calendar(load)).where(F.col("date").between(F.date_sub(s, past), e)).join(near, [*DAY, "block"], "left")
     return reference(g, holidays, horizon).where(F.col("date").between(s, e)).withColumnRenamed("point", "forecast")
 
 
@@ -87,21 +88,31 @@ MODEL_COLUMNS = ("lag_h_load", "lag_7d_load", "roll7_mean_load", "roll7_std_load
 
 
 def boosted_quantiles(grid: DataFrame, frame: DataFrame, holidays: DataFrame, horizon: int = 1, validation_days: int = 14, seed: int = 7) -> DataFrame:
-    """Boosted trees on the residual of the reference baseline give the centre; p10 and p90 come from the residuals of the
-    validation days per block, which the model has not seen. Returns the rows of the validation days.
+    """Boosted trees on the residual of the reference baseline give the centre, residuals per block give the band.
+
+    The calendar is split in three per state, each part later than the one before: days to fit the trees, ``validation_days``
+    to calibrate p10 and p90, and the targets: the last ``validation_days`` with loads and all later, open ones. So a band
+    comes from days that neither the trees nor the targets have seen. A missing feature takes the mean of the fitting
+    days, and a flag says so. Returns the rows of the targets.
     """
+    names = [c for c in MODEL_COLUMNS if c != "block"]
     wx = frame.select(*DAY, "block", "temperature", "humidity")
     d = design_matrix(grid, wx, holidays, horizon)
     d = d.withColumn("_ref", F.coalesce("recent_day_baseline", "lag_7d_load", "lag_h_load")).where("_ref is not null")
-    d = d.select(*DAY, "block", "load", "_ref", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in MODEL_COLUMNS if c != "block"])
+    d = d.select(*DAY, "block", "load", "_ref", *[F.col(c).cast("double").alias(c) for c in names])
     last = d.where("load is not null").groupBy("state").agg(F.max("date").alias("_last"))
-    d = shared(d.join(last, "state").withColumn("_val", F.col("date") > F.date_sub("_last", validation_days)))
-    vec = VectorAssembler(inputCols=list(MODEL_COLUMNS), outputCol="features")
-    train = vec.transform(d.where("load is not null and not _val").withColumn("label", F.col("load") - F.col("_ref")))
+    part = F.when(F.col("date") > F.date_sub("_last", validation_days), "target").when(F.col("date") > F.date_sub("_last", 2 * validation_days), "calibrate").otherwise("fit")
+    d = shared(d.join(last, "state").withColumn("_part", part))
+    means = d.where("_part = 'fit'").agg(*[F.avg(c).alias(c) for c in names]).first()
+    filled = {c: F.coalesce(F.col(c), F.lit(0.0 if means[c] is None else means[c])) for c in names}
+    d = d.select("*", *[F.col(c).isNull().cast("double").alias(f"{c}_missing") for c in names]).withColumns(filled)
+    vec = VectorAssembler(inputCols=[*names, *[f"{c}_missing" for c in names]], outputCol="features")
+    train = vec.transform(d.where("load is not null and _part = 'fit'").withColumn("label", F.col("load") - F.col("_ref")))
     model = GBTRegressor(maxIter=15, maxDepth=4, seed=seed).fit(train.select("features", "label"))
-    out = model.transform(vec.transform(d.where("_val"))).withColumn("_c", F.col("_ref") + F.col("prediction"))
-    q = out.where("load is not null").groupBy("state", "block").agg(quantile(F.col("load") - F.col("_c"), 0.1).alias("_lo"), quantile(F.col("load") - F.col("_c"), 0.9).alias("_hi"))
-    out = out.join(q, ["state", "block"], "left")
+    out = model.transform(vec.transform(d.where("_part <> 'fit'"))).withColumn("_c", F.col("_ref") + F.col("prediction"))
+    error = F.col("load") - F.col("_c")
+    q = out.where("load is not null and _part = 'calibrate'").groupBy("state", "block").agg(quantile(error, 0.1).alias("_lo"), quantile(error, 0.9).alias("_hi"))
+    out = out.where("_part = 'target'").join(q, ["state", "block"], "left")
     p10, p50, p90 = ordered_quantiles(F.col("_c") + F.coalesce("_lo", F.lit(0.0)), F.col("_c"), F.col("_c") + F.coalesce("_hi", F.lit(0.0)))
     return out.select(*DAY, "block", p10.alias("p10"), p50.alias("p50"), p90.alias("p90"))
 

@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 from quarterhour import dims
 from quarterhour.operators import accuracy, baselines, corrections, quality
 from quarterhour.operators.anomaly import sigma_clamp
+from quarterhour.operators.baselines import relative_band
 from quarterhour.operators.calendar import holiday_distance
 from quarterhour.operators.decompose import ramp_limited
 from quarterhour.operators.grid import dense_grid
 from quarterhour.operators.weather import HeatLimits, degree_hours, state_weather
 from quarterhour.plans.design import design_matrix
+from quarterhour.plans.forecast import reference
 
 
 def no_holidays(spark):
@@ -43,6 +45,15 @@ def test_holiday_distance_has_no_cutoff(spark):
     assert dims.holidays(spark).where("year(holiday) in (1950, 2031, 2199)").count() == 9
 
 
+def test_bands_never_see_load_after_the_origin(spark):
+    hol = no_holidays(spark)
+    a = series(spark, 30, lambda d, b: 100 + (d * 37) % 11 + b % 13)
+    b = series(spark, 30, lambda d, b: (100 + (d * 37) % 11 + b % 13) if d <= 19 else 99999.0)
+    for h in (1, 2):
+        x, y = (relative_band(reference(dense_grid(s), hol, h), "point", h, window=14, min_rows=300).where(F.col("date") <= F.lit(day(19 + h))).select("date", "block", "p10", "p50", "p90").orderBy("date", "block").collect() for s in (a, b))
+        assert x == y and len(x) == 96 * (20 + h) and any(r.p10 != r.p50 * 0.95 for r in x if r.p50)
+
+
 def test_metrics_and_pinball(spark):
     p = series(spark, 2, lambda d, b: 100).withColumnRenamed("load", "actual").withColumns({"forecast": F.lit(110.0), "p10": F.lit(90.0), "p90": F.lit(130.0)})
     m = accuracy.metrics(p).first()
