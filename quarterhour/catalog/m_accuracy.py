@@ -136,7 +136,7 @@ def _(v):
 
 @query("m10_live_accuracy", "state date current_mape:f settled_blocks:i longest_run:i drift_alert recalibrate worst_blocks", """
     WITH e AS (SELECT *, CASE WHEN actual > 10 AND forecast > 10 THEN abs(actual - forecast) / greatest(actual, 1) * 100 END AS ape FROM v_pair WHERE block <= 60), f AS (SELECT *, coalesce(ape > 5, false) AS bad FROM e),
-    g AS (SELECT *, sum(CASE WHEN bad THEN 0 ELSE 1 END) OVER (PARTITION BY state, date ORDER BY block) AS grp FROM f), r AS (SELECT *, sum(CASE WHEN bad THEN 1 ELSE 0 END) OVER (PARTITION BY state, date, grp ORDER BY block) AS run FROM g)
+    g AS (SELECT *, block - row_number() OVER (PARTITION BY state, date, bad ORDER BY block) AS grp FROM f), r AS (SELECT *, sum(CASE WHEN bad THEN 1 ELSE 0 END) OVER (PARTITION BY state, date, bad, grp ORDER BY block) AS run FROM g)
     SELECT state, date, avg(ape) AS current_mape, count(*) AS settled_blocks, max(run) AS longest_run, max(run) >= 8 AS drift_alert, max(run) >= 8 AND count(*) < 72 AS recalibrate,
       coalesce(array_to_string(list_transform(list_slice(list(block ORDER BY ape DESC, block) FILTER (WHERE ape IS NOT NULL), 1, 3), lambda x: CAST(x AS VARCHAR)), ','), '') AS worst_blocks FROM r GROUP BY state, date""")
 def _(v):

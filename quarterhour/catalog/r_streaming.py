@@ -41,7 +41,8 @@ def _(v):
 def _(v):
     path = live.stage_table(v.load, v.spark, files=3)
     rows = v.spark.readStream.schema(v.load.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    return live.latest_state(live.run_available(live.drift_monitor(rows, v.fc), v.spark))
+    updates = live.drift_monitor(rows, v.fc, delay="400 days")  # the files hold days in any order
+    return live.latest_state(live.run_available(updates, v.spark))
 
 
 @query("r4_trailing_means", "state at mean:f n:i", """
@@ -51,6 +52,26 @@ def _(v):
     return live.trailing_means(v.ev, "value").withColumn("at", F.col("at").cast("timestamp_ntz"))
 
 
+@query("r5_recalibrated_stream", "state date block:i recalibrated:f", """
+    WITH p AS (SELECT f.*, l.load AS actual FROM v_fc f LEFT JOIN v_load l USING (state, date, block) WHERE (state, date) IN (SELECT DISTINCT state, date FROM v_load)),
+    e AS (SELECT state, date, avg(actual - forecast) FILTER (WHERE ok) AS bias, count(*) FILTER (WHERE ok) AS n, avg(abs(actual - forecast) / greatest(actual, 1)) FILTER (WHERE ok) * 100 AS mape FROM (SELECT *, block <= 36 AND actual > 10 AND forecast > 10 AS ok FROM p) GROUP BY ALL)
+    SELECT p.state, p.date, p.block, CASE WHEN n >= 4 AND mape >= 2 THEN greatest(forecast + CASE WHEN block > 36 THEN bias * (1 - (block - 37) / 59.0::DOUBLE) ELSE 0 END, 0) ELSE forecast END AS recalibrated FROM p JOIN e USING (state, date)""")
+def _(v):
+    base = live.stage_table(v.load, v.spark, files=3)
+    rows = v.spark.readStream.schema(v.load.schema).option("maxFilesPerTrigger", 1).parquet(base)
+    live.run_steps(rows, v.spark, live.recalibrate_each(v.fc, f"{base}-settled", f"{base}-out", 36))
+    return live.latest_epoch(v.spark.read.parquet(f"{base}-out"), ["state", "date", "block"])
+
+
+@query("r6_late_split_stream", "state n:i total:f", "SELECT state, count(*) AS n, sum(value) AS total FROM v_ev GROUP BY state")
+def _(v):
+    base = live.stage_table(v.ev.select("state", F.col("ts").cast("timestamp").alias("ts"), "value"), v.spark, files=3)
+    rows = v.spark.readStream.schema("state string, ts timestamp, value double").option("maxFilesPerTrigger", 1).parquet(base)
+    live.run_steps(rows, v.spark, live.late_split_each(f"{base}-main", f"{base}-late"))
+    both = v.spark.read.parquet(f"{base}-main").unionByName(v.spark.read.parquet(f"{base}-late"))
+    return both.groupBy("state").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+
+
 @query("r7_episodes", "state start last_ts blocks:i", """
     WITH f AS (SELECT state, CAST(date AS TIMESTAMP) + to_minutes((block - 1) * 15) AS ts FROM v_load WHERE load > 150),
     g AS (SELECT *, sum(CASE WHEN ts - p <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END) OVER (PARTITION BY state ORDER BY ts) AS run FROM (SELECT *, lag(ts) OVER (PARTITION BY state ORDER BY ts) AS p FROM f))

@@ -11,7 +11,7 @@ from quarterhour.functions.numbers import ratio
 from quarterhour.functions.stats import avg_where, count_where, quantile, share_where, sum_where, top_by
 from quarterhour.operators.calendar import daypart, season_maps
 from quarterhour.operators.features import join_stats
-from quarterhour.operators.grid import days_ago, run_length_so_far
+from quarterhour.operators.grid import days_ago
 
 DAY = ["state", "date"]
 PEAK_BLOCKS = (69, 92)
@@ -176,9 +176,11 @@ def live_errors(df: DataFrame, floor: float = 10.0) -> DataFrame:
 
 
 def live_accuracy(df: DataFrame, settled: int = 96, run: int = 8, limit: float = 5.0) -> DataFrame:
-    """Running MAPE of the day, drift alert (a run of blocks over the limit; unusable blocks break it), worst three blocks."""
+    """Running MAPE of the day, drift alert (a run of blocks over the limit; unusable and missing blocks break it), worst three blocks."""
     d = live_errors(df.where(F.col("block") <= settled))
-    d = run_length_so_far(d, F.coalesce(F.col("ape") > limit, F.lit(False)), DAY, "block", "_run")
+    d = d.withColumn("_bad", F.coalesce(F.col("ape") > limit, F.lit(False)))
+    d = d.withColumn("_grp", F.col("block") - F.row_number().over(Window.partitionBy(*DAY, "_bad").orderBy("block")))  # a missing block ends a run, too
+    d = d.withColumn("_run", F.when(F.col("_bad"), F.row_number().over(Window.partitionBy(*DAY, "_bad", "_grp").orderBy("block"))).otherwise(0))
     worst = F.slice(F.reverse(F.array_sort(F.collect_list(F.when(F.col("ape").isNotNull(), F.struct("ape", (-F.col("block")).alias("nb")))))), 1, 3)
     a = d.groupBy(*DAY).agg(F.avg("ape").alias("current_mape"), F.count(F.lit(1)).alias("settled_blocks"), F.max("_run").alias("longest_run"), worst.alias("_w"))
     alert = F.col("longest_run") >= run

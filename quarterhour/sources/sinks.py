@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarterhour.functions.blocks import block_label
+from quarterhour.sources.stage import children
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "error") -> None:
@@ -49,13 +50,11 @@ def record_id(*parts: Column | str) -> Column:
 
 
 def append_new_records(df: DataFrame, path: str, id_col: str = "record_id") -> None:
-    """Create-only append: ids already stored at ``path`` are left out."""
+    """Create-only append: ids already stored at ``path`` are left out, and an id that comes twice is stored once."""
     spark = df.sparkSession
-    try:
-        stored = spark.read.parquet(path).select(id_col)
-    except Exception:  # nothing stored yet
-        stored = None
-    out = df if stored is None else df.join(stored, id_col, "left_anti")
+    out = df.dropDuplicates([id_col])
+    if any(not name.startswith(("_", ".")) for name in children(spark, path)):
+        out = out.join(spark.read.parquet(path).select(id_col), id_col, "left_anti")
     out.write.mode("append").parquet(path)
 
 

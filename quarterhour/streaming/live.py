@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from quarterhour.functions.blocks import block_start
 from quarterhour.operators.corrections import intraday_recalibrate
-from quarterhour.sources.stage import shared_folder
+from quarterhour.sources.stage import children, shared_folder
 
 DELAY = "10 minutes"
 
@@ -59,8 +60,9 @@ def episodes(df: DataFrame, gap: str = "30 minutes", delay: str = DELAY, keys: t
 
 # --- stateful drift monitor -----------------------------------------------------------------------------------------
 
-DRIFT_OUT = "state string, date date, settled_blocks int, current_mape double, longest_run int, drift_alert boolean"
-DRIFT_STATE = "blocks array<int>, apes array<double>"
+DRIFT_OUT = "state string, date date, sequence long, settled_blocks int, current_mape double, longest_run int, drift_alert boolean"
+DRIFT_STATE = "blocks array<int>, apes array<double>, sequence long"
+DAY_MS = 24 * 3600 * 1000
 
 
 def longest_bad_run(blocks: list[int], apes: list[float | None], limit: float) -> int:
@@ -74,35 +76,44 @@ def longest_bad_run(blocks: list[int], apes: list[float | None], limit: float) -
     return best
 
 
-def drift_monitor(rows: DataFrame, forecasts: DataFrame, limit: float = 5.0, run: int = 8, floor: float = 10.0) -> DataFrame:
+def drift_monitor(rows: DataFrame, forecasts: DataFrame, limit: float = 5.0, run: int = 8, floor: float = 10.0, delay: str = "2 days", hold_days: int = 1) -> DataFrame:
     """Settled blocks (a stream of state, date, block, load) against stored forecasts, with the drift run per (state, date).
 
     The state of a day holds its blocks seen so far (at most 96), so blocks that arrive out of order are put in their
-    place before a run is counted; a block delivered again replaces its earlier value.
+    place before a run is counted; a block delivered again replaces its earlier value. Every update of a day has the next
+    ``sequence``. A day's state goes once the watermark, ``delay`` behind the newest block, is ``hold_days`` past its end;
+    rows that come later than the watermark are left to the batch tables.
     """
-    j = rows.select("state", "date", "block", F.col("load").alias("actual")).join(forecasts.select("state", "date", "block", "forecast"), ["state", "date", "block"])
+    timed = rows.select("state", "date", "block", F.col("load").alias("actual"), block_start("date", "block").cast("timestamp").alias("ts")).withWatermark("ts", delay)
+    j = timed.join(forecasts.select("state", "date", "block", "forecast"), ["state", "date", "block"])
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen: dict[int, float | None] = dict(zip(*state.get)) if state.exists else {}
+        if state.hasTimedOut:
+            state.remove()
+            return
+        blocks, apes, sequence = state.get if state.exists else ([], [], 0)
+        seen: dict[int, float | None] = dict(zip(blocks, apes))
         for pdf in batches:
             for b, a, f in zip(pdf["block"], pdf["actual"], pdf["forecast"]):
                 ok = a is not None and f is not None and a > floor and f > floor
                 seen[int(b)] = abs(a - f) / max(a, 1.0) * 100.0 if ok else None
         blocks = sorted(seen)
         apes = [seen[b] for b in blocks]
-        state.update((blocks, apes))
+        state.update((blocks, apes, sequence + 1))
+        gone = int(pd.Timestamp(key[1]).timestamp()) * 1000 + (1 + hold_days) * DAY_MS
+        state.setTimeoutTimestamp(max(gone, state.getCurrentWatermarkMs() + 1))
         good = [a for a in apes if a is not None and a == a]
         longest = longest_bad_run(blocks, apes, limit)
-        yield pd.DataFrame([[key[0], key[1], len(blocks), sum(good) / len(good) if good else None, longest, longest >= run]],
-                           columns=["state", "date", "settled_blocks", "current_mape", "longest_run", "drift_alert"])
+        yield pd.DataFrame([[key[0], key[1], sequence + 1, len(blocks), sum(good) / len(good) if good else None, longest, longest >= run]],
+                           columns=["state", "date", "sequence", "settled_blocks", "current_mape", "longest_run", "drift_alert"])
 
-    return j.groupBy("state", "date").applyInPandasWithState(update, DRIFT_OUT, DRIFT_STATE, "append", GroupStateTimeout.NoTimeout)
+    return j.groupBy("state", "date").applyInPandasWithState(update, DRIFT_OUT, DRIFT_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def latest_state(updates: DataFrame) -> DataFrame:
-    """The last update of each day from the append log of ``drift_monitor``."""
-    rest = [c for c in updates.columns if c not in ("state", "date")]
-    return updates.groupBy("state", "date").agg(F.max(F.struct(*rest)).alias("u")).select("state", "date", "u.*")
+    """The last update of each day, by its sequence, from the append log of ``drift_monitor``."""
+    rest = [c for c in updates.columns if c not in ("state", "date", "sequence")]
+    return updates.groupBy("state", "date").agg(F.max_by(F.struct(*rest), "sequence").alias("u")).select("state", "date", "u.*")
 
 
 # --- foreachBatch steps ---------------------------------------------------------------------------------------------
@@ -111,41 +122,58 @@ def latest_state(updates: DataFrame) -> DataFrame:
 def recalibrate_each(forecasts: DataFrame, settled_path: str, out_path: str, settled: int) -> Callable[[DataFrame, int], None]:
     """A foreachBatch step: store the newly settled blocks and rewrite the intraday-corrected forecast of their days.
 
-    Only the days touched by the batch are read back and recomputed; each epoch writes its own folder, so a repeated
-    epoch overwrites itself.
+    Settled blocks are stored by date and epoch, so a batch reads back the dates it touches and no others, however long
+    the stream has run. A repeated epoch overwrites its own folders. The output has a folder per epoch.
     """
     def step(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        batch.select("state", "date", "block", "load").write.mode("overwrite").parquet(f"{settled_path}/epoch={epoch}")
+        fresh = batch.select("state", "date", "block", "load").withColumn("epoch", F.lit(epoch))
+        fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date", "epoch").parquet(settled_path)
         days = batch.select("state", "date").distinct()
-        so_far = spark.read.parquet(settled_path).where(F.col("epoch") <= epoch)
+        dates = [r["date"] for r in days.select("date").distinct().collect()]  # the calendar of one batch
+        if not dates:
+            return
+        so_far = spark.read.schema(fresh.schema).parquet(settled_path).where(F.col("date").isin(dates) & (F.col("epoch") <= epoch))
         last = so_far.join(days, ["state", "date"], "left_semi").groupBy("state", "date", "block").agg(F.max_by("load", "epoch").alias("actual"))
         f = forecasts.join(days, ["state", "date"], "left_semi").join(last, ["state", "date", "block"], "left")
         intraday_recalibrate(f, settled).select("state", "date", "block", "recalibrated").write.mode("overwrite").parquet(f"{out_path}/epoch={epoch}")
     return step
 
 
+def latest_epoch(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of each key from the last epoch that wrote it."""
+    last = rows.groupBy(*keys).agg(F.max("epoch").alias("epoch"))
+    return rows.join(last, [*keys, "epoch"]).drop("epoch")
+
+
 def late_split_each(main_path: str, late_path: str, delay_minutes: int = 10) -> Callable[[DataFrame, int], None]:
     """A foreachBatch step: rows older than the newest seen so far minus the delay go to a side table for the batch merge.
 
-    The newest time is kept as one small row per state and epoch beside the data.
+    Each epoch writes the newest time of every state seen so far beside the data, so the next one reads one small folder.
     """
     def step(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         marks = f"{main_path}-marks"
-        try:
-            prev = spark.read.parquet(marks).where(F.col("epoch") < epoch).groupBy("state").agg(F.max("newest").alias("_seen"))
-        except Exception:  # first epoch
-            prev = batch.select("state", F.lit(None).cast("timestamp").alias("_seen")).limit(0)
-        b = batch.join(F.broadcast(prev), "state", "left")
+        before = [n for n in (int(name.partition("=")[2]) for name in children(spark, marks) if name.startswith("epoch=")) if n < epoch]
+        known = batch.select("state", F.col("ts").alias("newest")).limit(0)
+        if before:
+            known = spark.read.schema(known.schema).parquet(f"{marks}/epoch={max(before)}")
+        b = batch.join(known.withColumnRenamed("newest", "_seen"), "state", "left")
         late = F.coalesce(F.col("ts") < F.col("_seen") - F.expr(f"INTERVAL {delay_minutes} MINUTES"), F.lit(False))
         b = b.withColumn("_late", late)
         b.where(~F.col("_late")).drop("_late", "_seen").write.mode("overwrite").parquet(f"{main_path}/epoch={epoch}")
         b.where("_late").drop("_late", "_seen").write.mode("overwrite").parquet(f"{late_path}/epoch={epoch}")
-        batch.groupBy("state").agg(F.max("ts").alias("newest")).write.mode("overwrite").parquet(f"{marks}/epoch={epoch}")
+        newest = batch.select("state", F.col("ts").alias("newest")).union(known).groupBy("state").agg(F.max("newest").alias("newest"))
+        newest.write.mode("overwrite").parquet(f"{marks}/epoch={epoch}")
     return step
 
 
+def run_steps(stream: DataFrame, spark: SparkSession, step: Callable[[DataFrame, int], None]) -> None:
+    """Run a foreachBatch step over what is available."""
+    base = f"{shared_folder(spark)}/steps-{uuid.uuid4().hex}"
+    stream.writeStream.foreachBatch(step).option("checkpointLocation", base).trigger(availableNow=True).start().awaitTermination()
+
+
 # --- running a stream to a table ------------------------------------------------------------------------------------
 
 

@@ -4,6 +4,7 @@ from helpers import as_dict, day, series
 from pyspark.sql import functions as F
 
 from quarterhour.operators import merge
+from quarterhour.operators.accuracy import live_accuracy
 from quarterhour.sources import readers, sinks
 from quarterhour.sources.stage import shared
 from quarterhour.streaming import live
@@ -94,6 +95,30 @@ def test_drift_run_is_sequenced_before_counting(spark, tmp_path):
     assert r["settled_blocks"] == 96 and r["longest_run"] == 11 and r["drift_alert"]
 
 
+def test_redelivered_block_replaces_its_update(spark, tmp_path):
+    load = series(spark, 1, lambda d, b: 109.0 if b == 1 else 104.0, blocks=range(1, 3))
+    fc = series(spark, 1, lambda d, b: 100.0, blocks=range(1, 3)).withColumnRenamed("load", "forecast")
+    load.coalesce(1).write.mode("append").parquet(f"{tmp_path}/d")
+    load.where("block = 1").withColumn("load", F.lit(100.0)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/d")
+    s = spark.readStream.schema(load.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/d")
+    updates = live.run_available(live.drift_monitor(s, fc), spark)
+    r = live.latest_state(updates).first()
+    assert r["settled_blocks"] == 2 and r["current_mape"] < 2.0 and updates.agg(F.max("sequence")).first()[0] == 2
+
+
+def test_stored_ids_are_kept_once(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "record_id string, x int")
+    for _ in range(2):
+        sinks.append_new_records(rows, f"{tmp_path}/records")
+    assert sorted(r.record_id for r in spark.read.parquet(f"{tmp_path}/records").collect()) == ["a", "b"]
+
+
+def test_batch_and_stream_count_runs_alike(spark):
+    rows = [("A", day(0), b, 100.0, 120.0 if b <= 5 or 20 <= b <= 25 else 100.0) for b in [*range(1, 6), *range(20, 26)]]
+    got = live_accuracy(spark.createDataFrame(rows, "state string, date date, block int, forecast double, actual double")).first()
+    assert got["longest_run"] == 6 == live.longest_bad_run([r[2] for r in rows], [20.0] * len(rows), 5.0) and not got["drift_alert"]
+
+
 def test_recalibration_per_batch(spark, tmp_path):
     fc = series(spark, 1, lambda d, b: 100.0).withColumnRenamed("load", "forecast")
     step = live.recalibrate_each(fc, f"{tmp_path}/s", f"{tmp_path}/o", 12)
