@@ -1,14 +1,18 @@
 """2.A sources and sinks."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quarterhour import dims
 from quarterhour.catalog.core import query
-from quarterhour.catalog.sqlparts import melt, spearman_wide
+from quarterhour.catalog.sqlparts import interp, melt, spearman_wide
 from quarterhour.functions.blocks import block_of, block_start, state_slug
 from quarterhour.operators import reports
+from quarterhour.plans.clean_frame import clean_frame
 from quarterhour.plans.final_frame import FINAL_COLUMNS, final_frame
 from quarterhour.sources import normalise, readers, sinks
+from quarterhour.sources.stage import shared_folder
 
 
 def stored(v):
@@ -163,6 +167,37 @@ def _(v):
     return final_frame(v.sldc, v.load, v.wmean, v.hol, from_date="2024-01-08", to_date="2024-01-21").select("state", *FINAL_COLUMNS)
 
 
+_CLEAN = f"""n AS (SELECT *, abs(load - lag(load) OVER w) AS l, abs(lead(load) OVER w - load) AS r, row_number() OVER w AS pos, lag(1) OVER w IS NULL AS f, lead(1) OVER w IS NULL AS z FROM v_load WINDOW w AS (PARTITION BY state, date ORDER BY block)),
+    s AS (SELECT state, date, block, pos, CASE WHEN NOT coalesce(CASE WHEN f AND z THEN false WHEN f THEN r > 150 WHEN z THEN l > 150 ELSE (l + r) / 2 > 150 END, false) THEN load END AS v FROM n),
+    c AS (SELECT state, date, block, filled AS load, CAST(date - DATE '1970-01-01' AS BIGINT) * 96 + block AS t FROM ({interp('s', 'state, date', 'pos', 'v')})),
+    wx AS (SELECT * FROM v_wmean WHERE block % 7 <> 0), j AS (SELECT c.*, temperature, humidity FROM c LEFT JOIN wx USING (state, date, block)),
+    a AS (SELECT * EXCLUDE (temperature, pp, np, pv, nv, filled), filled AS temperature FROM ({interp('j', 'state', 't', 'temperature')})),
+    b AS (SELECT * EXCLUDE (humidity, pp, np, pv, nv, filled), filled AS humidity FROM ({interp('a', 'state', 't', 'humidity')}))"""
+
+
+@query("a15_clean_pipeline", "state date block:i load:f temperature:f humidity:f dow:i is_weekend:i is_holiday:i hour:i month:i", f"""
+    WITH {_CLEAN} SELECT state, date, block, load, temperature, humidity, isodow(date) - 1 AS dow, CAST(isodow(date) >= 6 AS INTEGER) AS is_weekend,
+      CAST(date IN (SELECT holiday FROM v_hol) AS INTEGER) AS is_holiday, (block - 1) // 4 AS hour, month(date) AS month FROM b""")
+def _(v):
+    gappy = v.wmean.where("block % 7 <> 0")
+    return clean_frame(v.load, gappy, v.hol, ["temperature", "humidity"], spike=150.0)
+
+
+@query("a16_csv_sink", "state date block:i load:f", "SELECT * FROM v_load")
+def _(v):
+    path = f"{shared_folder(v.spark)}/csv-{uuid.uuid4().hex}"
+    sinks.write_csv(v.load, path)
+    return readers.read_frame_csv(v.spark, path, "state STRING, date DATE, block INT, load DOUBLE, Datetime TIMESTAMP_NTZ")
+
+
+@query("a17_parquet_store", "state month days:i load:f", "SELECT state, strftime(date, '%Y-%m') AS month, count(DISTINCT date) AS days, sum(load) AS load FROM v_load GROUP BY ALL")
+def _(v):
+    path = f"{shared_folder(v.spark)}/blocks-{uuid.uuid4().hex}"
+    sinks.write_by_month(v.load, path)
+    stored = v.spark.read.parquet(path)
+    return stored.groupBy("state", "month").agg(F.count_distinct("date").alias("days"), F.sum("load").alias("load"))
+
+
 @query("a18_record_id", "state date record_id", """
     SELECT state, date, substr(sha256(state || '|' || CAST(date AS VARCHAR) || '|1|naive|' || CAST(CAST(round(sum(load) * 100) AS BIGINT) AS VARCHAR)), 1, 12) AS record_id
     FROM v_load GROUP BY state, date""")

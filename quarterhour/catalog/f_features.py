@@ -133,7 +133,7 @@ _RD = """c AS (SELECT d.date, d.off FROM (SELECT date, CAST(isodow(date) >= 6 OR
     rd AS (SELECT ch.state, ch.target AS date, l.block, avg(l.load) AS recent_day_baseline FROM chosen ch JOIN v_load l ON l.state = ch.state AND l.date = ch.cand GROUP BY ALL)"""
 
 
-@query("f10_design_matrix", "state date block:i origin_date load:f lag_h_load:f lag_7d_load:f lag_14d_load:f roll7_mean_load:f roll7_std_load:f origin_daily_mean_load:f origin_last_block_load:f recent_day_baseline:f block_sin:f dow_cos:f month_sin:f is_weekend:i is_holiday:i days_to_holiday:i temp_wmean:f temp_delta_origin:f", f"""
+@query("f10_design_matrix", "state date block:i origin_date load:f lag_h_load:f lag_7d_load:f lag_14d_load:f roll7_mean_load:f roll7_std_load:f origin_daily_mean_load:f origin_last_block_load:f recent_day_baseline:f block_sin:f dow_cos:f month_sin:f is_weekend:i is_holiday:i days_to_holiday:i temp_wmean:f temp_wmean_delta_origin:f", f"""
     WITH {_RD.format(h=2)},
     g AS (SELECT g.*, CAST(g.date - DATE '1970-01-01' AS BIGINT) AS dn FROM v_grid g),
     w AS (SELECT *, max(load) OVER (b RANGE BETWEEN 2 PRECEDING AND 2 PRECEDING) AS lag_h_load, max(load) OVER (b RANGE BETWEEN 7 PRECEDING AND 7 PRECEDING) AS lag_7d_load, max(load) OVER (b RANGE BETWEEN 14 PRECEDING AND 14 PRECEDING) AS lag_14d_load,
@@ -144,7 +144,7 @@ _RD = """c AS (SELECT d.date, d.off FROM (SELECT date, CAST(isodow(date) >= 6 OR
     x AS (SELECT state, date, block, sum(weight * temperature) / sum(weight) FILTER (WHERE temperature IS NOT NULL) AS tw FROM v_wloc JOIN v_dw USING (location) GROUP BY ALL)
     SELECT w.state, w.date, w.block, CAST(w.date - 2 AS DATE) AS origin_date, w.load, lag_h_load, lag_7d_load, lag_14d_load, roll7_mean_load, roll7_std_load, origin_daily_mean_load, origin_last_block_load, rd.recent_day_baseline,
       sin(2 * pi() * (w.block - 1) / 96) AS block_sin, cos(2 * pi() * (isodow(w.date) - 1) / 7) AS dow_cos, sin(2 * pi() * (month(w.date) - 1) / 12) AS month_sin, CAST(isodow(w.date) >= 6 AS INTEGER) AS is_weekend, is_holiday, days_to_holiday,
-      a.tw AS temp_wmean, a.tw - b.tw AS temp_delta_origin
+      a.tw AS temp_wmean, a.tw - b.tw AS temp_wmean_delta_origin
     FROM w LEFT JOIN o USING (state, date) LEFT JOIN rd USING (state, date, block) LEFT JOIN h USING (date) LEFT JOIN x a ON a.state = w.state AND a.date = w.date AND a.block = w.block
     LEFT JOIN x b ON b.state = w.state AND b.date = w.date - 2 AND b.block = w.block""")
 def _(v):

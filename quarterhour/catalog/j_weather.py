@@ -45,7 +45,7 @@ def _(v):
 @query("j2_weighted_mean_and_share", "state date block:i wmean:f share_hot:f", f"""
     SELECT state, date, block, {wm('temperature').replace('wt', 'weight')} AS wmean, coalesce(sum(weight) FILTER (WHERE temperature >= 30), 0) / sum(weight) FILTER (WHERE temperature IS NOT NULL) AS share_hot FROM v_wloc JOIN v_dw USING (location) GROUP BY ALL""")
 def _(v):
-    return v.wloc.join(F.broadcast(v.dw), "location").groupBy("state", "date", "block").agg(
+    return v.wloc.join(v.dw, "location").groupBy("state", "date", "block").agg(
         weighted_avg("temperature", "weight").alias("wmean"), wx.share_at_or_above(F.col("temperature"), F.col("weight"), 30.0).alias("share_hot"))
 
 

@@ -22,7 +22,7 @@ def _(v):
 @query("q2_holidays_in_range", "holiday days:i", "SELECT h.holiday, count(*) AS days FROM v_hol h JOIN (SELECT DISTINCT state, date FROM v_daily) d ON d.date = h.holiday GROUP BY h.holiday")
 def _(v):
     d = v.daily.select("state", "date").distinct()
-    return d.join(F.broadcast(v.hol), d["date"] == v.hol["holiday"]).groupBy("holiday").agg(F.count(F.lit(1)).alias("days"))
+    return d.join(v.hol, d["date"] == v.hol["holiday"]).groupBy("holiday").agg(F.count(F.lit(1)).alias("days"))
 
 
 _FLAGS = f"""{_D}, x AS (SELECT date, isodow(date) - 1 AS dow, date IN (SELECT holiday FROM v_hol) AS h, CAST(date + 1 AS DATE) IN (SELECT holiday FROM v_hol) AS n, CAST(date - 1 AS DATE) IN (SELECT holiday FROM v_hol) AS p FROM d),

@@ -75,12 +75,14 @@ def benchmarks(grid: DataFrame, lags: tuple[int, ...] = (1, 7, 365), floor: floa
 
 
 def segment_join(df: DataFrame, segments: DataFrame, block: str = "block") -> DataFrame:
-    """Attach the segment whose [start, end] holds the block. Segments are a fixed table of a few rows."""
-    s = F.broadcast(segments)
-    wrap = F.col("seg_start") > F.col("seg_end")
-    b = F.col(block)
-    inside = F.when(wrap, (b >= F.col("seg_start")) | (b <= F.col("seg_end"))).otherwise(b.between(F.col("seg_start"), F.col("seg_end")))
-    return df.join(s, inside)
+    """Attach the segment whose [start, end] holds the block; one that wraps midnight has its start after its end.
+
+    Segments are laid out block by block (96 each at most), so the join is on equal blocks.
+    """
+    start, end = F.col("seg_start").cast("int"), F.col("seg_end").cast("int")
+    held = F.when(start <= end, F.sequence(start, F.greatest(start, end))).otherwise(F.concat(F.sequence(start, F.greatest(start, F.lit(96))), F.sequence(F.lit(1), F.greatest(end, F.lit(1)))))
+    s = segments.withColumn("_held", F.explode(held))
+    return df.join(s, F.col(block) == F.col("_held")).drop("_held")
 
 
 def pivot_dates(df: DataFrame, dates: list[str], value: str = "load") -> DataFrame:
@@ -92,5 +94,5 @@ def pivot_dates(df: DataFrame, dates: list[str], value: str = "load") -> DataFra
 def map_districts(df: DataFrame, weights: DataFrame, name: str = "location") -> DataFrame:
     """Canonical district, circle and load share (0 for unknown places). The weight table has a few dozen rows."""
     from quarterhour.sources.normalise import canonical_district
-    out = df.withColumn("district", canonical_district(name)).join(F.broadcast(weights), "district", "left")
+    out = df.withColumn("district", canonical_district(name)).join(weights, "district", "left")
     return out.withColumn("share_pct", F.coalesce("share_pct", F.lit(0.0)))

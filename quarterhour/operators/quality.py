@@ -64,7 +64,8 @@ def weather_contract(weather: DataFrame, expected: DataFrame, start: str, end: s
     days = F.datediff(F.lit(end).cast("date"), F.lit(start).cast("date")) + 1
     w = weather.where(F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date")) & F.col("temperature").isNotNull() & F.col("block").between(1, BLOCKS_PER_DAY))
     cells = w.select("state", F.col("location").alias("district"), "date", "block").distinct().groupBy("state", "district").agg(F.count(F.lit(1)).alias("n"))
-    e = weather.select("state").distinct().crossJoin(F.broadcast(expected.select(F.col("location").alias("district")).distinct()))
+    names = expected.agg(F.collect_set("location").alias("districts"))  # one row
+    e = weather.select("state").distinct().crossJoin(names).select("state", F.explode("districts").alias("district"))
     j = e.join(cells, ["state", "district"], "left")
     s = j.groupBy("state").agg(F.count(F.lit(1)).alias("districts_expected"), F.count("n").alias("districts_seen"), F.sum("n").alias("_n"),
                                F.array_join(F.array_sort(F.collect_list(F.when(F.col("n").isNull(), F.col("district")))), ",").alias("missing_districts"))

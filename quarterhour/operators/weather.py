@@ -59,7 +59,7 @@ def state_weather(long: DataFrame, weights: DataFrame, limits: HeatLimits = Heat
     """
     # the total weight rides along with the small weight table
     all_rows = Window.partitionBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    w = F.broadcast(weights.select("location", F.col("weight").cast("double").alias("_w"), F.sum(F.col("weight").cast("double")).over(all_rows).alias("_wt")))
+    w = weights.select("location", F.col("weight").cast("double").alias("_w"), F.sum(F.col("weight").cast("double")).over(all_rows).alias("_wt"))
     d = long.groupBy("state", "location", "date", "block").agg(*[F.avg(c).alias(c) for c in WEATHER])
     start = d.groupBy("state").agg((F.min(day_number("date")).cast("bigint") * BLOCKS_PER_DAY + 1).alias("_t0"))
     d = d.join(start, "state").withColumn("_cd", degrees_above("temperature", limits.degree_base))
@@ -91,7 +91,7 @@ def state_weather(long: DataFrame, weights: DataFrame, limits: HeatLimits = Heat
 
 def weighted_by_location(long: DataFrame, weights: DataFrame, columns: Sequence[str] = WEATHER) -> DataFrame:
     """Location-weighted block means whose denominator counts every reporting location of the block."""
-    j = long.join(F.broadcast(weights.select("location", F.col("weight").alias("_w"))), "location")
+    j = long.join(weights.select("location", F.col("weight").alias("_w")), "location")
     return j.groupBy(*KEY).agg(*[F.try_divide(F.sum(F.coalesce(F.col(c), F.lit(0.0)) * F.col("_w")), F.sum("_w")).alias(c) for c in columns], F.count(F.lit(1)).alias("locations"))
 
 

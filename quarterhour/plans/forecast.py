@@ -125,7 +125,9 @@ def feature_effects(frame: DataFrame, holidays: DataFrame, top: int = 12, seed:
     imp = model.featureImportances.toArray()
     total = float(imp.sum()) or 1.0
     best = sorted(range(len(names)), key=lambda i: -imp[i])[:top]
-    rho = rank_corr(d.withColumn("one", F.lit(1)), ["one"], {names[i]: (names[i], "label") for i in best})
+    # ranked within each state, then combined by the states' rows, so that no task ranks all of them
+    by_state = rank_corr(d, ["state"], {names[i]: (names[i], "label") for i in best})
+    rho = by_state.groupBy("pair").agg((F.sum(F.col("rho") * F.col("n")) / F.sum("n")).alias("rho"))
     share = F.create_map(*[F.lit(x) for i in best for x in (names[i], float(imp[i] / total))])
     s = F.element_at(share, F.col("pair"))
     return rho.select(F.col("pair").alias("feature"), s.alias("importance_share"), (s * F.signum("rho")).alias("signed_effect"))
