@@ -34,6 +34,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarterhour.llm.common import saved
+
 THRESHOLD, DECAY, MIN_PAGES, DEPTH = 0.25, 0.9, 4, 12
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -118,6 +120,9 @@ class Page(HTMLParser):
             if tag in INLINE and self.open[i][0] not in INLINE:
                 return
 
+    def updatepos(self, i: int, j: int) -> int:
+        return j  # nobody asks for line numbers
+
     def handle_startendtag(self, tag: str, attrs) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
@@ -156,18 +161,25 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def style_tree(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Importance of contents (host, element, value, n, importance) and of elements (host, element, importance), from (host, html)."""
+    """Importance of contents (host, element, value, n, k, importance) and of elements (host, element, importance), from (host, html).
+
+    ``n`` is the number of pages with a value. Values of one page only are many and alike, so they are one row for each
+    element: ``k`` of them, without a value.
+    """
     counted = pages.mapInArrow(_nodes, "host string, chain array<bigint>, value bigint, is_content boolean").groupBy("host", "is_content", "chain", "value").agg(F.count("*").alias("n"))
+    kept = F.when(F.col("n") > 1, F.col("value"))
+    tree = saved(counted.groupBy("host", "is_content", "chain", kept.alias("value"), "n").agg(F.count("*").alias("k")))  # read three times, made once
     sizes = pages.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= MIN_PAGES)
-    sized = counted.join(sizes, "host")
-    base = F.log("pages")
-    contents = sized.where("is_content").select("host", "chain", "value", "n", (1 - F.log("n") / base).alias("importance"))
-    below = contents.select("host", F.explode("chain").alias("element"), "n", "importance").groupBy("host", "element").agg((F.sum(F.col("n") * F.col("importance")) / F.sum("n")).alias("content_importance"))
-    shapes = sized.where("not is_content").select("host", F.element_at("chain", -1).alias("element"), "n", "pages").groupBy("host", "element").agg(
-        F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.log(F.sum("n")) - F.sum(F.col("n") * F.log("n")) / F.sum("n")) / F.log(F.max("pages")))).alias("entropy"), F.count("*").alias("l"))
+    sized = tree.join(sizes, "host")
+    pages_of = F.col("n") * F.col("k")
+    contents = sized.where("is_content").select("host", "chain", "value", "n", "k", (1 - F.log("n") / F.log("pages")).alias("importance"))
+    below = contents.select("host", F.explode("chain").alias("element"), pages_of.alias("w"), "importance").groupBy("host", "element").agg((F.sum(F.col("w") * F.col("importance")) / F.sum("w")).alias("content_importance"))
+    entropy = (F.log(F.sum(pages_of)) - F.sum(pages_of * F.log("n")) / F.sum(pages_of)) / F.log(F.max("pages"))
+    shapes = sized.where("not is_content").select("host", F.element_at("chain", -1).alias("element"), "n", "k", "pages").groupBy("host", "element").agg(
+        F.greatest(F.lit(0.0), F.least(F.lit(1.0), entropy)).alias("entropy"), F.sum("k").alias("l"))
     share = F.pow(F.lit(DECAY), F.col("l"))
     elements = below.join(shapes, ["host", "element"]).select("host", "element", ((1 - share) * F.col("entropy") + share * F.col("content_importance")).alias("importance"))
-    return contents.select("host", F.element_at("chain", -1).alias("element"), "value", "n", "importance"), elements
+    return contents.select("host", F.element_at("chain", -1).alias("element"), "value", "n", "k", "importance"), elements
 
 
 def boilerplate(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

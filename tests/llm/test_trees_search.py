@@ -115,8 +115,8 @@ def test_recurring_blocks_of_a_host(spark):
 def test_importance_is_entropy(spark):
     pages = [("h", f"<div><p>same</p><p>own {i}</p>{'<p>half</p>' if i % 2 else ''}</div>") for i in range(16)]
     contents, _ = site_tree.style_tree(spark.createDataFrame(pages, "host string, html string"))
-    found = sorted((r.n, round(r.importance, 6)) for r in contents.collect())
-    assert found == [(1, 1.0)] * 16 + [(8, 0.25), (16, 0.0)]
+    found = sorted((r.n, r.k, r.value is None, round(r.importance, 6)) for r in contents.collect())
+    assert found == [(1, 16, True, 1.0), (8, 1, False, 0.25), (16, 1, False, 0.0)]
 
 
 def test_long_page():
