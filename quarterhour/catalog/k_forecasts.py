@@ -150,7 +150,7 @@ def _(v):
     return bl.causal_baseline(v.load)
 
 
-_POOL = """tg AS (SELECT DATE '2024-01-25' AS d), dy AS (SELECT state, date, avg(load) AS level, avg(temperature) AS t, avg(humidity) AS h, avg(greatest(temperature - 24, 0)) AS cdd, avg(greatest(15 - temperature, 0)) AS hdd, max(CASE WHEN precipitation > 0 THEN 1 ELSE 0 END) AS rain,
+_POOL = """tg AS (SELECT DATE '2024-01-25' AS d), dy AS (SELECT state, date, avg(load) AS level, avg(temperature) AS t, avg(humidity) AS h, avg(greatest(temperature - 24, 0)) AS cdd, avg(greatest(18 - temperature, 0)) AS hdd, max(CASE WHEN precipitation > 0 THEN 1 ELSE 0 END) AS rain,
       max(wind_speed_10m) AS wind FROM v_frame GROUP BY ALL),
     ta AS (SELECT * FROM dy, tg WHERE date = d), c0 AS (SELECT dy.*, row_number() OVER (PARTITION BY state ORDER BY date DESC) AS r FROM dy, tg WHERE date < d AND level > 10), c1 AS (SELECT *, 'recent_7' AS pool FROM c0 WHERE r <= 7),
     dn0 AS (SELECT state, date, dn, avg(load) AS mean FROM v_t GROUP BY ALL), dn1 AS (SELECT *, CASE WHEN count(mean) OVER w >= 2 THEN avg(mean) OVER w END AS tr FROM dn0 WINDOW w AS (PARTITION BY state ORDER BY dn RANGE BETWEEN 7 PRECEDING AND 1 PRECEDING)),
@@ -166,10 +166,21 @@ _POOL = """tg AS (SELECT DATE '2024-01-25' AS d), dy AS (SELECT state, date, avg
     r2 AS (SELECT *, cl OR count(*) FILTER (WHERE cl) OVER (PARTITION BY state) < 2 AS clean FROM r1), lv AS (SELECT state, avg(level) AS lvl FROM r2 WHERE clean GROUP BY state),
     pl AS (SELECT c8.state, c8.date, pool, tier, score, rank, coalesce(least(greatest(lvl / c8.level, 0.7), 1.5), 1) AS scale, CASE tier WHEN 0 THEN 1.0::DOUBLE ELSE 0.6::DOUBLE END * CASE WHEN pool = 'recent_7' AND coalesce(r2.clean, false) THEN 1.3::DOUBLE ELSE 1 END AS weight
       FROM c8 LEFT JOIN lv USING (state) LEFT JOIN r2 ON r2.state = c8.state AND r2.date = c8.date WHERE rank <= 4)"""
+_WEEKEND_POOL = _POOL.replace("2024-01-25", "2024-01-27")
 
 
-def _pool(v):
-    return sim.similar_day_pool(shared(sim.day_features(v.frame)), "2024-01-25", top=4, min_level=10.0)
+def _pool(v, target="2024-01-25"):
+    return sim.similar_day_pool(shared(sim.day_features(v.frame, *sim.degree_bases(target))), target, top=4, min_level=10.0)
+
+
+@query("k14_similar_day_pool_weekend", "state date pool tier:i score:f rank:i scale:f weight:f", f"WITH {_WEEKEND_POOL} SELECT * FROM pl")
+def _(v):
+    return _pool(v, "2024-01-27")
+
+
+@query("k14_last_year_days", "state date load:f", "SELECT state, date, load FROM v_daily WHERE date BETWEEN DATE '1996-06-08' AND DATE '1996-06-22'")
+def _(v):
+    return sim.last_year_days(v.daily, "1997-06-15")
 
 
 @query("k14_similar_day_pool", "state date pool tier:i score:f rank:i scale:f weight:f", f"WITH {_POOL} SELECT * FROM pl")

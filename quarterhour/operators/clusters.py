@@ -17,12 +17,14 @@ CLUSTER_NAMES = ("Hot-Dry", "Pre-Monsoon Humid", "Rainy", "Storm")
 def weather_clusters(df: DataFrame, storms: DataFrame, k: int = 3, seed: int = 42) -> DataFrame:
     """Clusters of the calm days by daily weather, numbered by temperature from hot to cool; storm days are cluster 3.
 
+    A calm day that lacks one of the readings has no place among the clusters and is left out.
+
     One model serves all states, so days of different regions share the cluster meaning.
     """
     d = df.groupBy("state", "date").agg(F.avg("temperature").alias("avg_temp"), F.avg("humidity").alias("avg_hum"), F.sum("precipitation").alias("total_precip"), F.avg("wind_speed_10m").alias("avg_wind"))
     cols = ["avg_temp", "avg_hum", "total_precip", "avg_wind"]
     d = d.join(storms.select("state", "date", "storm"), ["state", "date"])
-    calm = VectorAssembler(inputCols=cols, outputCol="features").transform(d.where(~F.col("storm")).fillna(0.0, cols))
+    calm = VectorAssembler(inputCols=cols, outputCol="features").transform(d.where(~F.col("storm")).dropna(subset=cols))
     model = KMeans(k=k, seed=seed, initSteps=5, maxIter=50).fit(calm)
     order = sorted(range(len(model.clusterCenters())), key=lambda i: -model.clusterCenters()[i][0])
     rank = F.create_map(*[F.lit(x) for old, new in ((o, i) for i, o in enumerate(order)) for x in (old, new)])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -96,9 +97,21 @@ TIER_WEIGHTS = (1.00, 0.60, 0.30, 0.10)
 RECENCY_BOOST = 1.30
 
 
+# Bases of cooling and heating degrees by the season of the target.
+DEGREE_BASES = {"winter": (24.0, 18.0), "spring": (22.0, 15.0), "summer": (20.0, 12.0), "fall": (22.0, 15.0)}
+# Same-type days from which a target has a pool of its own, and how many weekends back that pool reaches.
+HOLIDAY_POOL, WEEKEND_POOL, WEEKENDS_BACK = 3, 4, 14
+
+
+def degree_bases(target: str) -> tuple[float, float]:
+    month = datetime.date.fromisoformat(target).month
+    return DEGREE_BASES["winter" if month in (12, 1, 2) else "spring" if month < 6 else "summer" if month < 9 else "fall"]
+
+
 def day_features(df: DataFrame, cdd: float = 24.0, hdd: float = 15.0) -> DataFrame:
     """Level and weather of each day, the input of the similar-day choice (one row per day; worth storing, it is read several times)."""
-    return df.groupBy(*DAY).agg(
+    flags = [F.max(F.col(c).cast("int")).alias(c) for c in ("is_holiday", "synthetic") if c in df.columns]
+    return df.groupBy(*DAY).agg(*flags,
         F.avg("load").alias("level"), F.avg("temperature").alias("t"), F.avg("humidity").alias("h"), F.avg(F.greatest(F.col("temperature") - cdd, F.lit(0.0))).alias("cdd"),
         F.avg(F.greatest(hdd - F.col("temperature"), F.lit(0.0))).alias("hdd"), F.max(F.when(F.col("precipitation") > 0, 1).otherwise(0)).alias("rain"), F.max("wind_speed_10m").alias("wind"))
 
@@ -114,19 +127,29 @@ def similar_day_pool(day: DataFrame, target: str, top: int = 8, window_days: int
     """Chosen similar days of a target date per state, with tier, score, pool, scale and weight.
 
     Rule set: candidates are the last seven days on record and the days of the same month within ``window_days`` of
-    the same month-day in earlier years. Anomalous days (and the days after them) leave the pool if five remain. When
+    the same month-day in earlier years, or all earlier days if there are none; never synthetic days. A holiday keeps to
+    holidays if three are among them, a weekend day to its weekday of the last 14 weeks if four are. Anomalous days (and the days after them) leave the pool if five remain. When
     the target is calm (no rain, no gusts) so must the candidates be, if any are. Score: weighted temperature, degree-day
     and humidity distance, each in units of its spread over the pool. Days are taken by tier (same weekday, same day
-    type, others), then score, then recency. ``day`` is the table of ``day_features``.
+    type, others), then score, then recency. ``day`` is the table of ``day_features``, with the degree bases of the
+    target's season.
     """
     from quarterhour.operators.anomaly import day_anomalies
     d = F.lit(target).cast("date")
     tgt = day.where(F.col("date") == d).select("state", *[F.col(c).alias(f"_{c}") for c in ("t", "h", "cdd", "hdd", "rain", "wind")])
-    c = day.where((F.col("date") < d) & (F.col("level") > min_level))
+    day = day.withColumns({x: F.lit(0) for x in ("is_holiday", "synthetic") if x not in day.columns})
+    tgt = tgt.join(day.where(F.col("date") == d).select("state", F.col("is_holiday").alias("_holiday")), "state")
+    weekday = F.weekday("date")
+    c = day.where(F.col("date") < d).withColumn("_wr", F.row_number().over(Window.partitionBy("state", weekday).orderBy(F.desc("date")))).where(F.col("level") > min_level)
     c = c.withColumn("_r", F.row_number().over(Window.partitionBy("state").orderBy(F.desc("date"))))
     same_md = F.make_date(F.year("date"), F.month(d), F.least(F.dayofmonth(d), F.lit(28)))
     old = (F.year("date") < F.year(d)) & (F.month("date") == F.month(d)) & (F.abs(F.datediff("date", same_md)) <= window_days)
-    c = c.withColumn("pool", F.when(F.col("_r") <= 7, "recent_7").when(old, "current_month")).where("pool is not null")
+    c = over_state(c.withColumn("pool", F.when(F.col("_r") <= 7, "recent_7").when(old, "current_month")), _np=F.count("pool"))
+    c = c.where((F.col("_np") == 0) | F.col("pool").isNotNull()).withColumn("pool", F.coalesce("pool", F.lit("earlier")))
+    same = (weekday == F.weekday(d)) & (F.col("_wr") <= WEEKENDS_BACK)
+    c = over_state(c.join(tgt.select("state", "_holiday"), "state"), _nh=count_where(F.col("is_holiday") == 1), _nw=count_where(same))
+    own_type = F.when(F.col("_holiday") == 1, (F.col("_nh") < HOLIDAY_POOL) | (F.col("is_holiday") == 1)).when(F.weekday(d) >= 5, (F.col("_nw") < WEEKEND_POOL) | same).otherwise(True)
+    c = c.where(own_type & (F.coalesce("synthetic", F.lit(0)) == 0)).drop("_holiday")
     bad = day_anomalies(day.select(*DAY, F.col("level").alias("load")), anomaly_limit).where("excluded").select(*DAY, F.lit(1).alias("_x"))
     c = over_state(c.join(bad, DAY, "left"), _ok=count_where(F.col("_x").isNull()))
     c = c.where((F.col("_ok") < min_clean) | F.col("_x").isNull()).join(tgt, "state")
@@ -155,6 +178,14 @@ def similar_day_pool(day: DataFrame, target: str, top: int = 8, window_days: int
     return c.select(*DAY, "pool", "tier", "score", "rank", scale.alias("scale"), wt.alias("weight"))
 
 
+def last_year_days(day: DataFrame, target: str, reach: int = 7) -> DataFrame:
+    """Days within ``reach`` of the same month-day a year before: for observation beside the baseline, not part of it."""
+    t = datetime.date.fromisoformat(target)
+    anchor = F.make_date(F.lit(t.year - 1), F.lit(t.month), F.lit(min(t.day, 28)))
+    near = (F.year("date") == t.year - 1) & (F.abs(F.datediff("date", anchor)) <= reach)
+    return day.where(near & (F.coalesce("synthetic", F.lit(0)) == 0) if "synthetic" in day.columns else near)
+
+
 def similar_day_baseline(df: DataFrame, pool: DataFrame) -> DataFrame:
     """Weighted mean of the scaled similar days per block (blocks a day lacks are left out of that block's weights)."""
     j = df.select(*DAY, "block", "load").join(pool, DAY)

@@ -4,7 +4,7 @@ from helpers import as_dict, day, series
 from pyspark.sql import functions as F
 
 from quarterhour import dims
-from quarterhour.operators import accuracy, baselines, corrections, quality
+from quarterhour.operators import accuracy, baselines, corrections, quality, similarity
 from quarterhour.operators.anomaly import sigma_clamp
 from quarterhour.operators.baselines import relative_band
 from quarterhour.operators.calendar import holiday_distance
@@ -54,6 +54,21 @@ def test_bands_never_see_load_after_the_origin(spark):
         assert x == y and len(x) == 96 * (20 + h) and any(r.p10 != r.p50 * 0.95 for r in x if r.p50)
 
 
+def test_similar_days_keep_to_their_own_type(spark):
+    rows = [("A", day(i), 100.0 + i % 3, 20.0 + i % 5, 50.0, 0.0, 0.0, 0, 1.0, int(i % 60 == 9), int(i == 364)) for i in range(730)]
+    days = spark.createDataFrame(rows, "state string, date date, level double, t double, h double, cdd double, hdd double, rain int, wind double, is_holiday int, synthetic int")
+    assert len(similarity.last_year_days(days, "2025-02-08").collect()) == 15
+    assert similarity.degree_bases("2024-07-01") == (20.0, 12.0) and similarity.degree_bases("2024-11-01") == (22.0, 15.0)
+    plain = similarity.similar_day_pool(days, "2025-01-06", top=60, anomaly_limit=9.0).collect()
+    assert day(364) not in {r.date for r in plain} and day(365) in {r.date for r in plain}  # a synthetic day is no candidate
+    many = days.withColumn("is_holiday", (F.dayofmonth("date") % 2 == 1).cast("int"))  # plenty of them: a holiday keeps to holidays
+    got = similarity.similar_day_pool(many, "2025-02-03", top=20, anomaly_limit=9.0).collect()
+    assert got and all(r.date.day % 2 == 1 for r in got)
+    fewer = days.where((F.weekday("date") == 5) | (F.year("date") < 2025))  # the last seven days on record are Saturdays
+    saturdays = similarity.similar_day_pool(fewer, "2025-03-01", top=20, anomaly_limit=9.0).collect()
+    assert len(saturdays) == 7 and all(r.date.weekday() == 5 for r in saturdays)
+
+
 def test_metrics_and_pinball(spark):
     p = series(spark, 2, lambda d, b: 100).withColumnRenamed("load", "actual").withColumns({"forecast": F.lit(110.0), "p10": F.lit(90.0), "p90": F.lit(130.0)})
     m = accuracy.metrics(p).first()
