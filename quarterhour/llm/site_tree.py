@@ -47,6 +47,9 @@ BARRED_NAMES = set("ad ads adv advert adverts advertisement advertising sponsor
 #: Barred outside a marked article only.
 BARRED_OUTSIDE = {"header"}
 ARTICLE_TAGS = {"article", "main"}
+#: Elements that hold a whole page, so their names (such as has-sidebar) say nothing about what is in them.
+FRAMES = {"html", "body", "main"}
+LAYOUT = re.compile(r"(?:has|with|no|without|is)[-_]", re.IGNORECASE)
 #: A start tag of the key ends an open element of the values.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 NAME = re.compile(r"[a-z]+")
@@ -87,9 +90,18 @@ class Page(HTMLParser):
         _, chain, _, _, children = self.open.pop()
         self.shapes.add((chain, hashed(*children)))
 
+    def declared(self, tag: str, own: dict[str, str]) -> bool:
+        """Whether an element says by its tag, role, class, id or style that it is no part of an article."""
+        words = [] if tag in FRAMES else [w for w in f"{own.get('class', '')} {own.get('id', '')}".split() if not LAYOUT.match(w)]
+        names = {n for w in words for n in NAME.findall(SPLIT_CAMEL.sub("-", w).lower())}
+        outside = not self.open[-1][3] and (tag in BARRED_OUTSIDE or bool(names & BARRED_OUTSIDE))
+        unseen = "hidden" in own or "display:none" in own.get("style", "").replace(" ", "").lower()
+        return outside or unseen or tag in BARRED_TAGS or own.get("role", "").lower() in BARRED_ROLES or bool(names & BARRED_NAMES)
+
     def handle_starttag(self, tag: str, attrs) -> None:
-        if tag in INLINE and not any(name in ("class", "id", "role", "hidden") for name, _ in attrs):
-            return
+        own = {k: v or "" for k, v in attrs}
+        if tag in INLINE and (tag in VOID or not attrs or not self.declared(tag, own)):
+            return  # part of the text around it
         self.flush()
         if tag not in INLINE:
             while len(self.open) > 1 and (self.open[-1][0] == "p" or self.open[-1][0] in CLOSES.get(tag, ()) or self.open[-1][0] in INLINE):
@@ -98,10 +110,7 @@ class Page(HTMLParser):
             return
         _, chain, barred, article, children = self.open[-1]
         children.append(tag)
-        own = {k: v or "" for k, v in attrs}
-        names = {n for v in (own.get("class", ""), own.get("id", "")) for n in NAME.findall(SPLIT_CAMEL.sub("-", v).lower())}
-        barred = barred or tag in BARRED_TAGS or own.get("role", "").lower() in BARRED_ROLES or bool(names & BARRED_NAMES) or "hidden" in own
-        barred = barred or (not article and (tag in BARRED_OUTSIDE or bool(names & BARRED_OUTSIDE)))
+        barred = barred or self.declared(tag, own)
         if not barred and (tag in ARTICLE_TAGS or own.get("role", "").lower() in ("main", "article")):
             self.articles.append("article" if tag == "article" or own.get("role", "").lower() == "article" else "main")
             article = len(self.articles)
@@ -109,7 +118,7 @@ class Page(HTMLParser):
         self.open.append((tag, (*chain, style) if len(chain) < DEPTH else chain, barred, article, []))
 
     def handle_endtag(self, tag: str) -> None:
-        if tag == "br" or tag == "p" or tag not in INLINE:
+        if tag not in INLINE:
             self.flush()
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i][0] == tag:

@@ -90,6 +90,8 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script
     ("<div class='content'><p>plain <i>page</i></p><table><tr><td>a<td>b</table></div>", "plain page a b"),
     ("<article><p><b>unclosed<br><p>next", "unclosed next"),
     ("<article></article>", ""),
+    ("<article><p>one<span class=hl>wo</span>rd <a href=x class=ref>l</a>ink<span class='ad'>buy</span></article>", "oneword link"),
+    ("<div class='layout has-sidebar'><article class=post><p>in layout</p><div class=commentList>no</div><p style='display: none'>no</p></article></div>", "in layout"),
 ])
 def test_declared_parts(body, want):
     page = PAGE.replace("{{}}", "{}").replace("{body}", body) if "unclosed" not in body else body
