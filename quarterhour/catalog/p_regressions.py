@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from quarterhour.catalog.core import query
-from quarterhour.catalog.j_weather import storms
+from quarterhour.catalog.j_weather import _STORM, storms
 from quarterhour.catalog.n_what_if import _P6
 from quarterhour.catalog.sqlparts import ols, slope
 from quarterhour.operators import regress as rg
@@ -71,12 +71,17 @@ def _(v):
     return rg.temperature_steps(v.frame)
 
 
+_CLEAR = f"{_STORM}, cl AS (SELECT f.*, year(date) AS year FROM v_frame f JOIN sd USING (state, date) WHERE NOT storm)"
+
+
 @query("p7_block_year_regressions", "state block:i year:i intercept:f beta_temperature:f beta_humidity:f beta_wind_speed_10m:f r2:f n:f")
 def _(v):
     return rg.block_year_ols(v.frame, ["temperature", "humidity", "wind_speed_10m"], storms(v), min_rows=6)
 
 
-@query("p7_yearly_drift", "state year:i avg_temperature:f avg_humidity:f blocks:i")
+@query("p7_yearly_drift", "state year:i avg_temperature:f avg_humidity:f blocks:i", f"""
+    WITH {_CLEAR} SELECT state, year, avg(beta_temperature) AS avg_temperature, avg(beta_humidity) AS avg_humidity, count(*) AS blocks
+    FROM ({ols("cl", "load", ["temperature", "humidity"], "state, block, year", 6)}) GROUP BY state, year""")
 def _(v):
     return rg.yearly_drift(rg.block_year_ols(v.frame, ["temperature", "humidity"], storms(v), min_rows=6), ["temperature", "humidity"])
 
