@@ -1,14 +1,13 @@
 """Exact top-k search over binary codes by multi-index hashing.
 
-A code of 64 bits is cut into m segments of about log2(rows) bits, and an index row per (segment, value) points to the
-codes that have it. Two codes within distance m * (r + 1) - 1 differ by at most r bits in some segment. So a query's
-segments are looked up with all flips of 0 bits, then 1, 2 ... bits; each candidate's distance is verified; and a query
-is done when its k-th distance is at most m * (r + 1) - 1, since nothing nearer can still be missing. Queries that are
-done leave the loop, so only the hard ones reach large radii.
+A code of 64 bits is cut into m segments of at least log2(rows) bits, so an index entry (segment, value) points to about
+one code. A query's segments are looked up with all flips of 0 bits, then 1, 2 ... bits, and each candidate's distance is
+verified. Once the first j segments have been searched up to r flips and the others up to r - 1, every code within distance
+m * r + j - 1 has been seen, as a farther one only can differ in more bits everywhere. A query whose k-th distance is
+within that leaves the loop, so only the hard ones reach large radii. Radii with many flips grow segment by segment.
 
 Copies are collapsed first: the index holds distinct codes, each with its k smallest ids (more of one code can never be
-among the nearest k), and queries with one code are searched once. Segments grow with log2(rows), so the rows of an
-index entry do not.
+among the nearest k), and queries with one code are searched once.
 
 Defined results: neighbours are ordered by distance, then id; a query row finds itself. Rows with null id or without a
 full vector have no code: they find nothing and are not found; a null or NaN component counts as not positive. Rows that
@@ -26,6 +25,8 @@ from pyspark.sql import functions as F
 from quarterhour.llm.common import saved
 
 BITS, K = 64, 10
+#: Radii with more flips than this grow one segment at a time.
+AT_ONCE = 256
 
 
 def sign_code(vector: str, bits: int = BITS) -> Column:
@@ -38,8 +39,8 @@ def sign_code(vector: str, bits: int = BITS) -> Column:
 
 
 def cuts(rows: int, bits: int = BITS) -> list[tuple[int, int]]:
-    """(shift, width) of segments of about log2(rows) bits."""
-    m = min(bits, max(1, round(bits / max(1.0, math.log2(max(rows, 2))))))
+    """(shift, width) of segments of at least log2(rows) bits, as far as the code goes."""
+    m = min(bits, max(1, int(bits / max(1.0, math.log2(max(rows, 2))))))
     edges = [bits * i // m for i in range(m + 1)]
     return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
@@ -48,6 +49,15 @@ def segment(code: Column, shift: int, width: int) -> Column:
     return F.shiftrightunsigned(code, shift).bitwiseAND(F.lit((1 << width) - 1)) if width < BITS else code
 
 
+def steps(parts: list[tuple[int, int]]) -> list[tuple[int, list[int], int]]:
+    """(radius, segments to search, distance covered afterwards), until everything is covered."""
+    out, m = [], len(parts)
+    for radius in range(max(width for _, width in parts) + 1):
+        groups = [list(range(m))] if math.comb(max(width for _, width in parts), radius) <= AT_ONCE else [[j] for j in range(m)]
+        out += [(radius, group, m * radius + group[-1]) for group in groups]
+    return out
+
+
 def flips(width: int, radius: int) -> Column:
     """All masks of ``width`` bits with ``radius`` set, as one constant array."""
     masks = [sum(1 << i for i in chosen) for chosen in combinations(range(width), radius)]
@@ -67,26 +77,24 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     entries = F.array(*[F.struct(F.lit(j).alias("seg"), segment(F.col("code"), *p).alias("value")) for j, p in enumerate(parts)])
     index = saved(codes.select("code", F.explode(entries).alias("e")).select("code", "e.*"))
 
-    active, found, done = asked.select("asked").distinct(), None, []
-    for radius in range(max(width for _, width in parts) + 1):
+    everyone = asked.select("asked").distinct()
+    active, found = everyone, None
+    for radius, group, covered in steps(parts):
         probes = None
-        for j, (shift, width) in enumerate(parts):
+        for j in group:
+            shift, width = parts[j]
             if radius <= width:
                 own = active.select("asked", F.lit(j).alias("seg"), segment(F.col("asked"), shift, width).alias("own"), F.explode(flips(width, radius)).alias("mask")).select("asked", "seg", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
                 probes = own if probes is None else probes.union(own)
+        if probes is None:
+            continue  # this segment is narrower than the radius
         fresh = probes.join(index, ["seg", "value"]).select("asked", "code").distinct().join(ids, "code").select("asked", "vec_id", F.bit_count(F.col("asked").bitwiseXOR(F.col("code"))).alias("distance"))
         best = Window.partitionBy("asked").orderBy("distance", "vec_id")
         merged = fresh if found is None else fresh.union(found).distinct()
         found = saved(merged.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank"))
-        covered = len(parts) * (radius + 1) - 1
         kth = found.groupBy("asked").agg(F.count("*").alias("n"), F.max("distance").alias("far")).where((F.col("n") >= wanted) & (F.col("far") <= covered)).select("asked")
-        done.append(found.join(kth, "asked", "left_semi"))
-        active = saved(active.join(kth, "asked", "left_anti"))
-        found = found.join(kth, "asked", "left_anti")
+        active = saved(everyone.join(kth, "asked", "left_anti"))  # who is done stays done, as more is covered later
         if active.isEmpty():
             break
-    everything = done[0]
-    for more in done[1:]:
-        everything = everything.union(more)
-    ranked = everything.withColumn("rank", F.row_number().over(Window.partitionBy("asked").orderBy("distance", "vec_id")))
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("asked").orderBy("distance", "vec_id")))
     return asked.join(ranked, "asked").select("query_id", "rank", "vec_id", "distance")
