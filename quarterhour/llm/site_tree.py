@@ -14,8 +14,8 @@ comments by tag, role, class or id have importance 0, and the article it marks (
 for such elements, since texts that recur on a host, such as copies of an article, are not boilerplate there.
 
 Only counts per (host, element, value) are shuffled, and they are summed before: a host with a third of all pages is a few
-rows from each task. Pages meet their host's boilerplate, a list of hashes, in a join on the host whose large side Spark
-splits; the list is short, since a content must recur on M^0.75 pages to be in it.
+rows from each task. Pages meet their host's boilerplate, a list of hashes, in a join on the host and one of its 64 parts;
+the list is short, since a content must recur on M^0.75 pages to be in it, and each part has a copy.
 
 Defined results: null or empty html gives an empty text; a null url is a host of its own; pages of hosts with fewer than
 MIN_PAGES pages go by what they declare; repeated rows are pages of their own; a table without rows gives none. Pages are
@@ -37,6 +37,8 @@ from pyspark.sql import types as T
 from quarterhour.llm.common import saved
 
 THRESHOLD, DECAY, MIN_PAGES, DEPTH = 0.25, 0.9, 4, 12
+#: Parts that a host's pages are dealt to when they meet its boilerplate, so that a hot host is no hot key.
+SPREAD = 64
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
@@ -205,6 +207,6 @@ def _main_text(html: pa.Array, low: pa.Array) -> pa.Array:
 
 def main_texts(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """page_id, url, text of each row of (page_id, url, html)."""
-    rows = pages.select("page_id", "url", "html", host(F.col("url")).alias("host"))
-    low = boilerplate(rows.select("host", "html"), threshold)
-    return rows.join(low, "host", "left").select("page_id", "url", _main_text("html", "low").alias("text"))
+    rows = pages.select("page_id", "url", "html", host(F.col("url")).alias("host"), F.pmod(F.xxhash64("page_id", "url"), F.lit(SPREAD)).alias("part"))
+    low = boilerplate(rows.select("host", "html"), threshold).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))))
+    return rows.join(low, ["host", "part"], "left").select("page_id", "url", _main_text("html", "low").alias("text"))
