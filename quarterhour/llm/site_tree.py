@@ -1,24 +1,26 @@
 """Main text of web pages by site style trees.
 
 Pages of one host are merged into one style tree. Its elements are named by their path of tags and classes. An element
-has presentations (the sequences of child tags it shows) and contents (the text blocks directly in it), and both are
-counted over the pages of the host:
+has presentations (the sequences of child tags it shows) and contents (the text blocks directly in it). Presentations are
+counted over the pages of the host, contents over its distinct bodies, so that copies of a page count once:
 
-* A content found on n of M pages has importance 1 - log_M(n): 1 if it is on one page only, 0 if it is on all.
-* The entropy of an element's presentations, in logarithms to base M, is its presentation importance. With l presentations
-  its importance is (1 - 0.9^l) * presentation importance + 0.9^l * mean importance of the contents below it.
+* A content found in n of M bodies has importance 1 - log_M(n): 1 if it is in one only, 0 if it is in all.
+* The entropy of an element's presentations, in logarithms to base of the pages, is its presentation importance. With l
+  presentations its importance is (1 - 0.9^l) * presentation importance + 0.9^l * mean importance of its own contents.
 
-Contents and branches below the threshold are the host's boilerplate and are removed from each page. What a page declares
-itself comes first: elements that are menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or reader
-comments by tag, role, class or id have importance 0, and the article it marks (article, main, role main) is kept whole but
-for such elements, since texts that recur on a host, such as copies of an article, are not boilerplate there.
+An element is noisy if it and all its contents are below the threshold. Contents below the threshold are the host's
+boilerplate and are removed from each page, whatever they are in; an important content stays, whatever it is in, so an
+element around others is never removed as such. What a page declares itself comes first: elements that are menus, headers,
+footers, sidebars, notices, adverts, forms, scripts, styles or reader comments by tag, role, class or id are removed and are
+no part of the tree, and the article it marks (article, main, role main) is kept whole but for such elements.
 
-Only counts per (host, element, value) are shuffled, and they are summed before: a host with a third of all pages is a few
-rows from each task. Pages meet their host's boilerplate, a list of hashes, in a join on the host and one of its 64 parts;
-the list is short, since a content must recur on M^0.75 pages to be in it, and each part has a copy.
+Only counts per (host, element, value, body) are shuffled, and they are summed before: a host with a third of all pages is no
+hot key. Pages meet their host's boilerplate, a list of hashes, in a join on the host and one of its 64 parts; the list is
+short, since a content must recur in M^0.75 bodies to be in it, and each part has a copy.
 
 Defined results: null or empty html gives an empty text; a null url is a host of its own; pages of hosts with fewer than
-MIN_PAGES pages go by what they declare; repeated rows are pages of their own; a table without rows gives none. Pages are
+MIN_PAGES bodies go by what they declare; repeated rows are pages of their own with one
+body; a table without rows gives none. Pages are
 parsed whole. Further columns are not looked at.
 """
 
@@ -63,16 +65,16 @@ def hashed(*parts) -> int:
 
 
 class Page(HTMLParser):
-    """Text blocks of a page, each with its chain of elements and what the page declares about it."""
+    """Text blocks of a page, each with its element and what the page declares about it."""
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
-        #: (chain of element hashes, text, declared boilerplate, number of its marked article or 0)
-        self.blocks: list[tuple[tuple[int, ...], str, bool, int]] = []
-        #: (chain, hash of the child tags) of each element
-        self.shapes: set[tuple[tuple[int, ...], int]] = set()
-        # tag, chain, barred, article, child tags
-        self.open: list[tuple[str, tuple[int, ...], bool, int, list[str]]] = [("", (), False, 0, [])]
+        #: (element, text, declared boilerplate, number of its marked article or 0)
+        self.blocks: list[tuple[int, str, bool, int]] = []
+        #: (element, hash of the child tags) of each element that is not declared boilerplate
+        self.shapes: set[tuple[int, int]] = set()
+        # tag, element, barred, article, child tags, depth
+        self.open: list[tuple[str, int, bool, int, list[str], int]] = [("", 0, False, 0, [], 0)]
         self.text: list[str] = []
         self.articles: list[str] = []
         self.feed(html)
@@ -85,12 +87,13 @@ class Page(HTMLParser):
         text = " ".join("".join(self.text).split())
         self.text.clear()
         if text:
-            _, chain, barred, article, _ = self.open[-1]
-            self.blocks.append((chain, text, barred, article))
+            _, element, barred, article, _, _ = self.open[-1]
+            self.blocks.append((element, text, barred, article))
 
     def pop(self) -> None:
-        _, chain, _, _, children = self.open.pop()
-        self.shapes.add((chain, hashed(*children)))
+        _, element, barred, _, children, _ = self.open.pop()
+        if not barred:
+            self.shapes.add((element, hashed(*children)))
 
     def declared(self, tag: str, own: dict[str, str]) -> bool:
         """Whether an element says by its tag, role, class, id or style that it is no part of an article."""
@@ -110,14 +113,15 @@ class Page(HTMLParser):
                 self.pop()
         if tag in VOID:
             return
-        _, chain, barred, article, children = self.open[-1]
-        children.append(tag)
+        _, parent, barred, article, children, depth = self.open[-1]
         barred = barred or self.declared(tag, own)
+        if not barred:
+            children.append(tag)
         if not barred and (tag in ARTICLE_TAGS or own.get("role", "").lower() in ("main", "article")):
             self.articles.append("article" if tag == "article" or own.get("role", "").lower() == "article" else "main")
             article = len(self.articles)
-        style = hashed(chain[-1] if chain else 0, tag, " ".join(sorted(own.get("class", "").split())), own.get("role", ""))
-        self.open.append((tag, (*chain, style) if len(chain) < DEPTH else chain, barred, article, []))
+        style = hashed(parent, tag, " ".join(sorted(own.get("class", "").split())), own.get("role", ""))
+        self.open.append((tag, style if depth < DEPTH else parent, barred, article, [], depth + 1))
 
     def handle_endtag(self, tag: str) -> None:
         if tag not in INLINE:
@@ -142,61 +146,73 @@ class Page(HTMLParser):
     def handle_data(self, data: str) -> None:
         self.text.append(data)
 
+    def marked(self) -> list[tuple[int, str, bool, int]]:
+        """The open blocks of the marked article, none if there is no such block."""
+        kind = "article" if "article" in self.articles else "main"
+        return [b for b in self.blocks if not b[2] and b[3] and self.articles[b[3] - 1] == kind]
+
+    def body(self) -> int:
+        """Hash of the marked article's text or, without one, of all open blocks: the same for copies in other surroundings."""
+        return hashed(*(text for _, text, _, _ in self.marked() or [b for b in self.blocks if not b[2]]))
+
     def main_text(self, low: set[int]) -> str:
         """The blocks of the marked article, or else those that are no boilerplate, in page order."""
-        open_blocks = [b for b in self.blocks if not b[2]]
-        kind = "article" if "article" in self.articles else "main"
-        marked = [b for b in open_blocks if b[3] and self.articles[b[3] - 1] == kind]
+        marked = self.marked()
         if marked:
             return " ".join(text for _, text, _, _ in marked)
-        return " ".join(text for chain, text, _, _ in open_blocks if not low or not (low.intersection(chain) or content_key(chain, text) in low))
+        return " ".join(text for element, text, barred, _ in self.blocks if not barred and not (low and content_key(element, text) in low))
 
 
-def content_key(chain: tuple[int, ...], text: str) -> int:
-    return hashed(chain[-1] if chain else 0, text)
+def content_key(element: int, text: str) -> int:
+    return hashed(element, text)
 
 
 def host(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
+PAGE, CONTENT, SHAPE = 0, 1, 2
+
+
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for name, html in zip(*batch.columns, strict=True):
             page = Page(html.as_py() or "")
-            contents = {(chain, content_key(chain, text)) for chain, text, _, _ in page.blocks if chain}
-            rows = [(chain, key, True) for chain, key in contents] + [(chain, key, False) for chain, key in page.shapes if chain]
-            if rows:
-                chains, keys, kinds = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(rows), pa.string()), pa.array(map(list, chains), pa.list_(pa.int64())), pa.array(keys, pa.int64()), pa.array(kinds, pa.bool_())], names=["host", "chain", "value", "is_content"])
+            body = page.body()
+            rows = [(PAGE, 0, body, 0)]
+            rows += [(CONTENT, element, key, body) for element, key in {(e, content_key(e, text)) for e, text, barred, _ in page.blocks if not barred}]
+            rows += [(SHAPE, element, key, 0) for element, key in page.shapes]
+            kinds, elements, values, bodies = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(rows), pa.string()), pa.array(kinds, pa.int8()), *(pa.array(c, pa.int64()) for c in (elements, values, bodies))], names=["host", "kind", "element", "value", "body"])
 
 
 def style_tree(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Importance of contents (host, element, value, n, k, importance) and of elements (host, element, importance), from (host, html).
+    """Importance of contents (host, element, value, n, k, importance) and of elements (host, element, importance, most), from (host, html).
 
-    ``n`` is the number of pages with a value. Values of one page only are many and alike, so they are one row for each
-    element: ``k`` of them, without a value.
+    ``n`` is the number of bodies with a value, ``most`` the importance of an element's most important content. Values of one
+    body only are many and alike, so they are one row for each element: ``k`` of them, without a value.
     """
-    counted = pages.mapInArrow(_nodes, "host string, chain array<bigint>, value bigint, is_content boolean").groupBy("host", "is_content", "chain", "value").agg(F.count("*").alias("n"))
+    by_body = pages.mapInArrow(_nodes, "host string, kind tinyint, element bigint, value bigint, body bigint").groupBy("host", "kind", "element", "value", "body").agg(F.count("*").alias("rows"))
+    counted = by_body.groupBy("host", "kind", "element", "value").agg(F.sum(F.when(F.col("kind") == CONTENT, 1).otherwise(F.col("rows"))).alias("n"))
     kept = F.when(F.col("n") > 1, F.col("value"))
-    tree = saved(counted.groupBy("host", "is_content", "chain", kept.alias("value"), "n").agg(F.count("*").alias("k")))  # read three times, made once
-    sizes = pages.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= MIN_PAGES)
+    tree = saved(counted.groupBy("host", "kind", "element", kept.alias("value"), "n").agg(F.count("*").alias("k")))  # read three times, made once
+    sizes = tree.where(F.col("kind") == PAGE).groupBy("host").agg(F.sum("k").alias("bodies"), F.sum(F.col("n") * F.col("k")).alias("pages")).where(F.col("bodies") >= MIN_PAGES)
     sized = tree.join(sizes, "host")
-    pages_of = F.col("n") * F.col("k")
-    contents = sized.where("is_content").select("host", "chain", "value", "n", "k", (1 - F.log("n") / F.log("pages")).alias("importance"))
-    below = contents.select("host", F.explode("chain").alias("element"), pages_of.alias("w"), "importance").groupBy("host", "element").agg((F.sum(F.col("w") * F.col("importance")) / F.sum("w")).alias("content_importance"))
-    entropy = (F.log(F.sum(pages_of)) - F.sum(pages_of * F.log("n")) / F.sum(pages_of)) / F.log(F.max("pages"))
-    shapes = sized.where("not is_content").select("host", F.element_at("chain", -1).alias("element"), "n", "k", "pages").groupBy("host", "element").agg(
-        F.greatest(F.lit(0.0), F.least(F.lit(1.0), entropy)).alias("entropy"), F.sum("k").alias("l"))
+    times = F.col("n") * F.col("k")
+    contents = sized.where(F.col("kind") == CONTENT).select("host", "element", "value", "n", "k", (1 - F.log("n") / F.log("bodies")).alias("importance"))
+    own = contents.groupBy("host", "element").agg((F.sum(times * F.col("importance")) / F.sum(times)).alias("content_importance"), F.max("importance").alias("most"))
+    entropy = (F.log(F.sum(times)) - F.sum(times * F.log("n")) / F.sum(times)) / F.log(F.max("pages"))
+    shapes = sized.where(F.col("kind") == SHAPE).groupBy("host", "element").agg(F.greatest(F.lit(0.0), F.least(F.lit(1.0), entropy)).alias("entropy"), F.sum("k").alias("l"))
     share = F.pow(F.lit(DECAY), F.col("l"))
-    elements = below.join(shapes, ["host", "element"]).select("host", "element", ((1 - share) * F.col("entropy") + share * F.col("content_importance")).alias("importance"))
-    return contents.select("host", F.element_at("chain", -1).alias("element"), "value", "n", "k", "importance"), elements
+    elements = own.join(shapes, ["host", "element"]).select("host", "element", ((1 - share) * F.col("entropy") + share * F.col("content_importance")).alias("importance"), "most")
+    return contents, elements
 
 
 def boilerplate(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """host, low: hashes of the host's contents and branches below the threshold."""
+    """host, low: hashes of the host's contents below the threshold, and of the elements below it that hold no other contents."""
     contents, elements = style_tree(pages)
-    low = contents.where(F.col("importance") < threshold).select("host", F.col("value").alias("low")).union(elements.where(F.col("importance") < threshold).select("host", F.col("element").alias("low")))
+    noisy = elements.where((F.col("importance") < threshold) & (F.col("most") < threshold))
+    low = contents.where(F.col("importance") < threshold).select("host", F.col("value").alias("low")).union(noisy.select("host", F.col("element").alias("low")))
     return low.groupBy("host").agg(F.collect_set("low").alias("low"))
 
 

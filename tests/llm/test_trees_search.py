@@ -114,6 +114,19 @@ def test_recurring_blocks_of_a_host(spark):
     assert site_tree.main_texts(df.limit(0)).count() == 0
 
 
+def host_texts(spark, pages):
+    rows = [(i, "http://h.example/", page) for i, page in enumerate(pages)]
+    return dict(site_tree.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).select("page_id", "text").collect())
+
+
+def test_important_contents_stay_in_a_page_of_boilerplate(spark):
+    menu = "<div class=links><ul>" + "".join(f"<li><a href=x>Link {i}</a></li>" for i in range(20)) + "</ul></div>"
+    pages = [f"<html><head><title>T</title></head><body>{menu}<div class=body><p>story {i} of its own</p><p>another {i * 7}</p></div></body></html>" for i in range(40)]
+    assert host_texts(spark, pages) == {i: f"story {i} of its own another {i * 7}" for i in range(40)}
+    bodies = [f"<div class=body><p>story {i} of its own</p></div><div><p>and {i * 7}</p></div>" for i in range(40)]
+    assert host_texts(spark, [PAGE.replace("{{}}", "{}").replace("{body}", b) for b in bodies]) == {i: f"story {i} of its own and {i * 7}" for i in range(40)}
+
+
 def test_importance_is_entropy(spark):
     pages = [("h", f"<div><p>same</p><p>own {i}</p>{'<p>half</p>' if i % 2 else ''}</div>") for i in range(16)]
     contents, _ = site_tree.style_tree(spark.createDataFrame(pages, "host string, html string"))
