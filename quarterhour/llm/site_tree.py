@@ -12,7 +12,9 @@ An element is noisy if it and all its contents are below the threshold. Contents
 boilerplate and are removed from each page, whatever they are in; an important content stays, whatever it is in, so an
 element around others is never removed as such. What a page declares itself comes first: elements that are menus, headers,
 footers, sidebars, notices, adverts, forms, scripts, styles or reader comments by tag, role, class or id are removed and are
-no part of the tree, and the article it marks (article, main, role main) is kept whole but for such elements.
+no part of the tree, and only the article it marks (article, main, role main) is looked at. There a copy of an article, which
+recurs with changes, must not be taken for boilerplate: blocks of noisy elements are removed, but recurring blocks of other
+elements only if they are less than half of the rest, and an article of nothing but boilerplate is kept whole.
 
 Only counts per (host, element, value, body) are shuffled, and they are summed before: a host with a third of all pages is no
 hot key. Pages meet their host's boilerplate, a list of hashes, in a join on the host and one of its 64 parts; the list is
@@ -156,11 +158,15 @@ class Page(HTMLParser):
         return hashed(*(text for _, text, _, _ in self.marked() or [b for b in self.blocks if not b[2]]))
 
     def main_text(self, low: set[int]) -> str:
-        """The blocks of the marked article, or else those that are no boilerplate, in page order."""
+        """The blocks of the marked article, or else of the page, that are no boilerplate, in page order."""
         marked = self.marked()
-        if marked:
-            return " ".join(text for _, text, _, _ in marked)
-        return " ".join(text for element, text, barred, _ in self.blocks if not barred and not (low and content_key(element, text) in low))
+        if not marked:
+            return " ".join(text for element, text, barred, _ in self.blocks if not barred and not (low and content_key(element, text) in low))
+        left = [(text, content_key(element, text) in low) for element, text, _, _ in marked if element not in low] if low else []
+        own = [text for text, recurs in left if not recurs]
+        if 2 * sum(map(len, own)) >= sum(len(text) for text, _ in left):
+            left = [(text, False) for text in own]
+        return " ".join([text for text, _ in left] or [text for _, text, _, _ in marked])
 
 
 def content_key(element: int, text: str) -> int:

@@ -127,6 +127,25 @@ def test_important_contents_stay_in_a_page_of_boilerplate(spark):
     assert host_texts(spark, [PAGE.replace("{{}}", "{}").replace("{body}", b) for b in bodies]) == {i: f"story {i} of its own and {i * 7}" for i in range(40)}
 
 
+def test_recurring_blocks_of_marked_articles(spark):
+    bar = "<div class=teaser><p>Call us now for more of the same</p><p>All rights reserved</p></div>"
+    story = [f"<p>story {i}</p><p>and its end {i * 7}</p>" for i in range(40)]
+    assert host_texts(spark, [f"<article>{p}{bar}</article>" for p in story]) == {i: f"story {i} and its end {i * 7}" for i in range(40)}
+    assert host_texts(spark, [f"<main>{p}<p>Read on</p></main>" for p in story]) == {i: f"story {i} and its end {i * 7}" for i in range(40)}
+
+
+def test_copies_of_marked_articles_stay(spark):
+    parts = [f"part {i} of a story that many pages have" for i in range(6)]
+    whole = "".join(f"<p>{p}</p>" for p in parts)
+    pages = [f"<div>menu {i}</div><article><h1>Head</h1>{whole}</article>" for i in range(20)]  # exact copies, other surroundings
+    pages += [f"<article><h1>Head</h1>{whole}<p>edited {i}</p></article>" for i in range(20)]  # near copies
+    pages += [f"<article><h1>Head {i}</h1><p>of its own {i}</p></article>" for i in range(5)]
+    got = host_texts(spark, pages)
+    assert all(got[i] == " ".join(["Head", *parts]) for i in range(20))
+    assert all(got[20 + i] == " ".join(["Head", *parts, f"edited {i}"]) for i in range(20))
+    assert all(got[40 + i] == f"Head {i} of its own {i}" for i in range(5))
+
+
 def test_importance_is_entropy(spark):
     pages = [("h", f"<div><p>same</p><p>own {i}</p>{'<p>half</p>' if i % 2 else ''}</div>") for i in range(16)]
     contents, _ = site_tree.style_tree(spark.createDataFrame(pages, "host string, html string"))
