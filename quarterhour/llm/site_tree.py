@@ -1,8 +1,9 @@
 """Main text of web pages by site style trees.
 
-Pages of one host are merged into one style tree. Its elements are named by their path of tags and classes. An element
-has presentations (the sequences of child tags it shows) and contents (the text blocks directly in it). Presentations are
-counted over the pages of the host, contents over its distinct bodies, so that copies of a page count once:
+Pages of one host are merged into one style tree. Its elements are named by their path of tags and classes, by a
+hash of the parent's name and their own, however deep they are. An element has presentations (the sequences of child tags it
+shows) and contents (the text blocks directly in it). Presentations are counted over the pages of the host, contents over its
+distinct bodies, so that copies of a page count once:
 
 * A content found in n of M bodies has importance 1 - log_M(n): 1 if it is in one only, 0 if it is in all.
 * The entropy of an element's presentations, in logarithms to base of the pages, is its presentation importance. With l
@@ -17,12 +18,11 @@ recurs with changes, must not be taken for boilerplate: blocks of noisy elements
 elements only if they are less than half of the rest, and an article of nothing but boilerplate is kept whole.
 
 Only counts per (host, element, value, body) are shuffled, and they are summed before: a host with a third of all pages is no
-hot key. Pages meet their host's boilerplate, a list of hashes, in a join on the host and one of its 64 parts; the list is
-short, since a content must recur in M^0.75 bodies to be in it, and each part has a copy.
+hot key. Pages meet their host's boilerplate, a list of hashes, in a join on the host and one of its parts, at most 64;
+the list is short, since a content must recur in M^0.75 bodies to be in it, and each part that has pages has a copy.
 
-Defined results: null or empty html gives an empty text; a null url is a host of its own; pages of hosts with fewer than
-MIN_PAGES bodies go by what they declare; repeated rows are pages of their own with one
-body; a table without rows gives none. Pages are
+Defined results: null or empty html gives an empty text; a null url is a host of its own; pages of hosts with one
+body go by what they declare; repeated rows are pages of their own with one body; a table without rows gives none. Pages are
 parsed whole. Further columns are not looked at.
 """
 
@@ -40,7 +40,7 @@ from pyspark.sql import types as T
 
 from quarterhour.llm.common import saved
 
-THRESHOLD, DECAY, MIN_PAGES, DEPTH = 0.25, 0.9, 4, 12
+THRESHOLD, DECAY = 0.25, 0.9
 #: Parts that a host's pages are dealt to when they meet its boilerplate, so that a hot host is no hot key.
 SPREAD = 64
 
@@ -75,8 +75,8 @@ class Page(HTMLParser):
         self.blocks: list[tuple[int, str, bool, int]] = []
         #: (element, hash of the child tags) of each element that is not declared boilerplate
         self.shapes: set[tuple[int, int]] = set()
-        # tag, element, barred, article, child tags, depth
-        self.open: list[tuple[str, int, bool, int, list[str], int]] = [("", 0, False, 0, [], 0)]
+        # tag, element, barred, article, child tags
+        self.open: list[tuple[str, int, bool, int, list[str]]] = [("", 0, False, 0, [])]
         self.text: list[str] = []
         self.articles: list[str] = []
         self.feed(html)
@@ -89,11 +89,11 @@ class Page(HTMLParser):
         text = " ".join("".join(self.text).split())
         self.text.clear()
         if text:
-            _, element, barred, article, _, _ = self.open[-1]
+            _, element, barred, article, _ = self.open[-1]
             self.blocks.append((element, text, barred, article))
 
     def pop(self) -> None:
-        _, element, barred, _, children, _ = self.open.pop()
+        _, element, barred, _, children = self.open.pop()
         if not barred:
             self.shapes.add((element, hashed(*children)))
 
@@ -115,7 +115,7 @@ class Page(HTMLParser):
                 self.pop()
         if tag in VOID:
             return
-        _, parent, barred, article, children, depth = self.open[-1]
+        _, parent, barred, article, children = self.open[-1]
         barred = barred or self.declared(tag, own)
         if not barred:
             children.append(tag)
@@ -123,7 +123,7 @@ class Page(HTMLParser):
             self.articles.append("article" if tag == "article" or own.get("role", "").lower() == "article" else "main")
             article = len(self.articles)
         style = hashed(parent, tag, " ".join(sorted(own.get("class", "").split())), own.get("role", ""))
-        self.open.append((tag, style if depth < DEPTH else parent, barred, article, [], depth + 1))
+        self.open.append((tag, style, barred, article, []))
 
     def handle_endtag(self, tag: str) -> None:
         if tag not in INLINE:
@@ -202,7 +202,7 @@ def style_tree(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     counted = by_body.groupBy("host", "kind", "element", "value").agg(F.sum(F.when(F.col("kind") == CONTENT, 1).otherwise(F.col("rows"))).alias("n"))
     kept = F.when(F.col("n") > 1, F.col("value"))
     tree = saved(counted.groupBy("host", "kind", "element", kept.alias("value"), "n").agg(F.count("*").alias("k")))  # read three times, made once
-    sizes = tree.where(F.col("kind") == PAGE).groupBy("host").agg(F.sum("k").alias("bodies"), F.sum(F.col("n") * F.col("k")).alias("pages")).where(F.col("bodies") >= MIN_PAGES)
+    sizes = tree.where(F.col("kind") == PAGE).groupBy("host").agg(F.sum("k").alias("bodies"), F.sum(F.col("n") * F.col("k")).alias("pages")).where(F.col("bodies") > 1)
     sized = tree.join(sizes, "host")
     times = F.col("n") * F.col("k")
     contents = sized.where(F.col("kind") == CONTENT).select("host", "element", "value", "n", "k", (1 - F.log("n") / F.log("bodies")).alias("importance"))
@@ -230,5 +230,5 @@ def _main_text(html: pa.Array, low: pa.Array) -> pa.Array:
 def main_texts(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """page_id, url, text of each row of (page_id, url, html)."""
     rows = pages.select("page_id", "url", "html", host(F.col("url")).alias("host"), F.pmod(F.xxhash64("page_id", "url"), F.lit(SPREAD)).alias("part"))
-    low = boilerplate(rows.select("host", "html"), threshold).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))))
+    low = boilerplate(rows.select("host", "html"), threshold).join(rows.select("host", "part").distinct(), "host")
     return rows.join(low, ["host", "part"], "left").select("page_id", "url", _main_text("html", "low").alias("text"))

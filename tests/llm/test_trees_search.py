@@ -146,6 +146,21 @@ def test_copies_of_marked_articles_stay(spark):
     assert all(got[40 + i] == f"Head {i} of its own {i}" for i in range(5))
 
 
+def test_deep_elements_are_their_own(spark):
+    deep = "<div>" * 30
+    pages = [f"{deep}<article><div class=links><p>Link one</p><p>Link two</p></div><div class=body><p>story {i}</p></div></article>" for i in range(40)]
+    assert host_texts(spark, pages) == {i: f"story {i}" for i in range(40)}  # the links outweigh the story, but have elements of their own
+    one, other = (site_tree.Page(f"{deep}<p class={c}>text").blocks[0][0] for c in "ab")
+    assert one != other
+
+
+@pytest.mark.parametrize("n", [2, 3])
+def test_hosts_of_few_pages(spark, n):
+    pages = [f"<div>Read on</div><div><p>story {i}</p></div>" for i in range(n)]
+    assert host_texts(spark, pages) == {i: f"story {i}" for i in range(n)}
+    assert host_texts(spark, pages[:1] * n) == {i: "Read on story 0" for i in range(n)}  # copies are one body
+
+
 def test_importance_is_entropy(spark):
     pages = [("h", f"<div><p>same</p><p>own {i}</p>{'<p>half</p>' if i % 2 else ''}</div>") for i in range(16)]
     contents, _ = site_tree.style_tree(spark.createDataFrame(pages, "host string, html string"))
