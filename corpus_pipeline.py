@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarterhour.llm import mixing, near_dedup, packing, quality_rules, secret_scan
-from quarterhour.llm.common import shared_path, table
+from quarterhour.llm.common import saved, shared_path, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,9 +21,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies."""
-    dropped = near_dedup.components(docs).where("not kept").select(F.col("doc_id").alias("dropped_id"))
-    return docs.join(dropped, F.col("doc_id") == F.col("dropped_id"), "left_anti")
+    """The document with the smallest id of each group of near copies; where ids repeat, each row is a document of its own."""
+    repeated = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1")
+    if repeated.isEmpty():
+        dropped = near_dedup.components(docs).where("not kept").select(F.col("doc_id").alias("dropped_id"))
+        return docs.join(dropped, F.col("doc_id") == F.col("dropped_id"), "left_anti")
+    # Numbers in the order of the ids; the position breaks ties, so that a hot id is spread over partitions.
+    placed = docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("place"))
+    ordered = placed.repartitionByRange("row.doc_id", "place").sortWithinPartitions("row.doc_id", "place")
+    numbered = saved(ordered.select("row", F.when(F.col("row.doc_id").isNotNull(), F.monotonically_increasing_id()).alias("number")))
+    dropped = near_dedup.components(numbered.select("number", "row.text"), id_col="number").where("not kept").select(F.col("doc_id").alias("dropped_number"))
+    kept = numbered.join(dropped, F.col("number") == F.col("dropped_number"), "left_anti")
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

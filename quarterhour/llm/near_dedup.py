@@ -20,7 +20,7 @@ cap on buckets, candidates or partners. The sketches refuse pairs estimated unde
 more than four standard errors below 0.85.
 
 Defined results: without words (null or empty text) a document has set size 0, is linked with nothing and kept. Rows with
-the same doc_id count as one document, so each of them has its component. A null doc_id is linked with nothing: its
+the same doc_id count as one document: an id with different texts connects the groups of all of them. A null doc_id is linked with nothing: its
 component is null, and it is kept. An empty table gives no rows. Further columns are not looked at.
 """
 
@@ -270,8 +270,12 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     once = F.array_min(F.array_intersect(a["keys"], b["keys"])) == a["key"]
     rest = x.join(y, (a["key"] == b["key"]) & (a["rep"] < b["rep"]) & (a["label"] != b["label"]) & allowed(a, b) & (odd_bits(a["fine"], b["fine"], FINE_BITS) <= FINE_ODD) & once).select(*ordered(a, b))
     more_links = confirmed(saved(rest.join(first_pairs, ["a", "digest_a", "b", "digest_b"], "left_anti")), docs)
-    labels = connected(first_links.union(more_links))
 
-    placed = signed.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left").join(labels, F.col("rep") == F.col("node"), "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("label", F.when(F.col("doc_id").isNotNull(), F.col("rep")))).otherwise(F.col("doc_id"))
-    return placed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    # An id with different sets connects what they are in.
+    set_hash = F.xxhash64("digest")
+    several = signed.where("doc_id is not null").groupBy("doc_id").agg(F.min(set_hash).alias("low"), F.max(set_hash).alias("high")).where("low <> high").select("doc_id")
+    same_id = signed.select("doc_id", "digest").join(several, "doc_id", "left_semi").join(classes, "digest").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    labels = connected(first_links.union(more_links).union(same_id))
+
+    placed = signed.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left").withColumn("own", F.coalesce("rep", "doc_id")).join(labels, F.col("own") == F.col("node"), "left")
+    return placed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "own")).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

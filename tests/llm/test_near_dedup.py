@@ -91,6 +91,12 @@ def test_same_id_different_texts(spark):
     assert got == {(3, 36, 3), (5, 36, 3), (4, 37, 3)}
 
 
+def test_an_id_connects_its_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    want = compare(spark, [(3, a), (5, a), (5, b), (4, b), (8, c), (7, c), (8, ""), (9, c + " more"), (9, None)])
+    assert want == {3: 3, 4: 3, 5: 3, 7: 7, 8: 7, 9: 7}
+
+
 def test_blocks_and_hashes(monkeypatch):
     text = " ".join(f"w{i}" for i in range(500)) + " " + "y" * 3000 + " tail end"
     whole = nd.shingles(text)

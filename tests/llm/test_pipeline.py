@@ -77,6 +77,17 @@ def test_stages_over_awkward_rows(spark):
     assert [df.count() for df in staged(spark, docs.limit(0))] == [0] * 5
 
 
+def test_repeated_ids_are_rows_of_their_own(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(3, a), (5, a), (5, b), (4, b), (6, a + " more"), (6, ""), (7, b), (None, a)]
+    docs = cases.clashing(cases.documents(spark, [(*r, "en", "a") for r in rows]))
+    kept = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([(3, a), (4, b), (6, ""), (None, a)], key=repr)
+    alone = cases.documents(spark, [(*r, "en", "a") for r in rows[:3]])
+    assert sorted((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, alone, SF).collect()) == [(3, a), (5, b)]
+
+
 def test_every_operator_is_registered():
     names = set(entry.queries())
     assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)} and "pipeline" in names
