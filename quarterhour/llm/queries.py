@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarterhour.llm import chat_tree, hamming_search, language_id, mixing, near_dedup, packing, quality_rules, secret_scan, site_tree, token_counts
+from quarterhour.llm import chat_tree, hamming_search, language_id, merkle_manifest, mixing, near_dedup, packing, quality_rules, secret_scan, site_tree, token_counts
 from quarterhour.llm.common import table
 
 
@@ -60,7 +60,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), kept.alias("kept"), "n_lines", "bits")
 
 
-QUERIES = {q.__name__: q for q in (op1_packing, op2_chat_tree, op3_language_id, op4_secret_scan, op5_hamming_search, op6_near_dedup, op7_mixing, op8_site_tree, op9_token_counts, op10_quality_rules)}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    joined_lines = {**{c: F.col(c) for c in merkle_manifest.COLUMNS}, "text": F.replace("text", F.lit("\n"), F.lit(""))}
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, merkle_manifest.leaf_hash(*joined_lines.values()))
+    return merkle_manifest.proofs(merkle_manifest.manifest(merkle_manifest.leaves(docs, tampered)))
+
+
+QUERIES = {q.__name__: q for q in (op1_packing, op2_chat_tree, op3_language_id, op4_secret_scan, op5_hamming_search, op6_near_dedup, op7_mixing, op8_site_tree, op9_token_counts, op10_quality_rules, op11_merkle_manifest)}
 
 SQL = {
     "op5_hamming_search": r"""
