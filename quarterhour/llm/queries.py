@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarterhour.llm import chat_tree, hamming_search, language_id, merkle_manifest, mixing, near_dedup, packing, quality_rules, secret_scan, site_tree, token_counts
+from quarterhour.llm import chat_tree, hamming_search, language_id, license_scan, merkle_manifest, mixing, near_dedup, packing, quality_rules, secret_scan, site_tree, token_counts
 from quarterhour.llm.common import table
 
 
@@ -67,7 +67,16 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest.proofs(merkle_manifest.manifest(merkle_manifest.leaves(docs, tampered)))
 
 
-QUERIES = {q.__name__: q for q in (op1_packing, op2_chat_tree, op3_language_id, op4_secret_scan, op5_hamming_search, op6_near_dedup, op7_mixing, op8_site_tree, op9_token_counts, op10_quality_rules, op11_merkle_manifest)}
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scanned(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    starts = F.transform("base_places", lambda p: p["at"].cast("long"))
+    return found.select("row.doc_id", "n_words", F.size("base_places").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"), "base_labels", "labels", "score")
+
+
+QUERIES = {q.__name__: q for q in (op1_packing, op2_chat_tree, op3_language_id, op4_secret_scan, op5_hamming_search, op6_near_dedup, op7_mixing, op8_site_tree, op9_token_counts, op10_quality_rules, op11_merkle_manifest, op12_license_scan)}
+
+#: The templates of op12 as rows: number, label, share, word, position, whether the word is in the key phrase.
+TEMPLATE_ROWS = ", ".join(f"({k}, '{t.label}', {t.percent}, '{w}', {i}, {int(t.key_at[0] <= i < t.key_at[1])})" for k, t in enumerate(license_scan.TEMPLATES) for i, w in enumerate(t.words))
 
 SQL = {
     "op5_hamming_search": r"""
@@ -115,4 +124,23 @@ bits AS (
     + CASE WHEN word_chars < 2 * n_words OR word_chars > 15 * n_words THEN 4 ELSE 0 END + CASE WHEN 10 * n_symbols > n_words THEN 8 ELSE 0 END
     + CASE WHEN 2 * n_dup_lines > n_lines THEN 16 ELSE 0 END)::BIGINT AS bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, bits & 3 <> 0 AS base_failed, bits = 0 AS kept, n_lines, bits FROM bits""",
+    # Every word of every template votes for every beginning, without an index.
+    "op12_license_scan": rf"""
+WITH template(k, label, percent, word, j, in_key) AS (VALUES {TEMPLATE_ROWS}),
+d AS (SELECT row_number() OVER () AS row_id, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+w AS (SELECT row_id, word, pos FROM (SELECT row_id, unnest(ws) AS word, unnest(range(len(ws))) AS pos FROM d) WHERE word IN (SELECT word FROM template)),
+df AS (SELECT word, count(DISTINCT row_id) AS n FROM w GROUP BY word),
+tw AS (SELECT t.*, greatest(1, round(1000 * ln(((SELECT count(*) FROM d) + 1) / (coalesce(n, 0) + 1))))::BIGINT AS weight FROM template t LEFT JOIN df USING (word)),
+whole AS (SELECT k, label, percent, sum(weight)::BIGINT AS total, sum(in_key) AS n_key FROM tw GROUP BY ALL),
+stand AS (
+  SELECT row_id, k, label, place, matched::DOUBLE / total AS share
+  FROM (SELECT row_id, k, pos - j AS place, sum(weight)::BIGINT AS matched, sum(in_key) AS keys FROM w JOIN tw USING (word) GROUP BY ALL) JOIN whole USING (k)
+  WHERE keys = n_key AND 100 * matched >= percent * total),
+found AS (
+  SELECT row_id, count(*) FILTER (k < {len(license_scan.BASE)}) AS n_base, min(place) FILTER (k < {len(license_scan.BASE)}) AS first_word, max(place) FILTER (k < {len(license_scan.BASE)}) AS last_word,
+         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (k < {len(license_scan.BASE)}) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score
+  FROM stand GROUP BY row_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+       round(coalesce(score, 0), 6)::DOUBLE AS score
+FROM d LEFT JOIN found USING (row_id)""",
 }
