@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarterhour.llm import chat_tree, hamming_search, language_id, license_scan, merkle_manifest, mixing, near_dedup, packing, quality_rules, secret_scan, site_tree, token_counts
+from quarterhour.llm import chat_tree, hamming_search, language_id, license_scan, merkle_manifest, mixing, near_dedup, packing, quality_rules, secret_scan, site_tree, token_counts, vector_codes
 from quarterhour.llm.common import table
 
 
@@ -73,11 +73,31 @@ def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "n_words", F.size("base_places").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"), "base_labels", "labels", "score")
 
 
-QUERIES = {q.__name__: q for q in (op1_packing, op2_chat_tree, op3_language_id, op4_secret_scan, op5_hamming_search, op6_near_dedup, op7_mixing, op8_site_tree, op9_token_counts, op10_quality_rules, op11_merkle_manifest, op12_license_scan)}
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compressed(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {q.__name__: q for q in (op1_packing, op2_chat_tree, op3_language_id, op4_secret_scan, op5_hamming_search, op6_near_dedup, op7_mixing, op8_site_tree, op9_token_counts, op10_quality_rules, op11_merkle_manifest, op12_license_scan, op13_vector_codes)}
 
 #: The templates of op12 as rows: number, label, share, word, position, whether the word is in the key phrase.
 TEMPLATE_ROWS = ", ".join(f"({k}, '{t.label}', {t.percent}, '{w}', {i}, {int(t.key_at[0] <= i < t.key_at[1])})" for k, t in enumerate(license_scan.TEMPLATES) for i, w in enumerate(t.words))
 
+
+def _rounds_sql(rounds: int = vector_codes.ROUNDS) -> str:
+    """The rounds of assigning every part to the nearest entry of all, and of averaging."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+a{r} AS (SELECT row_id, part, arg_min(entry, d * 256 + entry) AS entry, min(d) AS d FROM (
+  SELECT row_id, part, entry, list_sum(list_transform(range(1, 17), lambda i: (v[i] - c[i]) * (v[i] - c[i])))::BIGINT AS d FROM p JOIN c{r} USING (part)) GROUP BY ALL)""")
+        if r < rounds:
+            steps.append(f"""
+s{r} AS (SELECT part, entry, i, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT part, entry, unnest(v) AS x, unnest(range(16)) AS i FROM a{r} JOIN p USING (row_id, part)) GROUP BY ALL),
+m{r} AS (SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY i) AS mean FROM s{r} GROUP BY ALL),
+c{r + 1} AS (SELECT part, entry, coalesce(mean, c) AS c FROM c{r} LEFT JOIN m{r} USING (part, entry))""")
+    return ",".join(steps)
+
+
 SQL = {
     "op5_hamming_search": r"""
 WITH signs AS (SELECT DISTINCT vec_id, list_transform(range(1, 65), lambda i: coalesce(embedding[i] > 0, false)) AS s FROM embeddings WHERE len(embedding) >= 64 AND vec_id IS NOT NULL),
@@ -143,4 +163,14 @@ found AS (
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
        round(coalesce(score, 0), 6)::DOUBLE AS score
 FROM d LEFT JOIN found USING (row_id)""",
+    # Distances to all entries, without the order of sums.
+    "op13_vector_codes": f"""
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id) - 1 AS row_id, vec_id, label, list_transform(embedding, lambda x: floor(1024 * x)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT row_id, part, v[part * 16 + 1 : part * 16 + 16] AS v FROM kept, (SELECT unnest(range(4)) AS part)),
+c0 AS (SELECT part, row_id AS entry, v AS c FROM p WHERE row_id < 256),{_rounds_sql()},
+coded AS (SELECT row_id, string_agg(format('{{:02x}}', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a{vector_codes.ROUNDS} GROUP BY row_id),
+books AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c{vector_codes.ROUNDS})
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM kept JOIN coded USING (row_id), books""",
 }
