@@ -6,6 +6,7 @@ from quarterhour.catalog.core import query
 from quarterhour.catalog.d_days import inw, part
 from quarterhour.catalog.j_weather import _CTX, _fac
 from quarterhour.catalog.k_forecasts import _BAND
+from quarterhour.catalog.sqlparts import _det
 from quarterhour.operators import accuracy as ac
 from quarterhour.operators import weather as wx
 from quarterhour.operators.baselines import relative_band
@@ -13,6 +14,7 @@ from quarterhour.operators.day_stats import DELTA_WINDOWS
 from quarterhour.operators.grid import day_lag
 from quarterhour.plans import backtest as bt
 from quarterhour.plans import forecast as fc
+from quarterhour.plans import refit
 
 _MET = "n:i wape:f accuracy_wape:f mae:f rmse:f bias_mw:f peak_wape:f p90_abs_error:f p95_abs_error:f daily_peak_error:f"
 
@@ -101,6 +103,57 @@ _RDH = """rdx AS (SELECT t.state, t.date, t.h, k.date AS cand, (isodow(t.date) >
 def _(v):
     return bt.rolling_origin(v.grid, v.hol, "2024-01-15", "2024-01-30")
 
+def _ridge(model, y, xs, base):
+    """Forecasts of a ridge regression at every anchor in SQL: normal equations by Cramer's rule over each training span."""
+    live = [f"v{i} > 1e-9" for i in range(3)]
+    c = [[f"CASE WHEN {live[i]} THEN v{i} * (1 + 1.0::DOUBLE / n) ELSE 1.0::DOUBLE / n END" if i == j else f"CASE WHEN {live[i]} AND {live[j]} THEN c{min(i, j)}{max(i, j)} ELSE 0 END" for j in range(3)] for i in range(3)]
+    named = [[f"m{i}{j}" for j in range(3)] for i in range(3)]
+    beta = [_det([[f"y{i}" if col == j else named[i][col] for col in range(3)] for i in range(3)]) + f" / {_det(named)}" for j in range(3)]
+    moments = ", ".join([f"avg({x}) AS a{i}, var_pop({x}) AS v{i}, covar_pop({x}, {y}) AS b{i}" for i, x in enumerate(xs)] + [f"covar_pop({xs[i]}, {xs[j]}) AS c{i}{j}" for i in range(3) for j in range(i + 1, 3)])
+    matrix = ", ".join(f"{c[i][j]} AS m{i}{j}" for i in range(3) for j in range(3)) + ", " + ", ".join(f"CASE WHEN {live[i]} THEN b{i} ELSE 0 END AS y{i}" for i in range(3))
+    left = "vy - 2 * (" + " + ".join(f"b{i}_ * y{i}" for i in range(3)) + ") + " + " + ".join(f"b{i}_ * b{j}_ * " + (f"CASE WHEN {live[i]} THEN v{i} ELSE 0 END" if i == j else named[i][j]) for i in range(3) for j in range(3))
+
+    def fit(keys, min_rows):
+        k = ", ".join(f"k.{c}" for c in keys)
+        same = " AND ".join(f"r.{c} = k.{c}" for c in keys)
+        return f"""SELECT *, sqrt(greatest({left}, 0)) AS sigma FROM (SELECT *, {', '.join(f'{b} AS b{j}_' for j, b in enumerate(beta))} FROM (SELECT *, {matrix} FROM (
+          SELECT {k}, k.fit_week, count(*) AS n, avg({y}) AS ay, var_pop({y}) AS vy, {moments}
+          FROM (SELECT DISTINCT {', '.join(keys)}, fit_week FROM fx WHERE fit_week >= 0) k JOIN fx r ON {same} AND r.train_week <= k.fit_week AND r.train_week > k.fit_week - 104
+          WHERE residual IS NOT NULL AND dev_h IS NOT NULL AND dev_7d IS NOT NULL AND temp_change IS NOT NULL GROUP BY ALL HAVING count(*) >= {min_rows})))"""
+
+    def guess(m):
+        return f"{base} + {m}.ay + " + " + ".join(f"{m}.b{i}_ * ({x} - {m}.a{i})" for i, x in enumerate(xs))
+
+    ok = "CASE WHEN f IS NOT NULL THEN greatest(f{}, 0) END"
+    return f"""SELECT '{model}' AS model, horizon, state, date, block, load AS actual, coalesce({ok.format('')}, reference) AS forecast, {ok.format(' - 1.2815515655446004::DOUBLE * sigma')} AS p10, {ok.format(' + 1.2815515655446004::DOUBLE * sigma')} AS p90, fit FROM (
+      SELECT t.*, CASE WHEN m.n IS NOT NULL THEN {guess('m')} ELSE {guess('p')} END AS f, coalesce(m.sigma, p.sigma) AS sigma, CASE WHEN m.n IS NOT NULL THEN 'block' WHEN p.n IS NOT NULL THEN 'region' END AS fit
+      FROM fx t LEFT JOIN ({fit(['state', 'block', 'horizon'], 10)}) m USING (state, block, horizon, fit_week) LEFT JOIN ({fit(['state', 'horizon'], 40)}) p USING (state, horizon, fit_week))"""
+
+
+_FX = f"""{_RDH}, fx AS (
+      SELECT *, load - reference AS residual, lag_h_load - reference AS dev_h, lag_7d_load - reference AS dev_7d, CAST(floor((date - DATE '2024-01-17') / 7.0) AS INTEGER) AS fit_week, CAST(ceil((date - DATE '2024-01-17' + horizon) / 7.0) AS INTEGER) AS train_week FROM (
+        SELECT o.horizon, o.state, o.date, o.block, o.actual AS load, o.forecast AS reference, h.load AS lag_h_load, s.load AS lag_7d_load, w.temperature - u.temperature AS temp_change FROM rob o
+        LEFT JOIN v_load h ON h.state = o.state AND h.block = o.block AND h.date = o.date - o.horizon LEFT JOIN v_load s ON s.state = o.state AND s.block = o.block AND s.date = o.date - 7
+        LEFT JOIN v_wmean w ON w.state = o.state AND w.block = o.block AND w.date = o.date LEFT JOIN v_wmean u ON u.state = o.state AND u.block = o.block AND u.date = o.date - o.horizon
+        WHERE o.model = 'recent_day')),
+    ridged AS ({_ridge("ridge_residual", "residual", ["dev_h", "dev_7d", "temp_change"], "reference")} UNION ALL {_ridge("ridge_direct", "load", ["lag_h_load", "lag_7d_load", "temp_change"], "0")}),
+    fitx AS (SELECT model, horizon, state, date, block, actual, forecast, p10, p90, CASE WHEN p10 IS NOT NULL THEN fit END AS fit FROM ridged WHERE date BETWEEN DATE '2024-01-17' AND DATE '2024-01-30'
+      UNION ALL SELECT model, horizon, state, date, block, actual, forecast, NULL, NULL, NULL FROM rob WHERE date BETWEEN DATE '2024-01-17' AND DATE '2024-01-30')"""
+
+
+@query("m6_fitted_backtest", "state model horizon:i " + _MET + " pinball_loss:f coverage_pct:f", f"""
+    WITH {_FX}, q AS (SELECT state, model, horizon, avg((greatest(0.1::DOUBLE * (actual - p10), -0.9::DOUBLE * (actual - p10)) + greatest(0.5::DOUBLE * (actual - forecast), -0.5::DOUBLE * (actual - forecast)) + greatest(0.9::DOUBLE * (actual - p90), -0.1::DOUBLE * (actual - p90))) / 3) FILTER (WHERE p10 IS NOT NULL) AS pinball_loss,
+      avg(CASE WHEN actual BETWEEN p10 AND p90 THEN 100.0::DOUBLE ELSE 0 END) FILTER (WHERE p10 IS NOT NULL) AS coverage_pct FROM fitx WHERE actual IS NOT NULL AND forecast IS NOT NULL GROUP BY ALL)
+    SELECT m.*, pinball_loss, coverage_pct FROM ({met("fitx", ["state", "model", "horizon"])}) m JOIN q USING (state, model, horizon)""")
+def _(v):
+    return refit.fitted_backtest(v.grid, v.wmean, v.hol, "2024-01-17", "2024-01-30")
+
+
+@query("m6_fitted_forecasts", "state date block:i horizon:i model forecast:f p10:f p90:f fit", f"""
+    WITH {_FX} SELECT state, date, block, horizon, model, forecast, p10, p90, fit FROM fitx WHERE model LIKE 'ridge%'""")
+def _(v):
+    return refit.fitted_forecasts(refit.supervised(v.grid, v.wmean, v.hol), "2024-01-17", "2024-01-30").where("actual is not null")
+
 
 _BD = """bd AS (SELECT model, p.state, p.date, count(*) FILTER (WHERE ok) AS blocks, avg(r) FILTER (WHERE ok) * 100 AS mape, sqrt(avg((forecast - actual) ** 2) FILTER (WHERE ok)) AS rmse,
       sum(forecast - actual) FILTER (WHERE ok) / greatest(sum(actual) FILTER (WHERE ok), 4) * 100 AS energy_error_pct, avg(r) FILTER (WHERE ok AND block BETWEEN 49 AND 72) * 100 AS peak_mape, avg(temperature) AS avg_temp, max(actual) FILTER (WHERE ok) AS peak_load

@@ -157,3 +157,64 @@ def test_doubling_load_keeps_percentages(spark):
         return accuracy.metrics(corrections.lagged_pair(df)).first()
     x, y = wape(a), wape(a.withColumn("load", F.col("load") * 2))
     assert abs(x["wape"] - y["wape"]) < 1e-9 and abs(2 * x["mae"] - y["mae"]) < 1e-9
+
+
+# --- weekly refits -----------------------------------------------------------------------------------------------
+
+
+def _refit_case(spark, days=70):
+    """Load that follows the temperature of the day, which the baselines cannot see."""
+    import math
+    temp = {(d, b): 20 + 8 * math.sin(d * 1.7) + 0.05 * b for d in range(days) for b in range(1, 97)}
+    load = lambda d, b: 500 + 2 * b + 6 * (temp[d, b] - 20) + ((d * 31 + b * 17) % 7)
+    grid = series(spark, days, load, blocks=range(1, 97, 12))
+    weather = spark.createDataFrame([("A", day(d), b, float(t)) for (d, b), t in temp.items() if b % 12 == 1], "state string, date date, block int, temperature double")
+    return grid, weather, dims.holidays(spark)
+
+
+def test_refitted_models_beat_the_baselines(spark):
+    from quarterhour.plans import refit
+    grid, weather, hol = _refit_case(spark)
+    rows = {(r.model, r.horizon): r for r in refit.fitted_backtest(grid, weather, hol, str(day(42)), str(day(69)), min_history_days=28).collect()}
+    assert set(rows) == {(m, h) for m in ("seasonal_naive", "recent_day", "ridge_residual", "ridge_direct") for h in (1, 2)}
+    for h in (1, 2):
+        assert rows["ridge_residual", h].wape < 0.8 * min(rows["seasonal_naive", h].wape, rows["recent_day", h].wape)
+        assert 50 < rows["ridge_residual", h].coverage_pct <= 100 and rows["recent_day", h].pinball_loss is None
+
+
+def test_refits_read_nothing_after_their_anchor(spark):
+    from quarterhour.plans import refit
+    grid, weather, hol = _refit_case(spark, 49)
+    start, end = str(day(30)), str(day(48))
+
+    def run(g):
+        got = refit.fitted_forecasts(refit.supervised(g, weather, hol), start, end).collect()
+        return {(r.date, r.block, r.horizon, r.model): (r.forecast, r.p10, r.p90, r.fit) for r in got}
+
+    before, cut = run(grid), day(39)
+    after = run(grid.withColumn("load", F.when(F.col("date") > F.lit(cut), F.col("load") * 9 + 1000).otherwise(F.col("load"))))
+    early = [k for k in before if (k[0] - cut).days <= k[2]]  # origins up to the cut
+    assert early and all(before[k] == after[k] for k in early)
+    assert any(before[k] != after[k] for k in before if k not in set(early))
+
+
+def test_refit_sums_equal_plain_regressions(spark):
+    import numpy as np
+
+    from quarterhour.plans import refit
+    grid, weather, hol = _refit_case(spark, 60)
+    start = day(30)
+    rows = refit.supervised(grid, weather, hol, (1,))
+    got = {(r.date, r.block): r for r in refit.fitted_forecasts(rows, str(start), str(day(59)), (refit.RESIDUAL,), train_weeks=3).collect()}
+    table = [r for r in rows.collect() if all(r[c] is not None for c in ("residual", "dev_h", "dev_7d", "temp_change"))]
+    for target in (day(30), day(37), day(43), day(59)):
+        for block in (1, 49):
+            anchor = start - datetime.timedelta(1) + datetime.timedelta(7 * ((target - start).days // 7))
+            train = [r for r in table if r.block == block and anchor - datetime.timedelta(21) < r.date <= anchor]
+            x, y = np.array([[r.dev_h, r.dev_7d, r.temp_change] for r in train]), np.array([r.residual for r in train])
+            sd = x.std(axis=0)
+            z = (x - x.mean(axis=0)) / sd
+            beta = np.linalg.solve(z.T @ z + np.eye(3), z.T @ (y - y.mean())) / sd
+            own = next(r for r in table if r.block == block and r.date == target)
+            want = own.reference + y.mean() + (np.array([own.dev_h, own.dev_7d, own.temp_change]) - x.mean(axis=0)) @ beta
+            assert len(train) == 21 and got[target, block].fit == "block" and abs(got[target, block].forecast - want) < 1e-6
