@@ -6,7 +6,9 @@ from quarterhour.catalog.core import query
 from quarterhour.catalog.f_features import _RD
 from quarterhour.catalog.sqlparts import spearman_wide
 from quarterhour.operators import baselines as bl
+from quarterhour.operators import similar_targets as targets
 from quarterhour.operators import similarity as sim
+from quarterhour.operators.calendar import holiday_flag
 from quarterhour.operators.grid import day_lag
 from quarterhour.plans import forecast as fc
 from quarterhour.plans.design import chronological_split
@@ -194,6 +196,54 @@ def _(v):
     return sim.similar_day_baseline(v.load, _pool(v))
 
 
+def _pools(dy, level, top):
+    """Similar days of every target in SQL: all pairs of days, rules as window conditions per target."""
+    w = "PARTITION BY state, target"
+    return f"""dy AS ({dy}), an0 AS (SELECT state, date, date - DATE '1970-01-01' AS dn, level AS mean FROM dy), an1 AS (SELECT *, CASE WHEN count(mean) OVER w >= 2 THEN avg(mean) OVER w END AS tr FROM an0 WINDOW w AS (PARTITION BY state ORDER BY dn RANGE BETWEEN 7 PRECEDING AND 1 PRECEDING)),
+    an2 AS (SELECT *, coalesce(abs((mean - tr) / nullif(tr, 0)) > 0.06, false) AS an FROM an1), an3 AS (SELECT state, date, an OR coalesce(max(CAST(an AS INTEGER)) OVER (PARTITION BY state ORDER BY dn RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING), 0) = 1 AS ex FROM an2),
+    p0 AS (SELECT c.*, g.date AS target, g.t AS tt, g.h AS th, g.cdd AS tc, g.hdd AS thd, g.rain AS train, g.wind AS twind, g.hol AS thol, isodow(g.date) AS tw, row_number() OVER (PARTITION BY c.state, g.date, isodow(c.date) ORDER BY c.date DESC) AS wr FROM dy g JOIN dy c ON c.state = g.state AND c.date < g.date),
+    p1 AS (SELECT *, row_number() OVER ({w} ORDER BY date DESC) AS r FROM p0 WHERE level > {level}),
+    p2 AS (SELECT *, CASE WHEN r <= 7 THEN 'recent_7' ELSE 'current_month' END AS pool, isodow(date) = tw AND wr <= 14 AS same FROM p1
+      WHERE r <= 7 OR (year(date) < year(target) AND month(date) = month(target) AND abs(date - make_date(year(date), month(target), least(day(target), 28))) <= 21)),
+    p3 AS (SELECT *, count(*) FILTER (WHERE same) OVER ({w}) AS nw, count(*) FILTER (WHERE hol = 1) OVER ({w}) AS nh FROM p2), p4 AS (SELECT p3.*, ex, count(*) FILTER (WHERE NOT ex) OVER ({w}) AS ok FROM p3 JOIN an3 USING (state, date) WHERE CASE WHEN thol = 1 THEN nh < 3 OR hol = 1 ELSE tw < 6 OR nw < 4 OR same END),
+    p5 AS (SELECT *, rain = 0 AND coalesce(wind, 0) <= 30 AS calm FROM p4 WHERE ok < 5 OR NOT ex), p6 AS (SELECT *, count(*) FILTER (WHERE calm) OVER ({w}) AS nc FROM p5),
+    p7 AS (SELECT *, abs(t - tt) AS dt, abs(h - th) AS dh, abs(cdd - tc) + abs(hdd - thd) AS dd FROM p6 WHERE NOT (train = 0 AND coalesce(twind, 0) <= 30) OR nc = 0 OR calm),
+    p8 AS (SELECT *, stddev_pop(dt) OVER w AS sdt, stddev_pop(dh) OVER w AS sdh, stddev_pop(dd) OVER w AS sdd FROM p7 WINDOW w AS ({w})),
+    p9 AS (SELECT *, 0.55::DOUBLE * 0.7::DOUBLE * coalesce(dt, 0) / CASE WHEN sdt > 1e-9 THEN sdt ELSE 1 END + 0.55::DOUBLE * 0.3::DOUBLE * coalesce(dd, 0) / CASE WHEN sdd > 1e-9 THEN sdd ELSE 1 END + 0.25::DOUBLE * coalesce(dh, 0) / CASE WHEN sdh > 1e-9 THEN sdh ELSE 1 END AS score,
+      CASE WHEN isodow(date) = tw THEN 0 WHEN (isodow(date) >= 6) = (tw >= 6) THEN 1 END AS tier FROM p8),
+    p10 AS (SELECT *, row_number() OVER ({w} ORDER BY tier, round(score, 9), date DESC) AS rank FROM p9 WHERE tier IS NOT NULL),
+    r0 AS (SELECT state, target, date, level, avg(level) OVER w AS m, stddev_samp(level) OVER w AS s, count(*) OVER w AS n FROM p1 WHERE r <= 7 WINDOW w AS ({w})), r1 AS (SELECT *, CASE WHEN n >= 3 AND s > 0 THEN abs(level - m) <= 1.8::DOUBLE * s ELSE true END AS cl FROM r0),
+    r2 AS (SELECT *, cl OR count(*) FILTER (WHERE cl) OVER ({w}) < 2 AS clean FROM r1), lv AS (SELECT state, target, avg(level) AS lvl FROM r2 WHERE clean GROUP BY ALL),
+    pls AS (SELECT p10.state, p10.target, p10.date, pool, tier, score, rank, coalesce(least(greatest(lvl / p10.level, 0.7), 1.5), 1) AS scale, CASE tier WHEN 0 THEN 1.0::DOUBLE ELSE 0.6::DOUBLE END * CASE WHEN pool = 'recent_7' AND coalesce(r2.clean, false) THEN 1.3::DOUBLE ELSE 1 END AS weight
+      FROM p10 LEFT JOIN lv USING (state, target) LEFT JOIN r2 ON r2.state = p10.state AND r2.target = p10.target AND r2.date = p10.date WHERE rank <= {top})"""
+
+
+_ALL_DAYS = _pools("""SELECT state, date, avg(load) AS level, avg(temperature) AS t, avg(humidity) AS h, avg(greatest(temperature - 24, 0)) AS cdd, avg(greatest(18 - temperature, 0)) AS hdd, max(CASE WHEN precipitation > 0 THEN 1 ELSE 0 END) AS rain, max(wind_speed_10m) AS wind, max(is_holiday) AS hol FROM v_frame GROUP BY ALL""", 10, 4)
+
+
+def _all_pools(v):
+    # January: the degree bases of winter
+    return targets.similar_day_pools(targets.day_features(v.frame), top=4, min_level=10.0)
+
+
+@query("k14_all_targets_pools", "state target date pool tier:i score:f rank:i scale:f weight:f", f"WITH {_ALL_DAYS} SELECT * FROM pls")
+def _(v):
+    return _all_pools(v)
+
+
+@query("k14_all_targets", "state target block:i baseline:f days:i", f"""
+    WITH {_ALL_DAYS} SELECT l.state, target, l.block, sum(load * scale * weight) / sum(weight) AS baseline, count(*) AS days FROM v_load l JOIN pls USING (state, date) GROUP BY ALL""")
+def _(v):
+    return targets.similar_day_baselines(v.load, _all_pools(v))
+
+
+@query("k14_all_targets_of_years", "state target date pool tier:i rank:i scale:f weight:f", f"""
+    WITH {_pools("SELECT state, date, load AS level, NULL::DOUBLE AS t, NULL::DOUBLE AS h, NULL::DOUBLE AS cdd, NULL::DOUBLE AS hdd, 0 AS rain, NULL::DOUBLE AS wind, CAST(date IN (SELECT holiday FROM v_hol) AS INTEGER) AS hol FROM v_daily", 0.5, 6)} SELECT * FROM pls""")
+def _(v):
+    day = holiday_flag(v.daily, v.hol, "is_holiday").select("is_holiday", "state", "date", F.col("load").alias("level"), *[F.lit(None).cast("double").alias(c) for c in ("t", "h", "wind")], *[F.array(*[F.lit(None).cast("double")] * 3).alias(c) for c in ("cdd", "hdd")], F.lit(0).alias("rain"))
+    return targets.similar_day_pools(day, top=6, min_level=0.5)
+
+
 _SD = "SELECT state, date, avg(temperature) AS t, avg(humidity) AS h, max(CASE WHEN precipitation > 0 THEN 1.0::DOUBLE ELSE 0 END) AS r, sum(load) AS l FROM v_frame WHERE date < DATE '2024-01-28'"
 
 

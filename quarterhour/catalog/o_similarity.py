@@ -1,6 +1,7 @@
 """2.O similarity and clustering."""
 
 from quarterhour.catalog.core import query
+from quarterhour.operators import similar_targets as targets
 from quarterhour.operators import similarity as sim
 from quarterhour.operators.clusters import load_shape_clusters
 
@@ -35,6 +36,41 @@ for _m in ("euclidean", "weighted", "cosine"):
         return sim.similar_days(v.wmean, T, m, 5, 0.4)
 
 
+def _all_sql(method):
+    """Every target with every earlier day, block by block; standardised over the days before the target."""
+    vs = ("temperature", "humidity", "precipitation")
+    st = ", ".join(f"avg(c.{x}) AS m_{x}, CASE WHEN stddev_pop(c.{x}) > 1e-9 THEN stddev_pop(c.{x}) ELSE 1 END AS s_{x}" for x in vs)
+    ok = {x: f"c.{x} IS NOT NULL AND t.{x} IS NOT NULL" for x in vs}
+    n = " + ".join(f"CASE WHEN {ok[x]} THEN 1 ELSE 0 END" for x in vs)
+    z = lambda a, x: f"(({a}.{x} - m_{x}) / s_{x})"
+    if method == "cosine":
+        num = " + ".join(f"coalesce({z('c', x)} * {z('t', x)}, 0)" for x in vs)
+        own = lambda a: " + ".join(f"CASE WHEN {ok[x]} THEN {z(a, x)} * {z(a, x)} ELSE 0 END" for x in vs)
+        dist = f"1 - coalesce(sum({num}) / nullif(sqrt(sum({own('c')}) * sum({own('t')})), 0), 0)"
+    else:
+        w = dict(zip(vs, _W[method]))
+        sq = " + ".join(f"coalesce({w[x]}::DOUBLE * pow({z('c', x)} - {z('t', x)}, 2), 0)" for x in vs)
+        ws = " + ".join(f"CASE WHEN {ok[x]} THEN {w[x]}::DOUBLE ELSE 0 END" for x in vs)
+        dist = f"sqrt(sum({sq}) / nullif(sum({ws}), 0))"
+    return f"""ds AS (SELECT DISTINCT state, date FROM v_wmean), s AS (SELECT ds.state, ds.date AS target, {st} FROM ds JOIN v_wmean c ON c.state = ds.state AND c.date < ds.date GROUP BY ALL),
+      g AS (SELECT c.state, t.date AS target, c.date, {dist} AS distance, sum({n}) / 288.0::DOUBLE AS coverage FROM v_wmean t JOIN s ON s.state = t.state AND s.target = t.date JOIN v_wmean c ON c.state = t.state AND c.block = t.block AND c.date < t.date
+        GROUP BY c.state, t.date, c.date HAVING sum({n}) / 288.0::DOUBLE >= 0.4),
+      sd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY state, target ORDER BY round(distance, 9), date) AS rank FROM g WHERE distance IS NOT NULL) WHERE rank <= 5)"""
+
+
+for _m in ("euclidean", "weighted", "cosine"):
+    @query(f"o1_all_targets_{_m}", "state target date distance:f coverage:f rank:i day_of_week", f"WITH {_all_sql(_m)} SELECT *, dayname(date) AS day_of_week FROM sd")
+    def _(v, m=_m):
+        return targets.similar_profiles(v.wmean, method=m, k=5, min_coverage=0.4)
+
+
+@query("o4_all_targets_load_change", "state target date rank:i avg_load:f change_pct:f", f"""
+    WITH {_all_sql('weighted')}, m AS (SELECT state, date, avg(load) AS a FROM v_load GROUP BY ALL)
+    SELECT sd.state, target, sd.date, rank, m.a AS avg_load, (m.a - t.a) / t.a * 100 AS change_pct FROM sd LEFT JOIN m USING (state, date) LEFT JOIN m t ON t.state = sd.state AND t.date = target""")
+def _(v):
+    return targets.load_changes(targets.similar_profiles(v.wmean, method="weighted", k=5, min_coverage=0.4), v.load)
+
+
 @query("o2_standardised", "state date scaled:f", """
     WITH d AS (SELECT state, date, sum(load) AS s FROM v_load GROUP BY ALL), x AS (SELECT *, avg(s) OVER w AS m, stddev_pop(s) OVER w AS sd, min(s) OVER w AS lo, max(s) OVER w AS hi FROM d WINDOW w AS (PARTITION BY state))
     SELECT state, date, CASE WHEN sd > 1e-9 THEN (s - m) / sd WHEN hi - lo > 1e-9 THEN (s - lo) / (hi - lo) ELSE 0 END AS scaled FROM x""")
