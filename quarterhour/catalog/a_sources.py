@@ -5,6 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from quarterhour import dims
+from quarterhour.catalog import views
 from quarterhour.catalog.core import query
 from quarterhour.catalog.sqlparts import interp, melt, spearman_wide
 from quarterhour.functions.blocks import block_of, block_start, state_slug
@@ -12,6 +13,7 @@ from quarterhour.operators import reports
 from quarterhour.plans.clean_frame import clean_frame
 from quarterhour.plans.final_frame import FINAL_COLUMNS, final_frame
 from quarterhour.sources import normalise, readers, sinks
+from quarterhour.sources.layer import Layer, month_of
 from quarterhour.sources.stage import shared_folder
 
 
@@ -170,7 +172,7 @@ def _(v):
 _CLEAN = f"""n AS (SELECT *, abs(load - lag(load) OVER w) AS l, abs(lead(load) OVER w - load) AS r, row_number() OVER w AS pos, lag(1) OVER w IS NULL AS f, lead(1) OVER w IS NULL AS z FROM v_load WINDOW w AS (PARTITION BY state, date ORDER BY block)),
     s AS (SELECT state, date, block, pos, CASE WHEN NOT coalesce(CASE WHEN f AND z THEN false WHEN f THEN r > 150 WHEN z THEN l > 150 ELSE (l + r) / 2 > 150 END, false) THEN load END AS v FROM n),
     c AS (SELECT state, date, block, filled AS load, CAST(date - DATE '1970-01-01' AS BIGINT) * 96 + block AS t FROM ({interp('s', 'state, date', 'pos', 'v')})),
-    wx AS (SELECT * FROM v_wmean WHERE block % 7 <> 0), j AS (SELECT c.*, temperature, humidity FROM c LEFT JOIN wx USING (state, date, block)),
+    j AS (SELECT c.*, temperature, humidity FROM c LEFT JOIN v_wmean USING (state, date, block)),
     a AS (SELECT * EXCLUDE (temperature, pp, np, pv, nv, filled), filled AS temperature FROM ({interp('j', 'state', 't', 'temperature')})),
     b AS (SELECT * EXCLUDE (humidity, pp, np, pv, nv, filled), filled AS humidity FROM ({interp('a', 'state', 't', 'humidity')}))"""
 
@@ -179,8 +181,7 @@ _CLEAN = f"""n AS (SELECT *, abs(load - lag(load) OVER w) AS l, abs(lead(load) O
     WITH {_CLEAN} SELECT state, date, block, load, temperature, humidity, isodow(date) - 1 AS dow, CAST(isodow(date) >= 6 AS INTEGER) AS is_weekend,
       CAST(date IN (SELECT holiday FROM v_hol) AS INTEGER) AS is_holiday, (block - 1) // 4 AS hour, month(date) AS month FROM b""")
 def _(v):
-    gappy = v.wmean.where("block % 7 <> 0")
-    return clean_frame(v.load, gappy, v.hol, ["temperature", "humidity"], spike=150.0)
+    return clean_frame(v.load, v.wmean, v.hol, ["temperature", "humidity"], spike=150.0)
 
 
 @query("a16_csv_sink", "state date block:i load:f", "SELECT * FROM v_load")
@@ -198,6 +199,42 @@ def _(v):
     return stored.groupBy("state", "month").agg(F.count_distinct("date").alias("days"), F.sum("load").alias("load"))
 
 
+def _load_layer(v, name):
+    return Layer(v.spark, f"{shared_folder(v.spark)}/{name}-{uuid.uuid4().hex}", views.LAYER_KEYS, views.LAYER_SUMS, ("value_max",), {"blocks": views.block_rows})
+
+
+@query("a17_ttl_read", "state month days:i load:f", """
+    SELECT state, strftime(date, '%Y-%m') AS month, count(DISTINCT date) AS days, sum(load) AS load FROM v_load
+    WHERE state <> 'R0' OR date <= DATE '2024-01-20' GROUP BY ALL""")
+def _(v):
+    """A store whose parts differ in age: all were written at 1000, R0 again at 5000; a read at 5900 lets parts live 900 seconds."""
+    events, cut = v.table("events"), F.lit("2024-01-20").cast("date")
+    layer = _load_layer(v, "ttl")
+    layer.replace(views.layer_rows(events.where(F.to_date("ts") <= cut)).where("state <> 'R1'"), written_at=1000.0)
+    layer.replace(views.layer_rows(events.where(F.to_date("ts") <= cut)).where("state = 'R0'"), written_at=5000.0)
+
+    def fetch(parts):
+        names = [f"{s}/{m}" for s, m in parts]
+        return views.layer_rows(events).where(F.concat_ws("/", "state", month_of()).isin(names))
+
+    everything = {(s, "2024-01") for s in ("ALL", "R0", "R1", "R2")}  # R1 is not stored yet
+    fresh = layer.read_fresh("blocks", 900.0, fetch, now=5900.0, wanted=everything)
+    return fresh.withColumn("month", month_of()).groupBy("state", "month").agg(F.count_distinct("date").alias("days"), F.sum("load").alias("load"))
+
+
+@query("a17_late_events", "state date block:i load:f", "SELECT * FROM v_load")
+def _(v):
+    """Events arrive in two files, the second with late ones; the layer takes up each file once."""
+    folder = f"{shared_folder(v.spark)}/late-{uuid.uuid4().hex}"
+    events, layer = v.table("events"), _load_layer(v, "late-layer")
+    late = (F.col("event_type") == "view") | (F.to_date("ts") > F.lit("2024-01-20").cast("date"))
+    for part in (events.where(~late), events.where(late)):
+        part.write.mode("append").parquet(folder)
+        layer.refresh(folder, views.layer_rows)
+    layer.refresh(folder, views.layer_rows)  # nothing new
+    return layer.read("blocks")
+
+
 @query("a18_record_id", "state date record_id", """
     SELECT state, date, substr(sha256(state || '|' || CAST(date AS VARCHAR) || '|1|naive|' || CAST(CAST(round(sum(load) * 100) AS BIGINT) AS VARCHAR)), 1, 12) AS record_id
     FROM v_load GROUP BY state, date""")
@@ -207,14 +244,11 @@ def _(v):
 
 
 @query("a19_top_up", "state date block:i load:f", """
-    WITH st AS (SELECT * FROM v_load WHERE state <> 'R2' AND (date < DATE '2024-01-25' OR (date = DATE '2024-01-25' AND block <= 40))),
-         last AS (SELECT state, max(date) AS d FROM st GROUP BY state)
+    WITH last AS (SELECT state, max(date) AS d FROM v_sldc GROUP BY state)
     SELECT l.* FROM v_load l LEFT JOIN last USING (state) WHERE (d IS NULL OR l.date >= d)
-      AND NOT EXISTS (SELECT 1 FROM st s WHERE s.state = l.state AND s.date = l.date AND s.block = l.block)""")
+      AND NOT EXISTS (SELECT 1 FROM v_sldc s WHERE s.state = l.state AND s.date = l.date AND s.block = l.block)""")
 def _(v):
-    cut = F.lit("2024-01-25").cast("date")
-    stored_part = v.load.where("state <> 'R2'").where((F.col("date") < cut) | ((F.col("date") == cut) & (F.col("block") <= 40)))
-    return sinks.top_up(v.load, stored_part, ["state", "date", "block"])
+    return sinks.top_up(v.load, v.sldc, ["state", "date", "block"])
 
 
 @query("a20_schedule_export", "state date Block:i Time Schedule_MW:f Baseline_MW:f energy_mwh:f peak_mw:f", """

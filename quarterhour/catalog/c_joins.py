@@ -73,13 +73,11 @@ def _(v):
 
 
 @query("c8_fill_from_second_feed", "state date block:i load:f", """
-    WITH a AS (SELECT state, date, block, CASE WHEN block % 5 = 0 THEN 0 ELSE load END AS load FROM v_sldc WHERE state <> 'R2' AND date <= DATE '2024-01-24'),
-    m AS (SELECT state, date, block, a.load AS la, a.state IS NOT NULL AND a.load IS NOT NULL AS ina, b.load AS lb FROM a FULL OUTER JOIN v_load b USING (state, date, block)),
+    WITH a AS (SELECT * FROM v_sldc), m AS (SELECT state, date, block, a.load AS la, a.state IS NOT NULL AND a.load IS NOT NULL AS ina, b.load AS lb FROM a FULL OUTER JOIN v_load b USING (state, date, block)),
     x AS (SELECT m.*, last FROM m LEFT JOIN (SELECT state, max(date) AS last FROM a GROUP BY state) USING (state))
     SELECT state, date, block, CASE WHEN coalesce(la, 0) = 0 THEN coalesce(lb, la) ELSE la END AS load FROM x WHERE ina OR last IS NULL OR date > last""")
 def _(v):
-    a = v.sldc.where("state <> 'R2'").where(F.col("date") <= F.lit("2024-01-24").cast("date")).withColumn("load", F.when(F.col("block") % 5 == 0, 0.0).otherwise(F.col("load")))
-    return merge.fill_from(a, v.load)
+    return merge.fill_from(v.sldc, v.load)
 
 
 _SHARES = ", ".join(f"('{ {c: d for d, c in dims.CIRCLE_OF_DISTRICT.items()}.get(c, c) }', '{c}', {w}::DOUBLE)" for c, w in dims.CIRCLE_SHARE_PCT.items())

@@ -222,12 +222,12 @@ def _(v):
     WITH h AS (SELECT f.* FROM v_frame f WHERE date < DATE '2024-01-25'), dd AS (SELECT state, date, row_number() OVER (PARTITION BY state ORDER BY date DESC) AS r FROM h GROUP BY state, date),
     n AS (SELECT *, (isodow(date) - isodow(DATE '2024-01-25') + 7) % 7 IN (0, 1, 6) AS near FROM dd WHERE r <= 60), k AS (SELECT *, count(*) FILTER (WHERE near) OVER (PARTITION BY state) AS kk FROM n),
     p AS (SELECT h.state, h.block, avg(temperature) AS temperature, avg(humidity) AS humidity FROM h JOIN k USING (state, date) WHERE kk < 3 OR near GROUP BY h.state, h.block)
-    SELECT g.state, g.date, g.block, coalesce(w.temperature, p.temperature) AS temperature, coalesce(w.humidity, p.humidity) AS humidity FROM v_grid g LEFT JOIN (SELECT * FROM v_wmean WHERE block % 3 = 0) w USING (state, date, block) LEFT JOIN p USING (state, block)
+    SELECT g.state, g.date, g.block, coalesce(w.temperature, p.temperature) AS temperature, coalesce(w.humidity, p.humidity) AS humidity FROM v_grid g LEFT JOIN v_wmean w USING (state, date, block) LEFT JOIN p USING (state, block)
     WHERE g.date = DATE '2024-01-25' """)
 def _(v):
     target = v.grid.where(F.col("date") == F.lit("2024-01-25").cast("date"))
     cols = ("temperature", "humidity")
-    return wx.fill_weather(target, v.wmean.where("block % 3 = 0"), wx.climate_proxy(v.frame, "2024-01-25", cols), cols)
+    return wx.fill_weather(target, v.wmean, wx.climate_proxy(v.frame, "2024-01-25", cols), cols)
 
 
 @query("j20_saturations", "state date block:i rain_impact:f wind_impact:f solar_index:f", """

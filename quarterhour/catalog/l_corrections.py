@@ -97,9 +97,9 @@ def _(v):
     return night(v)
 
 
-@query("l4_t2_night_applied", "state date block:i corrected:f", f"WITH {_NIGHT} SELECT t2.state, t2.date, t2.block, greatest(forecast + coalesce(correction, 0), 0) AS corrected FROM t2 LEFT JOIN nt USING (state, block) WHERE date = {D}")
+@query("l4_t2_night_applied", "state date block:i corrected:f", f"WITH {_NIGHT} SELECT t2.state, t2.date, t2.block, greatest(forecast + coalesce(correction, 0), 0) AS corrected FROM t2 LEFT JOIN nt USING (state, block)")
 def _(v):
-    return co.add_table(t2_pairs(v).where(F.col("date") == F.lit(DAY).cast("date")), night(v))
+    return co.add_table(t2_pairs(v), night(v))
 
 
 @query("l4_t2_segment_table", "state block:i correction:f", f"""

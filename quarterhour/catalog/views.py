@@ -2,11 +2,12 @@
 
 ``Views`` builds them as DataFrames, ``CTES`` states the same definitions in SQL for the twins. Regions are
 ``R0..R2`` (user id modulo 3) and ``ALL`` (everything), so one region always holds half of the rows. The raw events
-are aggregated to (state, date, block) at once, with map-side partial sums.
+are aggregated once, with map-side partial sums, into a stored layer of (state, date, block) that all load and weather views read.
 """
 
 from __future__ import annotations
 
+import hashlib
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,7 +18,8 @@ from quarterhour.functions.blocks import block_of
 from quarterhour.operators.calendar import with_calendar
 from quarterhour.operators.features import eda_frame, series_frame, with_baseline
 from quarterhour.operators.grid import day_lag, dense_grid
-from quarterhour.sources.stage import shared
+from quarterhour.sources.layer import Layer
+from quarterhour.sources.stage import shared, shared_folder
 
 DISTRICT_WEIGHTS = {f"D{i}": 7.0 - i for i in range(7)}
 #: Holidays of the fixture besides the national days: an input of the queries, not of the library.
@@ -127,6 +129,40 @@ def _six(c: Column) -> Column:
     return F.round(c + 1e-9, 6)
 
 
+def event_rows(events: DataFrame) -> DataFrame:
+    """Events with block, json field k and the regions they count for."""
+    return events.select(
+        "event_id", "ts", "user_id", "event_type", "value", F.to_date("ts").alias("date"), block_of("ts").alias("block"),
+        F.get_json_object("props", "$.k").try_cast("double").alias("k"),
+        F.explode(F.array(F.lit("ALL"), F.concat(F.lit("R"), (F.col("user_id") % 3).cast("string")))).alias("state"))
+
+
+LAYER_KEYS = ("state", "date", "block", "location", "in_feed")
+LAYER_SUMS = ("value_sum", "value_n", "k_sum", "k_n")
+
+
+def layer_rows(events: DataFrame) -> DataFrame:
+    """What an event adds to the sums of its region, block and location."""
+    known = lambda c: F.col(c).isNotNull().cast("long")
+    return event_rows(events).select(
+        "state", "date", "block", F.concat(F.lit("D"), (F.col("user_id") % 7).cast("string")).alias("location"), F.col("event_type").isin("click", "view", "purchase").alias("in_feed"),
+        F.col("value").alias("value_sum"), known("value").alias("value_n"), F.col("k").alias("k_sum"), known("k").alias("k_n"), F.col("value").alias("value_max"))
+
+
+def block_rows(partials: DataFrame) -> DataFrame:
+    """One row per region and block: load, the feed's load, mean weather, and the weather of each location."""
+    sun = 600.0 * F.sin(F.pi() * ((F.col("block") - 1) / 4.0 - 6.0) / 12.0)
+    k, value = F.col("k_sum") / F.col("k_n"), F.col("value_sum") / F.col("value_n")
+    a = partials.groupBy("state", "location", "date", "block").agg(
+        *[F.sum(c).alias(c) for c in LAYER_SUMS], F.max("value_max").alias("mx"), F.sum(F.when(F.col("in_feed"), F.col("value_sum"))).alias("feed_sum"))
+    at = a.select(
+        "state", "location", "date", "block", "value_sum", "feed_sum", _six(10.0 + 0.35 * k).alias("temperature"),
+        _six(20.0 + 0.5 * ((100.0 * F.col("k_n") - F.col("k_sum")) / F.col("k_n")) + 0.1 * F.least(value, F.lit(200.0))).alias("humidity"), _six(F.greatest(F.lit(0.0), F.col("mx") - 150.0) / 10.0).alias("precipitation"),
+        _six(k).alias("cloud_cover"), _six(value / 4.0).alias("wind_speed_10m"), _six(F.greatest(F.lit(0.0), sun)).alias("direct_radiation"))
+    return at.groupBy("state", "date", "block").agg(
+        F.round(F.sum("value_sum"), 4).alias("load"), F.round(F.sum("feed_sum"), 4).alias("feed_load"), *[_six(F.avg(c)).alias(c) for c in _W], F.array_sort(F.collect_list(F.struct("location", *_W))).alias("locations"))
+
+
 class Views:
     """The fixture views over one data directory."""
 
@@ -139,36 +175,32 @@ class Views:
     @cached_property
     def ev(self) -> DataFrame:
         """Events with block, json field k and the regions they count for."""
-        e = self.table("events")
-        return e.select(
-            "event_id", "ts", "user_id", "event_type", "value", F.to_date("ts").alias("date"), block_of("ts").alias("block"),
-            F.get_json_object("props", "$.k").try_cast("double").alias("k"),
-            F.explode(F.array(F.lit("ALL"), F.concat(F.lit("R"), (F.col("user_id") % 3).cast("string")))).alias("state"))
+        return event_rows(self.table("events"))
+
+    @cached_property
+    def blocks(self) -> DataFrame:
+        """The stored layer's rows of (state, date, block). All queries of one application share it; new event files are added."""
+        own = hashlib.sha256(self.dir.encode()).hexdigest()[:16]
+        path = f"{shared_folder(self.spark)}/layer-{self.spark.sparkContext.applicationId}-{own}"
+        layer = Layer(self.spark, path, LAYER_KEYS, LAYER_SUMS, ("value_max",), {"blocks": block_rows})
+        layer.refresh(f"{self.dir}/events.parquet", layer_rows)
+        return layer.read("blocks")
 
     @cached_property
     def load(self) -> DataFrame:
-        return self.ev.groupBy("state", "date", "block").agg(F.round(F.sum("value"), 4).alias("load"))
+        return self.blocks.select("state", "date", "block", "load")
 
     @cached_property
     def sldc(self) -> DataFrame:
-        kept = self.ev.where(F.col("event_type").isin("click", "view", "purchase"))
-        return kept.groupBy("state", "date", "block").agg(F.round(F.sum("value"), 4).alias("load"))
+        return self.blocks.where(F.col("feed_load").isNotNull()).select("state", "date", "block", F.col("feed_load").alias("load"))
 
     @cached_property
     def wloc(self) -> DataFrame:
-        g = self.ev.withColumn("location", F.concat(F.lit("D"), (F.col("user_id") % 7).cast("string")))
-        sun = 600.0 * F.sin(F.pi() * ((F.col("block") - 1) / 4.0 - 6.0) / 12.0)
-        a = g.groupBy("state", "location", "date", "block").agg(
-            F.avg("k").alias("k"), F.avg(100.0 - F.col("k")).alias("nk"), F.max("value").alias("mx"), F.avg("value").alias("av"))
-        return a.select(
-            "state", "location", "date", "block", _six(10.0 + 0.35 * F.col("k")).alias("temperature"),
-            _six(20.0 + 0.5 * F.col("nk") + 0.1 * F.least(F.col("av"), F.lit(200.0))).alias("humidity"), _six(F.greatest(F.lit(0.0), F.col("mx") - 150.0) / 10.0).alias("precipitation"),
-            _six(F.col("k")).alias("cloud_cover"), _six(F.col("av") / 4.0).alias("wind_speed_10m"),
-            _six(F.greatest(F.lit(0.0), sun)).alias("direct_radiation"))
+        return self.blocks.select("state", "date", "block", F.inline("locations")).select("state", "location", "date", "block", *_W)
 
     @cached_property
     def wmean(self) -> DataFrame:
-        return self.wloc.groupBy("state", "date", "block").agg(*[_six(F.avg(c)).alias(c) for c in _W])
+        return self.blocks.select("state", "date", "block", *_W)
 
     @cached_property
     def dw(self) -> DataFrame:
@@ -200,7 +232,8 @@ class Views:
 
     @cached_property
     def frame(self) -> DataFrame:
-        return self.cal.join(self.wmean, ["state", "date", "block"], "left")
+        rows = with_calendar(self.blocks.select("state", "date", "block", "load", *_W), self.hol)
+        return rows.select(*[c for c in rows.columns if c not in _W], *_W)
 
     @cached_property
     def base(self) -> DataFrame:
