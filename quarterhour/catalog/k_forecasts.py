@@ -6,6 +6,7 @@ from quarterhour.catalog.core import query
 from quarterhour.catalog.f_features import _RD
 from quarterhour.catalog.sqlparts import spearman_wide
 from quarterhour.operators import baselines as bl
+from quarterhour.operators import quantile_trees
 from quarterhour.operators import similar_targets as targets
 from quarterhour.operators import similarity as sim
 from quarterhour.operators.calendar import holiday_flag
@@ -51,6 +52,41 @@ def _(v):
     return fc.boosted_quantiles(v.grid, v.frame, v.hol, validation_days=5)
 
 
+def _trees(v):
+    rows = fc.quantile_rows(v.grid, v.wmean, v.hol)
+    return rows, *fc.quantile_forecast(rows, "2024-01-24", 5, rounds=6)
+
+
+@query("k5_quantile_trees", "state date block:i p10:f p50:f p90:f")
+def _(v):
+    return _trees(v)[1]
+
+
+@query("k5_quantile_targets", "state date block:i load:f reference:f fitted ordered", f"""
+    WITH {_REF} SELECT state, date, block, load, point AS reference, true AS fitted, true AS ordered FROM rf WHERE point IS NOT NULL AND date >= DATE '2024-01-24'
+      AND state IN (SELECT state FROM rf WHERE point IS NOT NULL AND load IS NOT NULL AND date <= DATE '2024-01-18')""")
+def _(v):
+    """Every target row of a region with training days has three quantiles in order, none below zero."""
+    out = _trees(v)[1].where("p50 is not null")
+    return out.select("*", F.col("p50").isNotNull().alias("fitted"), ((F.col("p10") >= 0) & (F.col("p10") <= F.col("p50")) & (F.col("p50") <= F.col("p90"))).alias("ordered"))
+
+
+@query("k5_quantile_invariants", "state level:f rows:i starts_at_share no_worse_than_start", f"""
+    WITH {_REF} SELECT state, level, count(*) AS rows, true AS starts_at_share, true AS no_worse_than_start FROM rf CROSS JOIN (VALUES (0.1::DOUBLE), (0.5::DOUBLE), (0.9::DOUBLE)) l(level)
+    WHERE point IS NOT NULL AND load IS NOT NULL AND date <= DATE '2024-01-18' GROUP BY ALL""")
+def _(v):
+    """Each model starts at its quantile of the training residuals, and no tree makes the training loss worse."""
+    rows, _, model = _trees(v)
+    train = rows.where("load is not null").where(F.col("date") <= F.lit("2024-01-18").cast("date"))
+    fitted = quantile_trees.predict(train, model, ["state", "residual"])
+    start = F.create_map(*[x for (s, q), a in model.start.items() for x in (F.lit(f"{s}/{q}"), F.lit(a))])
+    each = F.explode(F.array(*[F.struct(F.lit(a).alias("level"), F.element_at(start, F.concat("state", F.lit(f"/{q}"))).alias("first"), F.get("quantiles", F.lit(q)).alias("last")) for q, a in enumerate(model.levels)]))
+    e = fitted.select("state", "residual", each.alias("o")).select("state", "residual", "o.*")
+    loss = lambda c: F.greatest(F.col("level") * (F.col("residual") - F.col(c)), (F.col("level") - 1) * (F.col("residual") - F.col(c)))
+    n, below, upto = F.count(F.lit(1)), F.count(F.when(F.col("residual") < F.col("first"), 1)), F.count(F.when(F.col("residual") <= F.col("first"), 1))
+    return e.groupBy("state", "level").agg(n.alias("rows"), ((below <= F.col("level") * n + 1) & (upto >= F.col("level") * n - 1)).alias("starts_at_share"), (F.sum(loss("last")) <= F.sum(loss("first")) + 1e-6).alias("no_worse_than_start"))
+
+
 @query("k6_quantile_ordering", "state date block:i p10:f p50:f p90:f", """
     SELECT state, date, block, greatest(list_sort([forecast - 30, actual, forecast + 10])[1], 0) AS p10, greatest(list_sort([forecast - 30, actual, forecast + 10])[2], 0) AS p50, greatest(list_sort([forecast - 30, actual, forecast + 10])[3], 0) AS p90 FROM v_pair""")
 def _(v):

@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 
 from quarterhour.functions.blocks import block_label
 from quarterhour.functions.stats import bottom_by, quantile, rank_corr, top_by
+from quarterhour.operators import quantile_trees
 from quarterhour.operators.baselines import LOOKBACK, ordered_quantiles, recent_day, relative_band
 from quarterhour.operators.corrections import seam, seam_anchor
 from quarterhour.operators.features import MODEL_FEATURES, training_frame
 from quarterhour.operators.grid import blocks_of_days, day_calendar, day_lag
 from quarterhour.plans.design import design_matrix
+from quarterhour.plans.refit import supervised
 from quarterhour.sources.sinks import record_id
 from quarterhour.sources.stage import shared
 
@@ -117,6 +119,32 @@ def boosted_quantiles(grid: DataFrame, frame: DataFrame, holidays: DataFrame, ho
     return out.select(*DAY, "block", p10.alias("p10"), p50.alias("p50"), p90.alias("p90"))
 
 
+QUANTILE_FEATURES = ("dev_h", "dev_7d", "dev_roll7", "temp_change", "temperature", "block", "weekday", "is_weekend", "is_holiday")
+
+
+def quantile_rows(grid: DataFrame, weather: DataFrame, holidays: DataFrame, horizon: int = 1) -> DataFrame:
+    """Residuals of the reference baseline with origin-safe features, the input of the quantile trees."""
+    return supervised(grid, weather, holidays, (horizon,)).where("reference is not null").withColumn("weekday", F.weekday("date"))
+
+
+def quantile_forecast(rows: DataFrame, start: str, validation_days: int = 7, **options) -> tuple[DataFrame, quantile_trees.Boosted]:
+    """p10, p50 and p90 of all dates from ``start`` on, each by trees of its own; no later day takes part in the fit.
+
+    ``rows`` is what ``quantile_rows`` gives. The last ``validation_days`` before the first target's origin choose the number of
+    trees. Features that are missing have a bin of their own. Returns the forecasts and the model.
+    """
+    d = shared(rows)
+    origin = F.date_sub(F.lit(start).cast("date"), F.col("horizon"))
+    seen = d.where(F.col("date") <= origin)
+    model = quantile_trees.fit(seen, QUANTILE_FEATURES, "residual", validation=F.col("date") > F.date_sub(origin, validation_days), **options)
+    keys = [*DAY, "block", "horizon", "load", "reference"]
+    out = quantile_trees.predict(d.where(F.col("date") >= F.lit(start).cast("date")), model, keys)
+    q = [F.col("reference") + F.get("quantiles", F.lit(i)) for i in range(3)]
+    p10, p50, p90 = ordered_quantiles(*q)
+    known = F.col("quantiles").isNotNull()
+    return out.select(*keys, F.when(known, p10).alias("p10"), F.when(known, p50).alias("p50"), F.when(known, p90).alias("p90")), model
+
+
 def feature_effects(frame: DataFrame, holidays: DataFrame, top: int = 12, seed: int = 7) -> DataFrame:
     """Share of importance of the leading features of a boosted model, signed by their rank correlation with load."""
     names = [c for c in MODEL_FEATURES if c not in ("lag_block_1", "lag_block_4", "rolling_4", "rolling_12")]
