@@ -1,8 +1,11 @@
 """2.I anomaly and level-shift detection."""
 
+from pyspark.sql import functions as F
+
 from quarterhour.catalog.core import query
 from quarterhour.catalog.sqlparts import slope
 from quarterhour.operators import anomaly as an
+from quarterhour.operators import isolation
 from quarterhour.operators.peaks import peaks_by_prominence
 
 
@@ -78,6 +81,26 @@ def _(v):
     return an.distance_outliers(v.cal, 0.01).where("is_anomaly")
 
 
+def _hours(v):
+    """The dense grid, with gaps, and the hour and weekday of each block."""
+    return v.grid.withColumns({"hour": F.floor((F.col("block") - 1) / 4).cast("int"), "dow": F.weekday("date")})
+
+
+@query("i7_isolation_forest", "state date block:i score:f is_anomaly")
+def _(v):
+    return isolation.isolation_scores(_hours(v)).where("score is not null")
+
+
+@query("i7_isolation_invariants", "state rows:i scored:i within_share in_range ends_stand_out", """
+    SELECT state, count(*) AS rows, count(load) AS scored, true AS within_share, true AS in_range, true AS ends_stand_out FROM v_grid GROUP BY state""")
+def _(v):
+    """Every reading and no gap is scored, scores lie between 0 and 1, anomalies keep to the share, the highest load is above the usual score."""
+    s = isolation.isolation_scores(_hours(v))
+    n, hits = F.count("score"), F.count(F.when(F.col("is_anomaly"), 1))
+    return s.groupBy("state").agg(F.count(F.lit(1)).alias("rows"), n.alias("scored"), (hits <= 0.01 * n + 1).alias("within_share"), ((F.min("score") > 0) & (F.max("score") < 1)).alias("in_range"),
+                                  (F.max_by("score", "load") > F.median("score")).alias("ends_stand_out"))
+
+
 @query("i8_risk_monitor", "state volatility_index:f max_ramp:f momentum_mw:f risk_level momentum", """
     WITH r AS (SELECT *, load - max(load) OVER (PARTITION BY state ORDER BY t RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING) AS ramp FROM v_t),
     v AS (SELECT *, CASE WHEN count(ramp) OVER w >= 48 THEN stddev_samp(ramp) OVER w END AS vol FROM r WINDOW w AS (PARTITION BY state ORDER BY t RANGE BETWEEN 95 PRECEDING AND CURRENT ROW)),

@@ -86,15 +86,22 @@ def weather_free_anomalies(df: DataFrame, threshold: float = 2.5, feature: str =
 
 
 def distance_outliers(df: DataFrame, contamination: float = 0.01, columns: tuple[str, ...] = ("load", "hour", "dow")) -> DataFrame:
-    """Rows with the largest standardised squared distance, at the given contamination share."""
+    """Rows with the largest standardised squared distance, at the given contamination share.
+
+    A row that lacks one of the columns has no distance and is no outlier; a column that never varies adds nothing.
+    """
+    known = F.lit(True)
+    for c in columns:
+        known = known & F.col(c).isNotNull()
     stats = {}
     for c in columns:
-        stats[f"_m_{c}"], stats[f"_s_{c}"] = F.avg(F.coalesce(F.col(c), F.lit(0))), F.stddev_pop(F.coalesce(F.col(c), F.lit(0)))
+        value = F.when(known, F.col(c))
+        stats[f"_m_{c}"], stats[f"_s_{c}"] = F.avg(value), F.stddev_pop(value)
     j = join_stats(df, ST, **stats)
-    d2 = sum((F.coalesce(F.pow(ratio(F.coalesce(F.col(c), F.lit(0)) - F.col(f"_m_{c}"), f"_s_{c}"), F.lit(2.0)), F.lit(0.0)) for c in columns), F.lit(0.0))
-    j = j.withColumn("distance2", d2).drop(*stats)
+    d2 = sum((F.coalesce(F.pow(ratio(F.col(c) - F.col(f"_m_{c}"), f"_s_{c}"), F.lit(2.0)), F.lit(0.0)) for c in columns), F.lit(0.0))
+    j = j.withColumn("distance2", F.when(known, d2)).drop(*stats)
     j = join_stats(j, ST, _cut=quantile("distance2", 1 - contamination))
-    return j.withColumn("is_anomaly", F.col("distance2") > F.col("_cut")).drop("_cut")
+    return j.withColumn("is_anomaly", F.coalesce(F.col("distance2") > F.col("_cut"), F.lit(False))).drop("_cut")
 
 
 def risk_monitor(df: DataFrame, feature: str = "load", window: int = 96) -> DataFrame:

@@ -14,7 +14,7 @@ from quarterhour.functions.stats import bottom_by, quantile, rank_corr, top_by
 from quarterhour.operators import quantile_trees
 from quarterhour.operators.baselines import LOOKBACK, ordered_quantiles, recent_day, relative_band
 from quarterhour.operators.corrections import seam, seam_anchor
-from quarterhour.operators.features import MODEL_FEATURES, training_frame
+from quarterhour.operators.features import MODEL_FEATURES, join_stats, training_frame
 from quarterhour.operators.grid import blocks_of_days, day_calendar, day_lag
 from quarterhour.plans.design import design_matrix
 from quarterhour.plans.refit import supervised
@@ -148,9 +148,14 @@ def quantile_forecast(rows: DataFrame, start: str, validation_days: int = 7, **o
 def feature_effects(frame: DataFrame, holidays: DataFrame, top: int = 12, seed: int = 7) -> DataFrame:
     """Share of importance of the leading features of a boosted model, signed by their rank correlation with load."""
     names = [c for c in MODEL_FEATURES if c not in ("lag_block_1", "lag_block_4", "rolling_4", "rolling_12")]
-    d = shared(training_frame(frame).where("load is not null").select("state", F.col("load").alias("label"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in names]))
-    model = GBTRegressor(maxIter=10, maxDepth=4, seed=seed).fit(VectorAssembler(inputCols=names, outputCol="features").transform(d).select("features", "label"))
+    d = shared(training_frame(frame).where("load is not null").select("state", "block", F.col("load").alias("label"), *[F.col(c).cast("double").alias(c) for c in names if c != "block"]))
+    # A missing feature takes the mean of its region and block, else of its region, and a flag says so; the flag's share is the feature's.
+    own = join_stats(join_stats(d, ["state", "block"], **{f"_b_{c}": F.avg(c) for c in names}), ["state"], **{f"_s_{c}": F.avg(c) for c in names})
+    filled = own.select("label", *[F.coalesce(F.col(c), f"_b_{c}", f"_s_{c}", F.lit(0.0)).cast("double").alias(c) for c in names], *[F.col(c).isNull().cast("double").alias(f"{c}_missing") for c in names])
+    vec = VectorAssembler(inputCols=[*names, *[f"{c}_missing" for c in names]], outputCol="features")
+    model = GBTRegressor(maxIter=10, maxDepth=4, seed=seed).fit(vec.transform(filled).select("features", "label"))
     imp = model.featureImportances.toArray()
+    imp = imp[:len(names)] + imp[len(names):]
     total = float(imp.sum()) or 1.0
     best = sorted(range(len(names)), key=lambda i: -imp[i])[:top]
     # ranked within each state, then combined by the states' rows, so that no task ranks all of them
