@@ -100,7 +100,7 @@ c{r + 1} AS (SELECT part, entry, coalesce(mean, c) AS c FROM c{r} LEFT JOIN m{r}
 
 SQL = {
     "op5_hamming_search": r"""
-WITH signs AS (SELECT DISTINCT vec_id, list_transform(range(1, 65), lambda i: coalesce(embedding[i] > 0, false)) AS s FROM embeddings WHERE len(embedding) >= 64 AND vec_id IS NOT NULL),
+WITH signs AS (SELECT DISTINCT vec_id, list_transform(range(1, 65), lambda i: coalesce(embedding[i] > 0, false)) AS s FROM embeddings WHERE len(embedding) = 64 AND vec_id IS NOT NULL),
 pairs AS (SELECT q.vec_id AS query_id, d.vec_id, list_sum(list_transform(range(1, 65), lambda i: CASE WHEN q.s[i] <> d.s[i] THEN 1 ELSE 0 END))::INTEGER AS distance
           FROM signs q, signs d WHERE q.vec_id % 50 = 0)
 SELECT query_id, rank::INTEGER AS rank, vec_id, distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM pairs) WHERE rank <= 10""",

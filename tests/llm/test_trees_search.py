@@ -191,7 +191,23 @@ def test_nearest(spark, n, bits, k):
     assert hamming_search.nearest(df.limit(0), df.limit(0), k).count() == 0
 
 
+def test_hot_segment_value(spark):
+    """Most codes agree in the low bits, more than one array holds; ties at the k-th distance go to the smaller ids."""
+    rnd = random.Random(8)
+    rows = [(i, (rnd.getrandbits(40) << 24) - (1 << 63) if i % 10 else rnd.getrandbits(63)) for i in range(1500)] + [(5000 + i, 7) for i in range(30)]
+    df = spark.createDataFrame(rows, "vec_id long, code long")
+    arrays = hamming_search.index(df, hamming_search.cuts(1500)).where("seg = 0 and value = 0").select(F.size("codes").alias("n")).collect()
+    assert len(arrays) > 2 and max(a.n for a in arrays) < 2 * hamming_search.CHUNK
+    got = collections.defaultdict(list)
+    for r in hamming_search.nearest(df, df.where("vec_id % 50 = 0"), 10).collect():
+        got[r.query_id].append((r.rank, r.distance, r.vec_id))
+    codes = dict(rows)
+    for q in (i for i, _ in rows if i % 50 == 0):
+        want = sorted((((codes[q] ^ c) & (2**64 - 1)).bit_count(), i) for i, c in rows)[:10]
+        assert [(d, i) for _, d, i in sorted(got[q])] == want
+
+
 def test_sign_code(spark):
-    rows = [(1, [1.0] * 64), (2, [-1.0] * 63 + [0.5]), (3, [float("nan"), None, 2.0] + [0.0] * 61), (4, [1.0]), (5, None)]
+    rows = [(1, [1.0] * 64), (2, [-1.0] * 63 + [0.5]), (3, [float("nan"), None, 2.0] + [0.0] * 61), (4, [1.0]), (5, None), (6, [1.0] * 65)]
     got = dict(spark.createDataFrame(rows, "i int, v array<float>").select("i", hamming_search.sign_code("v")).collect())
-    assert got == {1: -1, 2: -(2**63), 3: 4, 4: None, 5: None}
+    assert got == {1: -1, 2: -(2**63), 3: 4, 4: None, 5: None, 6: None}
