@@ -1,4 +1,6 @@
 import datetime
+import itertools
+import random
 
 from helpers import as_dict, day, series
 from pyspark.sql import functions as F
@@ -119,3 +121,25 @@ def test_prominence_matches_brute_force(spark):
     df = series(spark, 3, lambda d, b: vals[d * 96 + b - 1])
     got = {(r["date"] - datetime.date(2024, 1, 1)).days * 96 + r["block"] - 1: r["prominence"] for r in peaks_by_prominence(df, 40.0).collect()}
     assert got == brute_prominence(vals, 40.0) and len(got) > 5
+
+
+def test_prominence_across_slices(spark, monkeypatch):
+    """Slices of one day: peaks whose valleys, higher readings and level tops lie slices away; gaps, level series, two states."""
+    from quarterhour.operators import peaks as module
+    monkeypatch.setattr(module, "SLICE_DAYS", 1)
+    rnd = random.Random(6)
+    days = 9
+    vals = [float(rnd.randint(0, 30)) * 5 for _ in range(96 * days)]
+    vals[300:420] = [70.0] * 120  # a level run over two slices
+    vals[500], vals[700], vals[95:98], vals[191:193] = 400.0, 401.0, [155.0] * 3, [500.0, 500.0]
+    base = datetime.date(2024, 1, 1)
+    rows = [("A", base + datetime.timedelta(i // 96), i % 96 + 1, None if i % 23 == 7 else v) for i, v in enumerate(vals)] + [("B", base + datetime.timedelta(i // 96), i % 96 + 1, 5.0) for i in range(400)]
+    rows += [("C", base, 1, 1.0), ("C", base + datetime.timedelta(3), 1, 9.0), ("C", base + datetime.timedelta(8), 1, 2.0)]
+    got = peaks_by_prominence(spark.createDataFrame(rows, "state string, date date, block int, load double"), 60.0, keys=("state",)).collect()
+    known = [(i, v) for i, v in enumerate(vals) if i % 23 != 7]
+    runs = [(v, [i for i, _ in g]) for v, g in itertools.groupby(known, key=lambda x: x[1])]
+    want = {runs[k][1][(len(runs[k][1]) + 1) // 2 - 1]: p for k, p in brute_prominence([v for v, _ in runs], 60.0).items()}
+    assert {(r.date - base).days * 96 + r.block - 1: r.prominence for r in got if r.state == "A"} == want and len(want) > 20
+    assert not [r for r in got if r.state == "B"]
+    low = peaks_by_prominence(spark.createDataFrame(rows, "state string, date date, block int, load double").where("state = 'C'"), 5.0).collect()
+    assert [(r.date, r.block, r.load, r.prominence) for r in low] == [(base + datetime.timedelta(3), 1, 9.0, 7.0)]
