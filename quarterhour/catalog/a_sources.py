@@ -14,7 +14,8 @@ from quarterhour.plans.clean_frame import clean_frame
 from quarterhour.plans.final_frame import FINAL_COLUMNS, final_frame
 from quarterhour.sources import normalise, readers, sinks
 from quarterhour.sources.layer import Layer, month_of
-from quarterhour.sources.stage import shared_folder
+from quarterhour.sources.records import RecordStore
+from quarterhour.sources.stage import shared, shared_folder
 
 
 def stored(v):
@@ -243,6 +244,19 @@ def _(v):
     return d.select("state", "date", sinks.record_id("state", "date", F.lit("1"), F.lit("naive"), "total").alias("record_id"))
 
 
+@query("a18_pruned_append", "state date record_id", """
+    SELECT state, date, substr(sha256(state || '|' || CAST(date AS VARCHAR) || '|1|naive|' || CAST(CAST(round(sum(load) * 100) AS BIGINT) AS VARCHAR)), 1, 12) AS record_id
+    FROM v_load GROUP BY state, date""")
+def _(v):
+    """Records come in three appends: one region, all regions (which repeats the first), and all again."""
+    d = v.load.groupBy("state", "date").agg(F.round(F.sum("load") * 100).cast("bigint").alias("total"))
+    records = shared(d.select("state", "date", sinks.record_id("state", "date", F.lit("1"), F.lit("naive"), "total").alias("record_id")))
+    store = RecordStore(v.spark, f"{shared_folder(v.spark)}/records-{uuid.uuid4().hex}")
+    for part in (records.where("state = 'R0'"), records, records):
+        store.append(part)
+    return store.read()
+
+
 @query("a19_top_up", "state date block:i load:f", """
     WITH last AS (SELECT state, max(date) AS d FROM v_sldc GROUP BY state)
     SELECT l.* FROM v_load l LEFT JOIN last USING (state) WHERE (d IS NULL OR l.date >= d)
