@@ -1,9 +1,14 @@
 """2.R streaming: batch twins and streams run to completion over the supplied events."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from quarterhour.catalog.c_joins import _MERGED
 from quarterhour.catalog.core import query
 from quarterhour.functions.blocks import block_start
+from quarterhour.operators import merge
+from quarterhour.sources.stage import shared_folder
 from quarterhour.streaming import live
 
 
@@ -72,6 +77,32 @@ def _(v):
     return both.groupBy("state").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
 
 
+@query("r6_two_streams", "state date block:i load:f", f"WITH {_MERGED} SELECT * FROM mg")
+def _(v):
+    """Both feeds as streams of files in order of time, the last one with late and repeated rows; merged by the rule of the batch merge.
+
+    A row of no region, ten days on, lets the watermark pass the blocks that only one feed has.
+    """
+    early, tables = F.col("date") <= F.lit("2024-01-12").cast("date"), {}
+    for name, feed in (("dispatch", v.sldc), ("load", v.load)):
+        path = f"{shared_folder(v.spark)}/feed-{uuid.uuid4().hex}"
+        late = (F.col("state") == "R1") & (F.col("date") <= F.lit("2024-01-05").cast("date"))
+        clock = feed.groupBy().agg(F.date_add(F.max("date"), 10).alias("date")).select(F.lit("~").alias("state"), "date", F.lit(1).alias("block"), F.lit(0.0).alias("load"))
+        for part in (feed.where(early & ~late), feed.where(~early), feed.where(late | (F.col("date") == F.lit("2024-01-29").cast("date"))).unionByName(clock)):
+            part.coalesce(1).write.mode("append").parquet(path)
+        tables[name] = path
+    streams = {n: v.spark.readStream.schema("state string, date date, block int, load double").option("maxFilesPerTrigger", 1).parquet(p) for n, p in tables.items()}
+    joined = live.run_available(live.two_feeds(streams["dispatch"], streams["load"], "3 days"), v.spark).where("state <> '~'")
+    late_rows = {}
+    for name, stream in streams.items():
+        # Lateness is that of the whole feed, as the stream's watermark is.
+        timed = stream.where("state <> '~'").select(F.struct("*").alias("row"), F.lit("all").alias("state"), block_start("date", "block").cast("timestamp").alias("ts"))
+        live.run_steps(timed, v.spark, live.late_split_each(f"{tables[name]}-main", f"{tables[name]}-late", 3 * 24 * 60))
+        late_rows[name] = v.spark.read.parquet(f"{tables[name]}-late").select("row.*")
+    dispatch, load = live.reconciled(joined, late_rows["dispatch"], late_rows["load"])
+    return merge.priority_merge(dispatch, load)
+
+
 @query("r7_episodes", "state start last_ts blocks:i", """
     WITH f AS (SELECT state, CAST(date AS TIMESTAMP) + to_minutes((block - 1) * 15) AS ts FROM v_load WHERE load > 150),
     g AS (SELECT *, sum(CASE WHEN ts - p <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END) OVER (PARTITION BY state ORDER BY ts) AS run FROM (SELECT *, lag(ts) OVER (PARTITION BY state ORDER BY ts) AS p FROM f))

@@ -58,6 +58,37 @@ def episodes(df: DataFrame, gap: str = "30 minutes", delay: str = DELAY, keys: t
     return a.select(*keys, F.col("session_window.start").alias("start"), "last_ts", "blocks")
 
 
+# --- two feeds ------------------------------------------------------------------------------------------------------
+
+
+def two_feeds(dispatch: DataFrame, load: DataFrame, delay: str = "1 day") -> DataFrame:
+    """Block rows of two feeds (streams of state, date, block, load) side by side: state, date, block, sldc, aux.
+
+    Each feed keeps its first delivery of a block. A block that both feeds have comes out when the second arrives; one that a
+    feed lacks comes out once the watermark, ``delay`` behind the slower feed's newest block, has passed it, and its state
+    goes. Blocks that arrive later than that are for the side table (``late_split_each``) and ``reconciled``.
+    """
+    def side(df: DataFrame, value: str, prefix: str) -> DataFrame:
+        rows = df.select(F.col("state").alias(f"{prefix}state"), block_start("date", "block").cast("timestamp").alias(f"{prefix}ts"), F.col("load").alias(value))
+        if rows.isStreaming:
+            return rows.withWatermark(f"{prefix}ts", delay).dropDuplicatesWithinWatermark([f"{prefix}state", f"{prefix}ts"])
+        return rows.dropDuplicates([f"{prefix}state", f"{prefix}ts"])
+
+    a, b = side(dispatch, "sldc", "a_"), side(load, "aux", "b_")
+    j = a.join(b, (F.col("a_state") == F.col("b_state")) & (F.col("a_ts") == F.col("b_ts")), "full_outer")
+    ts = F.coalesce("a_ts", "b_ts")
+    return j.select(F.coalesce("a_state", "b_state").alias("state"), F.to_date(ts).alias("date"), (F.hour(ts) * 4 + F.floor(F.minute(ts) / 15) + 1).cast("int").alias("block"), "sldc", "aux")
+
+
+def reconciled(joined: DataFrame, late_dispatch: DataFrame, late_load: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The two feeds as tables: what the stream put out, and the late rows of blocks that it did not have from that feed."""
+    def feed(value: str, late: DataFrame) -> DataFrame:
+        keys = ["state", "date", "block"]
+        known = joined.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("load"))
+        return known.unionByName(late.select(*keys, "load").dropDuplicates(keys).join(known.select(*keys), keys, "left_anti"))
+    return feed("sldc", late_dispatch), feed("aux", late_load)
+
+
 # --- stateful drift monitor -----------------------------------------------------------------------------------------
 
 DRIFT_OUT = "state string, date date, sequence long, settled_blocks int, current_mape double, longest_run int, drift_alert boolean"
@@ -177,9 +208,12 @@ def run_steps(stream: DataFrame, spark: SparkSession, step: Callable[[DataFrame,
 # --- running a stream to a table ------------------------------------------------------------------------------------
 
 
-def run_available(stream: DataFrame, spark: SparkSession) -> DataFrame:
-    """Process what is available and return the appended table, kept in the shared folder."""
-    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+def run_available(stream: DataFrame, spark: SparkSession, base: str | None = None) -> DataFrame:
+    """Process what is available and return the appended table, kept in the shared folder.
+
+    With the ``base`` folder of an earlier run the stream goes on where that run ended.
+    """
+    base = base or f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     q = (stream.writeStream.format("parquet").option("path", f"{base}/data").option("checkpointLocation", f"{base}/checkpoint").outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/data")

@@ -127,3 +127,34 @@ def test_recalibration_per_batch(spark, tmp_path):
     step(act.where("block > 6"), 1)
     got = as_dict(spark.read.parquet(f"{tmp_path}/o").where("epoch = 1"), ["block"], "recalibrated")
     assert got[13] == 120.0 and abs(got[96] - 100.0) < 1e-9 and got[5] == 100.0
+
+
+def _feeds(spark, tmp_path, name, *parts):
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/{name}")
+    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/{name}")
+
+
+def test_two_feeds_match_redeliver_and_restart(spark, tmp_path):
+    a, b = series(spark, 3, lambda d, b: 10.0 * d + b, blocks=range(1, 97, 8)), series(spark, 3, lambda d, b: 1000.0 + b, blocks=range(1, 97, 12))
+    clock = lambda d: series(spark, 1, blocks=[1], state="~").withColumn("date", F.lit(day(d)))
+    first = a.where(F.col("date") <= F.lit(day(1)))
+    base = f"{tmp_path}/run"
+    s = _feeds(spark, tmp_path, "a", first)
+    t = _feeds(spark, tmp_path, "b", b.where(F.col("date") <= F.lit(day(1))))
+    one = live.run_available(live.two_feeds(s, t, "1 day"), spark, base).where("state <> '~'")
+    assert one.where("sldc is not null and aux is not null").count() == 2 * 4  # blocks 1, 25, 49, 73 on two days
+    # The rest, with all of the first part delivered again, and a clock far ahead.
+    s = _feeds(spark, tmp_path, "a", first.withColumn("load", F.lit(-1.0)), a.where(F.col("date") > F.lit(day(1))), clock(20))
+    t = _feeds(spark, tmp_path, "b", b.where(F.col("date") > F.lit(day(1))), clock(20))
+    out = live.run_available(live.two_feeds(s, t, "1 day"), spark, base).where("state <> '~'")
+    batch = live.two_feeds(a, b)
+    pick = lambda df: sorted((tuple(r) for r in df.select("state", "date", "block", "sldc", "aux").collect()), key=repr)
+    assert pick(out) == pick(batch) and out.where("sldc is null or aux is null").count() == 3 * (12 + 8 - 2 * 4)
+
+
+def test_late_rows_of_a_feed_are_taken_from_the_side_table(spark):
+    joined = spark.createDataFrame([("A", day(0), 1, 5.0, None), ("A", day(0), 2, None, 7.0)], "state string, date date, block int, sldc double, aux double")
+    late = series(spark, 1, lambda d, b: 100.0 + b, blocks=[1, 2])
+    dispatch, load = live.reconciled(joined, late, late.where("block = 1"))
+    assert as_dict(dispatch, ["block"], "load") == {1: 5.0, 2: 102.0} and as_dict(load, ["block"], "load") == {1: 101.0, 2: 7.0}
