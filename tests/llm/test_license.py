@@ -4,11 +4,11 @@ import math
 import random
 import re
 
+import cases
 from pyspark.sql import functions as F
 
 from quarterhour.llm import license_scan as ls
 from quarterhour.llm import queries
-from tests.llm import cases
 
 SMALL = "/root/testdata/sf0.001"
 

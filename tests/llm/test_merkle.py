@@ -3,13 +3,13 @@
 import hashlib
 import zlib
 
+import cases
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quarterhour.llm import merkle_manifest as mm
 from quarterhour.llm import queries
-from tests.llm import cases
 
 
 def h(*parts):

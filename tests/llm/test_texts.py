@@ -3,7 +3,9 @@
 import collections
 import hashlib
 import math
+import random
 import re
+import string
 
 import cases
 import public_tokenizers
@@ -63,7 +65,7 @@ def plain_secrets(text):
 @given(st.lists(st.sampled_from(["password", "Token", "api_key", "APIKEY", "=", ": ", '"', "abc", "deadbeef", "AKIA", "Z9" * 8, "0123456789abcdef", " ", "ſecret", "Kelvin", "é", "\n"]), max_size=25).map("".join))
 @settings(max_examples=300, deadline=None)
 def test_base_secrets(text):
-    found, base = secret_scan.scan(text)
+    found, base, _ = secret_scan.scan(text)
     assert [x for x in found if x[1] < 3] == sorted(plain_secrets(text)) and base == len(plain_secrets(text))
     assert not any(a < e and s < b for s, k, e in found if k == 3 for a, _, b in plain_secrets(text))
 
@@ -85,6 +87,44 @@ def test_entropy_spans_and_allow_list():
     assert secret_scan.redact_text(text, secret_scan.scan(text)[0]) == "a [secret] b"
 
 
+def _planted(rnd):
+    """Strings drawn as key generators draw them."""
+    alphabets = {"base62": string.ascii_letters + string.digits, "base64": string.ascii_letters + string.digits + "+/", "url": string.ascii_letters + string.digits + "-_", "base36": string.ascii_lowercase + string.digits, "capitals": string.ascii_uppercase + string.digits}
+    return [(name, "".join(rnd.choices(chars, k=rnd.choice([24, 32, 40, 64])))) for name, chars in alphabets.items() for _ in range(200)]
+
+
+def _clean(rnd):
+    """Paths, addresses, slugs, names and versions made of words and small numbers."""
+    words = "alpha home user data project story index report value season market river window handler request string update config module number title image server branch filter table string".split()
+    w = lambda: rnd.choice(words)
+    n = lambda: str(rnd.randint(0, 2030)) if rnd.random() < 0.4 else ""
+    forms = [lambda: "/" + "/".join(w() + n() for _ in range(5)), lambda: "https://example.com/a/" + "-".join(w() for _ in range(5)) + f"-{rnd.randint(1990, 2030)}-here", lambda: "".join(w().title() for _ in range(5)),
+             lambda: w() + "".join(w().title() for _ in range(4)) + n(), lambda: "_".join(w().upper() + n() for _ in range(4)), lambda: "-".join(w() + n() for _ in range(6)), lambda: f"2024-05-{rnd.randint(1, 28)}/img_00{rnd.randint(1, 99)}_{w()}_{w()}",
+             lambda: f"{w()}{rnd.randint(1, 9)}{w()}{rnd.randint(1, 9)}{w()}{w()}{w()}"]
+    return [form() for form in forms for _ in range(120)]
+
+
+def test_entropy_recall_and_precision():
+    rnd = random.Random(12)
+    found = collections.Counter(name for name, key in _planted(rnd) if any(k == 3 and e - s >= 20 for s, k, e in secret_scan.scan(f"use {key} now")[0]) or secret_scan.scan(key)[1])
+    assert all(found[name] >= 0.95 * 200 for name in ("base62", "base64", "url", "capitals")) and found["base36"] >= 0.9 * 200, found
+    alarms = [c for c in _clean(rnd) if any(k == 3 for _, k, _ in secret_scan.scan(f"see {c} there")[0])]
+    assert len(alarms) <= 2, alarms
+    for harmless in ("/home/user1/data2/projectx9/alpha7betagammadelta", "https://example.com/a/b2c3d4-some-long-slug-title-2024-here", "getHttpConnectionStringFromHandler", "README-for-version-10-2-and-11-4"):
+        assert not secret_scan.scan(harmless)[0], harmless
+    assert secret_scan.joined(secret_scan.scan("x QmXrTzLpWvKsJhGfDbNc y")[0]) == "entropy:2:22"
+
+
+def test_what_base_spans_leave_is_scanned():
+    key, secret = "AKIA" + "ABCDEFGH23456789", "kQ7fZ2pXw9LmT4/vRb8YcN3sHd6JgU1aEoViWx5B"
+    text = f"{key}/{secret} and more"
+    assert secret_scan.joined(secret_scan.scan(text)[0]) == f"access:0:20,entropy:20:{21 + len(secret)}"
+    assert secret_scan.redact_text(text, secret_scan.scan(text)[0]) == "[secret][secret] and more"
+    both = f"{secret}/{key}/home/user/data"
+    assert [k for _, k, _ in secret_scan.scan(both)[0]] == [3, 1]
+    assert secret_scan.scan("a long word list without anything")[2] is None and secret_scan.scan(key)[2] > 3
+
+
 def test_secret_query_columns(spark):
     docs = cases.clashing(cases.documents(spark))
     for r in docs.select("text", secret_scan.secrets("text").alias("found"), secret_scan.redacted("text").alias("clean")).collect():

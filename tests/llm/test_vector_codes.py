@@ -4,13 +4,13 @@ import hashlib
 import math
 import random
 
+import cases
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quarterhour.llm import queries, vector_codes
-from tests.llm import cases
 
 SMALL = "/root/testdata/sf0.001"
 VECTORS = "vec_id long, embedding array<double>, label int"
