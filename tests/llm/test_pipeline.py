@@ -41,8 +41,9 @@ def check_stages(spark, docs):
     same = lambda df, want: sorted((tuple(r)[:2] for r in df.collect()), key=repr) == sorted((tuple(r)[:2] for r in want), key=repr)
     want = plain_quality(rows)
     assert same(good, want)
-    components = plain_components([r[:2] for r in want])
-    want = [r for r in want if r[0] is None or components[r[0]] == r[0]]
+    want = sorted(want, key=lambda r: (r[0] is None, r[0] or 0))  # rows without an id come last
+    components = plain_components([(i, r[1]) for i, r in enumerate(want)])
+    want = [r for i, r in enumerate(want) if components[i] == i]
     assert same(unique, want)
     want = [(r[0], secret_scan.redact_text(r[1], secret_scan.scan(r[1])[0]), *r[2:]) for r in want]
     assert same(masked, want) and all(r.n_chars == len(r.text) for r in masked.collect())
@@ -57,7 +58,10 @@ def check_stages(spark, docs):
         assert abs(taken[source] - target) <= longest / 2 + 1  # whole documents
     texts = {(r[0], r[1]) for r in want}
     assert {tuple(r)[:2] for r in mix.collect()} <= texts
-    check_packed(packed.collect(), [tuple(r)[:2] for r in mix.collect()], 2048) if mix.count() == mix.select("doc_id").distinct().count() else None
+    if mix.count() == mix.select("doc_id").distinct().count():
+        check_packed(packed.collect(), [tuple(r)[:2] for r in mix.collect()], 2048)
+    else:  # a document of several epochs is packed as often
+        assert sum(r.length for r in packed.collect()) == sum(r.doc_tokens for r in packed.collect() if r.start == 0)
     return packed
 
 
@@ -83,14 +87,16 @@ def test_repeated_ids_are_rows_of_their_own(spark):
     docs = cases.clashing(cases.documents(spark, [(*r, "en", "a") for r in rows]))
     kept = corpus_pipeline.near_duplicates(spark, docs, SF)
     assert kept.columns == docs.columns
-    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([(3, a), (4, b), (6, ""), (None, a)], key=repr)
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([(3, a), (4, b), (6, "")], key=repr)  # the row without an id is a copy of 3
+    lone = corpus_pipeline.near_duplicates(spark, cases.documents(spark, [(None, a, "en", "a"), (None, a, "en", "a"), (None, b, "en", "a"), (None, "", "en", "a"), (None, None, "en", "a")]), SF)
+    assert sorted(((r.doc_id, r.text) for r in lone.collect()), key=repr) == sorted([(None, a), (None, b), (None, ""), (None, None)], key=repr)
     alone = cases.documents(spark, [(*r, "en", "a") for r in rows[:3]])
     assert sorted((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, alone, SF).collect()) == [(3, a), (5, b)]
 
 
 def test_every_operator_is_registered():
     names = set(entry.queries())
-    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)} and "pipeline" in names
+    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 14)} and "pipeline" in names
     assert set(queries.SQL) <= set(queries.QUERIES) and set(queries.SQL) <= set(entry.oracle_sql())
 
 
