@@ -50,6 +50,8 @@ INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins
 BARRED_TAGS = set("script style noscript template nav footer aside form iframe svg canvas object button select textarea menu dialog head title input label fieldset audio video".split())
 BARRED_ROLES = set("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 BARRED_NAMES = set("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs footer comments comment commentlist respond replies disqus share sharing social related recommended widget widgets toolbar pagination pager login signup search skip masthead topbar".split())
+#: Words that say only how a part is built, so that beside a barred word they leave it what it is.
+PLAIN_NAMES = set("area bar block body box button buttons card cards col column container content cta desktop footer group grid head header heading icon icons inline inner item items left link links list main mobile outer page panel post posts right row section site slot small story stories article articles text title top bottom top unit user wrap wrapper".split())
 #: Barred outside a marked article only.
 BARRED_OUTSIDE = {"header"}
 ARTICLE_TAGS = {"article", "main"}
@@ -100,7 +102,10 @@ class Page(HTMLParser):
     def declared(self, tag: str, own: dict[str, str]) -> bool:
         """Whether an element says by its tag, role, class, id or style that it is no part of an article."""
         words = [] if tag in FRAMES else [w for w in f"{own.get('class', '')} {own.get('id', '')}".split() if not LAYOUT.match(w)]
-        names = {n for w in words for n in NAME.findall(SPLIT_CAMEL.sub("-", w).lower())}
+        named = [set(NAME.findall(SPLIT_CAMEL.sub("-", w).lower())) for w in words]
+        if self.open[-1][3]:  # in an article a name must be about nothing else: share-buttons, but not share-price
+            named = [n for n in named if n <= BARRED_NAMES | PLAIN_NAMES]
+        names = set().union(*named)
         outside = not self.open[-1][3] and (tag in BARRED_OUTSIDE or bool(names & BARRED_OUTSIDE))
         unseen = "hidden" in own or "display:none" in own.get("style", "").replace(" ", "").lower()
         return outside or unseen or tag in BARRED_TAGS or own.get("role", "").lower() in BARRED_ROLES or bool(names & BARRED_NAMES)
@@ -149,9 +154,12 @@ class Page(HTMLParser):
         self.text.append(data)
 
     def marked(self) -> list[tuple[int, str, bool, int]]:
-        """The open blocks of the marked article, none if there is no such block."""
-        kind = "article" if "article" in self.articles else "main"
-        return [b for b in self.blocks if not b[2] and b[3] and self.articles[b[3] - 1] == kind]
+        """The open blocks of the marked article, none if there is no such block. Where a page's main part holds more text outside its
+        articles than in them, these are only parts of it (such as teasers), and the whole main part is the article."""
+        open_ = [b for b in self.blocks if not b[2] and b[3]]
+        inside = [b for b in open_ if self.articles[b[3] - 1] == "article"]
+        held = sum(len(b[1]) for b in inside)
+        return inside if inside and 2 * held >= sum(len(b[1]) for b in open_) else open_
 
     def body(self) -> int:
         """Hash of the marked article's text or, without one, of all open blocks: the same for copies in other surroundings."""

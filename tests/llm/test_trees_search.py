@@ -168,6 +168,16 @@ def test_importance_is_entropy(spark):
     assert found == [(1, 16, True, 1.0), (8, 1, False, 0.25), (16, 1, False, 0.0)]
 
 
+def test_declared_names_and_teasers():
+    """A barred word inside another name bars nothing in an article, and a teaser is not the article of its page."""
+    text = lambda html: site_tree.Page(html).main_text(set())
+    article = '<article><p>Lead</p><section id="related-work"><p>Earlier studies.</p></section><p class="share-price">Up 3 percent.</p>{}</article>'
+    assert text(article.format('<div class="share-buttons">Tweet</div><div class="related-articles">More</div><div class="ad slot-2">Buy</div><div class="newsletterSignup">Join</div>')) == "Lead Earlier studies. Up 3 percent."
+    assert text('<main><div class="story"><p>The real body text of this page, of some length.</p></div><article class="teaser"><p>Teaser</p></article></main>') == "The real body text of this page, of some length. Teaser"
+    assert text("<main><p>Start</p><article><p>A long article that the main part is about.</p></article></main>") == "A long article that the main part is about."
+    assert text('<div class="share-price-menu">Menu</div><p>Body</p>') == "Body"
+
+
 def test_long_page():
     page = "<article>" + "".join(f"<p>para {i}</p>" for i in range(20_000)) + "</article>"
     assert site_tree.Page(page).main_text(set()) == " ".join(f"para {i}" for i in range(20_000))
