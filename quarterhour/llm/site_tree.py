@@ -154,12 +154,12 @@ class Page(HTMLParser):
         self.text.append(data)
 
     def marked(self) -> list[tuple[int, str, bool, int]]:
-        """The open blocks of the marked article, none if there is no such block. Where a page's main part holds more text outside its
-        articles than in them, these are only parts of it (such as teasers), and the whole main part is the article."""
+        """The open blocks of the marked article, none if there is no such block. Where a page's main part holds more than twice
+        as much text outside its articles as in them, these are only parts of it (such as teasers), and the whole main part is the article."""
         open_ = [b for b in self.blocks if not b[2] and b[3]]
         inside = [b for b in open_ if self.articles[b[3] - 1] == "article"]
         held = sum(len(b[1]) for b in inside)
-        return inside if inside and 2 * held >= sum(len(b[1]) for b in open_) else open_
+        return inside if inside and 3 * held >= sum(len(b[1]) for b in open_) else open_
 
     def body(self) -> int:
         """Hash of the marked article's text or, without one, of all open blocks: the same for copies in other surroundings."""
