@@ -45,7 +45,7 @@ def batches(rows: Iterator[str], most: int = BATCH_BYTES) -> Iterator[list[str]]
     batch, held = [], 0
     for text in rows:
         batch.append(text)
-        held += len(text)
+        held += len(text.encode("utf-8", "surrogatepass"))
         if held >= most:
             yield batch
             batch, held = [], 0

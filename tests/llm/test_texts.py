@@ -134,6 +134,11 @@ def test_secret_query_columns(spark):
         assert "password=" not in r.clean
 
 
+def test_batches_are_even_in_bytes():
+    cut = list(token_counts.batches(iter(["a" * 300, "\u6f22" * 100, "b", "\u6f22" * 400, "", "c"]), 600))
+    assert [len(b) for b in cut] == [2, 2, 2] and [t for b in cut for t in b][1] == "\u6f22" * 100
+
+
 MODEL = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(token_counts.MODEL))
 
 
